@@ -1,6 +1,6 @@
 """Registered queries. Importing the modules fills the catalog."""
 
-from fleetlens.plans import log_queries  # noqa: F401
+from fleetlens.plans import log_queries, secret_queries  # noqa: F401
 from fleetlens.plans.catalog import CATALOG
 
 __all__ = ["CATALOG"]

@@ -255,7 +255,7 @@ def rules_table(spark: SparkSession, rule_set: RuleSet) -> DataFrame:
     """The rule table as rows, in table order; its size is the corpus, never the data."""
     rows = [
         (
-            i, r.id, r.regex, r.path, r.entropy, r.secret_group, list(r.gate_words),
+            i, r.id, r.regex, r.path, float(r.entropy), r.secret_group, list(r.gate_words),
             [(a.all_of, a.target, list(a.regexes), list(a.paths), list(a.stopwords))
              for a in r.allow],
         )
