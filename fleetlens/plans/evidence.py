@@ -120,10 +120,10 @@ FILE_INVENTORY = """
           WHEN 3 THEN '/home/u/.grok/upload_queue/' || cast(t_id AS string) || '/before_codebase.tar.gz'
           WHEN 4 THEN '/home/u/Downloads/' || cast(t_id AS string) || '_Codebase.tar.gz'
           WHEN 5 THEN '/opt/v' || cast(t_id % 50 AS string) || '/Grok'
-          WHEN 6 THEN '/opt/tool' || cast(t_id AS string) || '/bin/app'
+          WHEN 6 THEN '/opt/tool' || cast(t_id % 400 AS string) || '/bin/app'
           WHEN 7 THEN '/home/u/src/repo' || cast(t_id % 300 AS string) || '/.git'
           WHEN 8 THEN '/home/u/pics/a' || cast(t_id AS string) || '.PNG'
-          WHEN 9 THEN '/opt/tool' || cast(t_id AS string) || '/package.json'
+          WHEN 9 THEN '/opt/tool' || cast(t_id % 400 AS string) || '/package.json'
           WHEN 10 THEN '/usr/lib/l' || cast(t_id AS string) || '.so'
           WHEN 11 THEN '/home/u/src/repo' || cast(t_id % 300 AS string) || '/run' || cast(t_id AS string) || '.sh'
           WHEN 12 THEN '/home/u/.grok/unified.jsonl.' || cast(t_id % 700 AS string)
