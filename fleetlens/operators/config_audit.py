@@ -79,8 +79,8 @@ def config_state(text: Column, spec: IndicatorSpec = DEFAULT_SPEC) -> Column:
         states = [read_state(t, watched) for t in texts]
         return pd.DataFrame(
             {
-                "values": [list(s[0].items()) for s in states],
-                "keys": [list(s[1].items()) for s in states],
+                "values": [s[0] for s in states],
+                "keys": [s[1] for s in states],
                 "uncertain": [s[2] for s in states],
             }
         )
@@ -162,19 +162,13 @@ def mitigation_status(states: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC) ->
 def other_config_keys(states: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC) -> DataFrame:
     """Keys beside the mitigations in their tables, each once, in order."""
     tables = list(dict.fromkeys(m.table for m in spec.mitigations))
-    named = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.coalesce(
-                        F.try_element_at(F.col("keys"), F.lit(t)), F.array().cast("array<string>")
-                    ),
-                    lambda k, t=t: F.concat(F.lit(t + "."), k),
-                )
-                for t in tables
-            ]
-        )
-    )
+    none = F.array().cast("array<string>")
+
+    def full_names(table: str) -> Column:
+        names = F.coalesce(F.try_element_at(F.col("keys"), F.lit(table)), none)
+        return F.transform(names, lambda k: F.concat(F.lit(table + "."), k))
+
+    named = F.flatten(F.array(*[full_names(t) for t in tables]))
     known = F.array(*[F.lit(m.locator) for m in spec.mitigations])
     others = F.array_except(F.array_distinct(named), known)
     return states.select("host_id", "path", others.alias("others")).filter(F.size("others") > 0)

@@ -29,7 +29,7 @@ homes AS (SELECT DISTINCT host_id, path AS home FROM inventory WHERE t_k IN (0,
 queues AS (SELECT DISTINCT host_id, path AS queue, t_k = 1 AS walked FROM inventory WHERE t_k IN (1, 18)),
 queue_files AS (SELECT DISTINCT i.host_id, q.queue, i.path, i.name, i.size, i.t_k FROM inventory i
   JOIN queues q ON i.host_id = q.host_id AND q.walked AND i.t_k IN (2, 3)),
-archives AS (SELECT host_id, path, max(size) AS size FROM inventory WHERE t_k IN (3, 4)
+staged AS (SELECT host_id, path, max(size) AS size FROM inventory WHERE t_k IN (3, 4)
   GROUP BY host_id, path)"""
 
 _EXECUTABLE = "t_head IN ('7F454C46', 'CFFAEDFE', '4D5A9000', '4D5A')"
@@ -264,7 +264,7 @@ def queue_inventory(spark, sf_dir):
     return D.queue_inventory(q, files).withColumn("shown", T.human_bytes(F.col("bytes")))
 
 
-@query("O4 W8", f"WITH {INVENTORY_SQL} SELECT * FROM archives")
+@query("O4 W8", f"WITH {INVENTORY_SQL} SELECT * FROM staged")
 def staged_archives(spark, sf_dir):
     inv = inventory(spark, sf_dir)
     return D.staged_archives(inv, D.files_in_queues(inv, queues(spark, sf_dir)))
@@ -274,7 +274,7 @@ def staged_archives(spark, sf_dir):
     "W4 P35",
     f"""WITH {INVENTORY_SQL}
     SELECT host_id, path, size, CASE WHEN row_number() OVER (PARTITION BY host_id ORDER BY path) <= 20
-      THEN sha256(path || '!') ELSE '' END AS sha256 FROM archives""",
+      THEN sha256(path || '!') ELSE '' END AS sha256 FROM staged""",
 )
 def hash_archives(spark, sf_dir):
     inv = inventory(spark, sf_dir)
