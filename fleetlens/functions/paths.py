@@ -26,8 +26,19 @@ def join_path(directory: Column, *names: str) -> Column:
     return F.concat(directory, *[F.lit("/" + n) for n in names])
 
 
+# An empty, ``.`` or ``..`` segment, or a trailing slash.
+_UNCLEAN = r"//|(^|/)\.\.?(/|$)|[^/]/$|^$"
+
+
 def clean_path(path: Column) -> Column:
-    """Lexical cleaning: repeated and trailing slashes, ``.`` and ``..``."""
+    """Lexical cleaning: repeated and trailing slashes, ``.`` and ``..``.
+
+    Most paths are clean already and are returned as they are.
+    """
+    return F.when(~path.rlike(_UNCLEAN), path).otherwise(_cleaned(path))
+
+
+def _cleaned(path: Column) -> Column:
     absolute = path.startswith("/")
     parts = F.filter(F.split(path, "/"), lambda s: (s != "") & (s != "."))
 
@@ -80,17 +91,29 @@ def under_dir(path: Column, segment: str) -> Column:
 def ancestors(path: Column, levels: int = 64) -> Column:
     """The path itself and its parents up to ``/``, nearest first."""
     cleaned = clean_path(path)
-    parts = F.filter(F.split(cleaned, "/"), lambda s: s != "")
-    depth = F.size(parts)
-    sizes = F.sequence(depth, F.lit(0), F.lit(-1))
-    every = F.transform(
-        sizes, lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    slashes = F.length(cleaned) - F.length(F.replace(cleaned, F.lit("/")))
+    below_root = F.transform(
+        F.sequence(F.when(cleaned == "/", 1).otherwise(slashes + 1), F.lit(2), F.lit(-1)),
+        lambda n: F.substring_index(cleaned, "/", n),
+    )
+    every = F.when(cleaned == "/", F.array(F.lit("/"))).otherwise(
+        F.concat(below_root, F.array(F.lit("/")))
     )
     return F.when(path.startswith("/"), F.slice(every, 1, levels)).otherwise(
         F.array().cast("array<string>")
     )
 
 
+def prefixes_ending_in(path: Column, segment: str) -> Column:
+    """The directories on the path that are named ``segment``, case-insensitively."""
+    parts = F.split(path, "/")
+    at = F.filter(
+        F.sequence(F.lit(1), F.size(parts) - 1),
+        lambda i: F.lower(F.get(parts, i - 1)) == segment.lower(),
+    )
+    return F.transform(at, lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+
+
 def home_of(path: Column, home_dir: str) -> Column:
     """The nearest directory on the path that is named like a product home."""
     escaped = home_dir.replace(".", r"\.")

@@ -13,6 +13,7 @@ from fleetlens.functions.paths import (
     clean_path,
     dirname,
     join_path,
+    prefixes_ending_in,
     under_dir,
 )
 from fleetlens.spec import DEFAULT_SPEC, UNATTRIBUTED, IndicatorSpec
@@ -49,20 +50,18 @@ def upload_queues(
     )
 
 
-def _within(files: DataFrame, roots: DataFrame, root: str) -> DataFrame:
-    """Files paired with the roots that are among their ancestors; an equi-join, not a prefix scan."""
-    placed = files.withColumn(root, F.explode(ancestors(dirname(F.col("path")))))
-    return placed.join(roots, ["host_id", root])
-
-
 def files_in_queues(
     inventory: DataFrame, queues: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC
 ) -> DataFrame:
-    """Files of walked queues. Only paths with a queue segment are exploded."""
+    """Files of walked queues, by equality with the queue directories on their path."""
     files = inventory.filter(
         ~F.col("is_dir") & under_dir(F.col("path"), spec.queue_dir)
     ).select("host_id", "path", "name", "size")
-    return _within(files, queues.filter("walked").select("host_id", "queue"), "queue").distinct()
+    placed = files.withColumn(
+        "queue", F.explode(prefixes_ending_in(F.col("path"), spec.queue_dir))
+    )
+    walked = queues.filter("walked").select("host_id", "queue")
+    return placed.join(walked, ["host_id", "queue"]).distinct()
 
 
 def queue_inventory(

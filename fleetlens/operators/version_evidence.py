@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import versions as X
+from fleetlens.functions.binding import bind
 from fleetlens.functions.paths import basename
 from fleetlens.spec import DEFAULT_SPEC, IndicatorSpec
 
@@ -26,16 +27,18 @@ def _evidence(df: DataFrame, source, confidence: str, spec: IndicatorSpec) -> Da
 def versions_from_manifests(files: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC) -> DataFrame:
     """files(host_id, path, text) that a home or an install directory holds."""
     text = F.substring("text", 1, spec.max_version_file_bytes)
-    found = files.select(
-        "host_id", "path", X.version_from_manifest(F.col("path"), text, spec).alias("version")
+    found = bind(
+        files.select("host_id", "path", text.alias("text")),
+        {"version": X.version_from_manifest(F.col("path"), F.col("text"), spec)},
     ).filter(F.col("version").isNotNull())
     source = F.concat(F.lit("manifest:"), basename(F.col("path")))
     return _evidence(found, source, "high", spec)
 
 
 def versions_from_install_paths(binaries: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC) -> DataFrame:
-    found = binaries.select(
-        "host_id", "path", X.version_from_install_path(F.col("path"), spec).alias("version")
+    found = bind(
+        binaries.select("host_id", "path"),
+        {"version": X.version_from_install_path(F.col("path"), spec)},
     ).filter(F.col("version").isNotNull())
     return _evidence(found, F.lit("homebrew-path"), "high", spec)
 

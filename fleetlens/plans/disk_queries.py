@@ -16,7 +16,7 @@ from fleetlens.operators import disk as D
 from fleetlens.operators import version_evidence as W
 from fleetlens.plans import evidence as V
 from fleetlens.plans.catalog import known, long, query
-from fleetlens.session import shared_dir
+from fleetlens.session import materialize, shared_dir
 from fleetlens.sources import files as S
 from fleetlens.sources.logs import discover_logs as find_logs
 from fleetlens.spec import DEFAULT_SPEC as SPEC
@@ -66,8 +66,13 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory(spark, sf_dir).select("host_id", F.lit("/home/u/.grok").alias("home")).distinct()
+def stored_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory as a written table, for queries that read it several times."""
+    return materialize(inventory(spark, sf_dir), "inventory")
+
+
+def hosts(inv: DataFrame) -> DataFrame:
+    return inv.select("host_id", F.lit("/home/u/.grok").alias("home")).distinct()
 
 
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,8 +101,8 @@ def manifest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT DISTINCT host_id, path FROM inventory WHERE t_k IN (12, 13) AND NOT is_dir""",
 )
 def discover_logs(spark, sf_dir):
-    inv = inventory(spark, sf_dir)
-    return find_logs(inv, D.discovered_homes(inv, hosts(spark, sf_dir)))
+    inv = stored_inventory(spark, sf_dir)
+    return find_logs(inv, D.discovered_homes(inv, hosts(inv)))
 
 
 @query(
@@ -238,13 +243,14 @@ def active_install(spark, sf_dir):
     f"WITH {INVENTORY_SQL} SELECT host_id, home FROM homes WHERE home <> '/home/u/.grok'",
 )
 def stray_homes(spark, sf_dir):
-    configured = hosts(spark, sf_dir)
-    return D.stray_homes(D.discovered_homes(inventory(spark, sf_dir), configured), configured)
+    inv = stored_inventory(spark, sf_dir)
+    configured = hosts(inv)
+    return D.stray_homes(D.discovered_homes(inv, configured), configured)
 
 
-def queues(spark: SparkSession, sf_dir: str) -> DataFrame:
+def queues(inv: DataFrame) -> DataFrame:
     """Queues of the configured homes are walked here; the strays are only named."""
-    return D.upload_queues(inventory(spark, sf_dir), hosts(spark, sf_dir))
+    return D.upload_queues(inv, hosts(inv))
 
 
 @query(
@@ -259,15 +265,16 @@ def queues(spark: SparkSession, sf_dir: str) -> DataFrame:
       ELSE printf('%.1f GB', bytes / 1073741824.0) END AS shown FROM counted""",
 )
 def queue_inventory(spark, sf_dir):
-    q = queues(spark, sf_dir)
-    files = D.files_in_queues(inventory(spark, sf_dir), q)
+    inv = stored_inventory(spark, sf_dir)
+    q = queues(inv)
+    files = D.files_in_queues(inv, q)
     return D.queue_inventory(q, files).withColumn("shown", T.human_bytes(F.col("bytes")))
 
 
 @query("O4 W8", f"WITH {INVENTORY_SQL} SELECT * FROM staged")
 def staged_archives(spark, sf_dir):
-    inv = inventory(spark, sf_dir)
-    return D.staged_archives(inv, D.files_in_queues(inv, queues(spark, sf_dir)))
+    inv = stored_inventory(spark, sf_dir)
+    return D.staged_archives(inv, D.files_in_queues(inv, queues(inv)))
 
 
 @query(
@@ -277,8 +284,8 @@ def staged_archives(spark, sf_dir):
       THEN sha256(path || '!') ELSE '' END AS sha256 FROM staged""",
 )
 def hash_archives(spark, sf_dir):
-    inv = inventory(spark, sf_dir)
-    archives = D.staged_archives(inv, D.files_in_queues(inv, queues(spark, sf_dir)))
+    inv = stored_inventory(spark, sf_dir)
+    archives = D.staged_archives(inv, D.files_in_queues(inv, queues(inv)))
     bodies = archives.select(
         "host_id", "path", F.encode(F.concat("path", F.lit("!")), "UTF-8").alias("content")
     )
@@ -333,7 +340,7 @@ def repos_on_disk(spark, sf_dir):
         "host_id",
         F.concat(F.lit("/home/u/src/repo"), (F.col("t_id") % 300).cast("string")).alias("repo_path"),
     )
-    return D.repos_on_disk(asked.distinct(), inventory(spark, sf_dir))
+    return D.repos_on_disk(asked.distinct(), stored_inventory(spark, sf_dir))
 
 
 @query(
@@ -344,7 +351,7 @@ def repos_on_disk(spark, sf_dir):
       AND p.path = '/opt/tool' || cast(b.t_id % 400 AS varchar) || '/package.json'""",
 )
 def package_manifest_near(spark, sf_dir):
-    inv = inventory(spark, sf_dir)
+    inv = stored_inventory(spark, sf_dir)
     return D.package_manifest_near(inv.filter(F.col("name") == "app"), inv)
 
 

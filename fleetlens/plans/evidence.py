@@ -276,8 +276,14 @@ COLLECTOR_ERRORS = """
 """
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Tables of few files are dealt out to all cores; tables of many already are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def project(spark: SparkSession, sf_dir: str, projection: str) -> DataFrame:

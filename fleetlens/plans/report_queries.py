@@ -178,8 +178,8 @@ def log_found(spark, sf_dir) -> N.Found:
 
 
 def disk_found(spark, sf_dir) -> N.Found:
-    inv, hosts = K.inventory(spark, sf_dir), K.hosts(spark, sf_dir)
-    queues = K.queues(spark, sf_dir)
+    inv = K.stored_inventory(spark, sf_dir)
+    hosts, queues = K.hosts(inv), K.queues(inv)
     files = D.files_in_queues(inv, queues)
     return N.union(
         [
@@ -272,7 +272,8 @@ def other_config_keys(spark, sf_dir):
     FROM homes h JOIN chosen c ON c.host_id = h.host_id GROUP BY h.host_id""",
 )
 def active_config(spark, sf_dir):
-    inv, hosts = K.inventory(spark, sf_dir), K.hosts(spark, sf_dir)
+    inv = K.stored_inventory(spark, sf_dir)
+    hosts = K.hosts(inv)
     states = D.discovered_homes(inv, hosts).select(
         "host_id", F.concat("home", F.lit("/config.toml")).alias("path")
     )
@@ -300,8 +301,9 @@ def auth_files(spark, sf_dir):
     placed = raw.filter("t_k = 9 AND t_id % 3 = 0").select(
         "host_id", F.lit("/home/u/.grok/auth.json").alias("path"), "size"
     )
-    everything = K.inventory(spark, sf_dir).select("host_id", "path", "size").unionByName(placed)
-    homes = D.discovered_homes(K.inventory(spark, sf_dir), K.hosts(spark, sf_dir))
+    inv = K.stored_inventory(spark, sf_dir)
+    everything = inv.select("host_id", "path", "size").unionByName(placed)
+    homes = D.discovered_homes(inv, K.hosts(inv))
     return N.auth_present(everything, homes).evidence.select("host_id", "path", "size_bytes")
 
 
@@ -475,7 +477,7 @@ def product_presence(spark, sf_dir):
     no_findings = config_found(spark, sf_dir).findings.limit(0)
     return R.presence(
         hosts, Q.ledger(spark, sf_dir), K.manifest_versions(spark, sf_dir), no_findings,
-        K.queues(spark, sf_dir),
+        K.queues(K.stored_inventory(spark, sf_dir)),
     )
 
 
@@ -490,7 +492,7 @@ def product_presence(spark, sf_dir):
 )
 def limitations(spark, sf_dir):
     hosts = collector_errors(spark, sf_dir).select("host_id").distinct()
-    _, oversized = G.blob_filter(Z.blobs(spark, sf_dir), Z.SMALL_BLOBS)
+    _, oversized = G.blob_filter(Z.blobs(Z.stored_evidence(spark, sf_dir)), Z.SMALL_BLOBS)
     empty = hosts.limit(0)
     return R.limitations(
         hosts, empty, oversized,
@@ -522,8 +524,8 @@ def error_examples(spark, sf_dir):
     SELECT host_id, path, place, greatest(n - 10, 0) AS omitted FROM ranked WHERE place <= 10""",
 )
 def shown_evidence(spark, sf_dir):
-    inv = K.inventory(spark, sf_dir)
-    found = N.codebase_archive(D.staged_archives(inv, D.files_in_queues(inv, K.queues(spark, sf_dir))))
+    inv = K.stored_inventory(spark, sf_dir)
+    found = N.codebase_archive(D.staged_archives(inv, D.files_in_queues(inv, K.queues(inv))))
     return R.shown_evidence(found.evidence).select(
         "host_id", "path", long(F.col("place"), "place"), "omitted"
     )
@@ -547,7 +549,7 @@ def merge_triage(spark, sf_dir):
     moved = Q.ledger(spark, sf_dir).select(
         "host_id", F.concat(F.lit("/home/u/src/src"), order.cast("string")).alias("repo_path"), "status"
     )
-    return G.merge_triage(moved, G.history_objects(Z.objects(spark, sf_dir))).fillna(
+    return G.merge_triage(moved, G.history_objects(Z.objects(Z.git_evidence(spark, sf_dir)))).fillna(
         0, ["history_objects"]
     )
 
@@ -559,11 +561,12 @@ def merge_triage(spark, sf_dir):
     UNION SELECT host_id, repo_path FROM objects""",
 )
 def seed_repos(spark, sf_dir):
-    return G.seed_repos(Q.ledger(spark, sf_dir), Z.objects(spark, sf_dir).select(*G.REPO))
+    return G.seed_repos(Q.ledger(spark, sf_dir), Z.objects(Z.git_evidence(spark, sf_dir)).select(*G.REPO))
 
 
 def evidence_tables(spark: SparkSession, sf_dir: str) -> P.EvidenceTables:
-    inventory = materialize(K.inventory(spark, sf_dir), "inventory")
+    inventory = K.stored_inventory(spark, sf_dir)
+    git = Z.stored_evidence(spark, sf_dir)
     errors = collector_errors(spark, sf_dir)
     config = V.project(spark, sf_dir, V.CONFIG_FILES).withColumn(
         "path", F.concat("home", F.lit("/config.toml"))
@@ -587,9 +590,9 @@ def evidence_tables(spark: SparkSession, sf_dir: str) -> P.EvidenceTables:
         config_files=config.filter("status <> 'missing'"),
         manifests=K.manifests(spark, sf_dir),
         version_files=V.project(spark, sf_dir, V.VERSION_TEXTS).select("host_id", "path", "text"),
-        git_objects=Z.objects(spark, sf_dir),
-        head_tree=Z.head_tree(spark, sf_dir),
-        blobs=Z.blobs(spark, sf_dir),
+        git_objects=Z.objects(git),
+        head_tree=Z.head_tree(git),
+        blobs=Z.blobs(git),
         collector_errors=errors,
     )
 

@@ -15,6 +15,7 @@ from fleetlens.operators import triage as G
 from fleetlens.operators.secret_scan import scan_contents
 from fleetlens.plans import evidence as V
 from fleetlens.plans.catalog import query
+from fleetlens.session import materialize
 from fleetlens.sources.rules import default_rules, rules_table
 from fleetlens.spec import DEFAULT_SPEC as SPEC
 
@@ -115,32 +116,38 @@ secrets AS (SELECT h.host_id, h.repo_path, h.path, coalesce(f.rule_id, h.class)
   WHERE h.class <> '' OR f.rule_id IS NOT NULL)"""
 
 
-def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.project(spark, sf_dir, V.GIT_OBJECTS).select(
-        "host_id", "repo_path", "seq", "sha", "path"
-    )
+def git_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.project(spark, sf_dir, V.GIT_OBJECTS)
 
 
-def head_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.project(spark, sf_dir, V.GIT_OBJECTS).filter("t_in_head").select(
-        "host_id", "repo_path", "path", "sha"
-    )
+def stored_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a written table, for queries that read it several times."""
+    return materialize(git_evidence(spark, sf_dir), "git")
+
+
+def objects(raw: DataFrame) -> DataFrame:
+    return raw.select("host_id", "repo_path", "seq", "sha", "path")
 
 
-def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.project(spark, sf_dir, V.GIT_OBJECTS).select(
+def head_tree(raw: DataFrame) -> DataFrame:
+    return raw.filter("t_in_head").select("host_id", "repo_path", "path", "sha")
+
+
+def blobs(raw: DataFrame) -> DataFrame:
+    return raw.select(
         "host_id", "repo_path", "sha", "obj_type", "size",
         F.encode("t_content", "UTF-8").alias("content"),
     )
 
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.content_hits(objects(spark, sf_dir), blobs(spark, sf_dir), RULES)
+def hits(raw: DataFrame) -> DataFrame:
+    return G.content_hits(objects(raw), blobs(raw), RULES)
 
 
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = G.content_hits_first(hits(spark, sf_dir))
-    return G.secret_hits(objects(spark, sf_dir), head_tree(spark, sf_dir), first)
+    raw = stored_evidence(spark, sf_dir)
+    first = G.content_hits_first(hits(raw))
+    return G.secret_hits(objects(raw), head_tree(raw), first)
 
 
 @query(
@@ -153,7 +160,7 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def secret_path_classes(spark, sf_dir):
     p = F.col("path")
     return (
-        objects(spark, sf_dir).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+        objects(git_evidence(spark, sf_dir)).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
         .select(
             "path", P.classify_secret_path(p).alias("class"),
             P.is_template_name(F.lower(basename(p))).alias("template"),
@@ -170,7 +177,7 @@ def secret_path_classes(spark, sf_dir):
 )
 def allowlisted_paths(spark, sf_dir):
     return (
-        objects(spark, sf_dir).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+        objects(git_evidence(spark, sf_dir)).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
         .select("path", P.matches_any(F.col("path"), RULES.allow.paths).alias("allowlisted"), "n")
     )
 
@@ -223,7 +230,7 @@ def url_entropy(spark, sf_dir):
     FROM objects WHERE obj_type = 'blob' GROUP BY host_id, repo_path""",
 )
 def blob_filter(spark, sf_dir):
-    kept, oversized = G.blob_filter(blobs(spark, sf_dir), SMALL_BLOBS)
+    kept, oversized = G.blob_filter(blobs(stored_evidence(spark, sf_dir)), SMALL_BLOBS)
     counts = kept.groupBy(*G.REPO).agg(F.count(F.lit(1)).alias("kept"))
     return counts.join(oversized, G.REPO, "full_outer").fillna(0, ["kept", "oversized"])
 
@@ -233,7 +240,7 @@ def blob_filter(spark, sf_dir):
     f"""WITH {HITS_SQL} SELECT host_id, repo_path, sha, seq, path FROM firsts""",
 )
 def first_path_of_blob(spark, sf_dir):
-    return G.first_path_of_blob(objects(spark, sf_dir), RULES)
+    return G.first_path_of_blob(objects(git_evidence(spark, sf_dir)), RULES)
 
 
 @query(
@@ -241,7 +248,7 @@ def first_path_of_blob(spark, sf_dir):
     f"WITH {HITS_SQL} SELECT * FROM hits",
 )
 def scan_secrets(spark, sf_dir):
-    return hits(spark, sf_dir)
+    return hits(stored_evidence(spark, sf_dir))
 
 
 @query(
@@ -261,7 +268,7 @@ def secrets_in_documents(spark, sf_dir):
 
 @query("A18", f"WITH {HITS_SQL} SELECT * FROM first_hits")
 def content_hits_first(spark, sf_dir):
-    return G.content_hits_first(hits(spark, sf_dir))
+    return G.content_hits_first(hits(stored_evidence(spark, sf_dir)))
 
 
 @query(
@@ -270,7 +277,8 @@ def content_hits_first(spark, sf_dir):
     SELECT host_id, repo_path, path, bool_or(t_in_head) AS in_head FROM objects GROUP BY ALL""",
 )
 def deleted_from_checkout(spark, sf_dir):
-    return G.deleted_from_checkout(objects(spark, sf_dir), head_tree(spark, sf_dir))
+    raw = stored_evidence(spark, sf_dir)
+    return G.deleted_from_checkout(objects(raw), head_tree(raw))
 
 
 @query(
@@ -279,7 +287,7 @@ def deleted_from_checkout(spark, sf_dir):
     SELECT host_id, repo_path, path, arg_max(sha, seq) AS blob FROM objects GROUP BY ALL""",
 )
 def latest_blob_of_path(spark, sf_dir):
-    return G.latest_blob_of_path(objects(spark, sf_dir))
+    return G.latest_blob_of_path(objects(git_evidence(spark, sf_dir)))
 
 
 @query(
@@ -289,12 +297,10 @@ def latest_blob_of_path(spark, sf_dir):
     FROM objects GROUP BY ALL""",
 )
 def history_objects(spark, sf_dir):
-    everything = G.history_objects(
-        G.history_scope(objects(spark, sf_dir), head_tree(spark, sf_dir), "all")
-    )
-    head = G.history_objects(
-        G.history_scope(objects(spark, sf_dir), head_tree(spark, sf_dir), "none")
-    ).withColumnRenamed("history_objects", "head_objects")
+    raw = stored_evidence(spark, sf_dir)
+    everything = G.history_objects(G.history_scope(objects(raw), head_tree(raw), "all"))
+    head = G.history_objects(G.history_scope(objects(raw), head_tree(raw), "none"))
+    head = head.withColumnRenamed("history_objects", "head_objects")
     return everything.join(head, G.REPO, "left").fillna(0, ["head_objects"])
 
 
