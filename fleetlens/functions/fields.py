@@ -1,12 +1,14 @@
 """Drift-tolerant field access on JSON log lines.
 
-A line is read once with ``from_json``, every alias as its text. Text keeps a
-number as it was written, so ``4`` is an integer turn and ``4.0`` is not. The
+A line is read once with ``from_json``, every alias as its text. The text of a
+fraction keeps its point, so ``4`` is an integer turn and ``4.0`` is not. The
 last of repeated keys wins, and what follows the first value is ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ _ZONED = r"^(\d{4}-\d{2}-\d{2}) (\d{2}:\d{2}:\d{2}(?:\.\d+)?) ([+-]\d{2})(\d{2})
 _PLAIN = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d+)?$"
 _HAS_ZONE = r"(Z|[+-]\d{2}:\d{2})$"
 
+# Numbers that ``from_json`` may spell differently than the line does.
+_REWRITTEN = r"^(0|-?\d+(\.\d+)?[eE][+-]?\d+|-?\d+\.\d+)$"
+
 _CORRUPT = "_corrupt"
 _STRICT = {
     "mode": "PERMISSIVE",
@@ -96,11 +101,21 @@ def pick(aliases: tuple[str, ...]) -> Column:
     return F.coalesce(*[_field(a) for a in aliases])
 
 
+def _literal(text: Column, line: Column, aliases: tuple[str, ...]) -> Column:
+    """The number in the line that equals ``text`` under one of the keys, as written."""
+    keys = "|".join(re.escape(a.split(".")[-1]) for a in aliases)
+    written = F.regexp_extract_all(
+        line, F.lit(rf'"(?:{keys})"\s*:\s*(-?[0-9][0-9.eE+-]*)'), F.lit(1)
+    )
+    same = F.filter(written, lambda n: n.try_cast("double") == text.try_cast("double"))
+    return F.get(same, F.lit(0))
+
+
 def pick_str(text: Column, line: Column, aliases: tuple[str, ...]) -> Column:
     """A picked string as it is, a number as its literal, anything else as ''.
 
     Only text that could also be a boolean, an object or an array is looked up
-    again with its type.
+    again with its type, and only a fraction again for the way it is written.
     """
     record = F.try_parse_json(line)
     values = F.array(*[F.variant_get(record, _json_path(a), "variant") for a in aliases])
@@ -108,6 +123,7 @@ def pick_str(text: Column, line: Column, aliases: tuple[str, ...]) -> Column:
     doubtful = text.isin("true", "false") | text.rlike(r"^[\[{]")
     return (
         F.when(text.isNull(), "")
+        .when(text.rlike(_REWRITTEN), F.coalesce(_literal(text, line, aliases), text))
         .when(~doubtful, text)
         .when(F.schema_of_variant(first) == "STRING", text)
         .otherwise("")

@@ -94,7 +94,7 @@ def ancestors(path: Column, levels: int = 64) -> Column:
     slashes = F.length(cleaned) - F.length(F.replace(cleaned, F.lit("/")))
     below_root = F.transform(
         F.sequence(F.when(cleaned == "/", 1).otherwise(slashes + 1), F.lit(2), F.lit(-1)),
-        lambda n: F.substring_index(cleaned, "/", n),
+        lambda n: F.call_function("substring_index", cleaned, F.lit("/"), n),
     )
     every = F.when(cleaned == "/", F.array(F.lit("/"))).otherwise(
         F.concat(below_root, F.array(F.lit("/")))

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, fields
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.functions.paths import clean_path
 from fleetlens.operators import config_audit as A
 from fleetlens.operators import correlate as C
 from fleetlens.operators import disk as D
@@ -80,6 +82,30 @@ def unregister_detector(name: str) -> None:
     _DETECTORS.pop(name, None)
 
 
+def _run_detectors(ev: EvidenceTables, spec: IndicatorSpec) -> tuple[list[N.Found], DataFrame | None]:
+    """Findings of the registered detectors; one that fails marks every host degraded."""
+    found, failed = [], []
+    for name, fn in _DETECTORS.items():
+        try:
+            found.append(fn(ev, spec))
+        except Exception as err:  # a detector's fault must not hide the others' findings
+            failed.append((name, f"{type(err).__name__}: {err}"))
+    if not failed:
+        return found, None
+    errors = [
+        ev.hosts.select(
+            "host_id",
+            F.lit(name).alias("detector"),
+            F.lit("panic").alias("kind"),
+            F.lit("").alias("path"),
+            F.lit(message).alias("message"),
+            F.lit(True).alias("material"),
+        ).distinct()
+        for name, message in failed
+    ]
+    return found, reduce(DataFrame.unionByName, errors)
+
+
 def log_findings(parsed: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC):
     """The ledger of parsed log lines and what it leads to: (found, ledger, archives, sessions)."""
     events = L.relevant_events(parsed)
@@ -133,6 +159,8 @@ def assess(
     # Logs.
     parsed = materialize(L.parse_log_lines(ev.log_lines, spec), "parsed")
     of_logs, ledger, archived, sessions = log_findings(parsed, spec)
+    # Collectors name repositories by their clean path, logs as they please.
+    ledger = ledger.withColumn("repo_path", clean_path(F.col("repo_path")))
     ledger = materialize(D.repos_on_disk(ledger, inventory), "repos")
 
     # Versions.
@@ -167,6 +195,7 @@ def assess(
     _, oversized = G.blob_filter(ev.blobs.join(seeds, G.REPO, "left_semi"), spec)
     untriaged = G.untriaged_repos(ledger, objects)
 
+    of_detectors, failures = _run_detectors(ev, spec)
     found = N.union(
         [
             of_logs,
@@ -180,16 +209,16 @@ def assess(
             N.auth_present(inventory, homes, spec),
             N.affected_versions(own),
             N.secret_findings(secrets),
-            *[fn(ev, spec) for fn in _DETECTORS.values()],
+            *of_detectors,
         ]
     )
     findings = materialize(found.findings, "findings")
-    errors = materialize(
+    errors = (
         ev.collector_errors.select("host_id", "detector", "kind", "path", "message", "material")
         .unionByName(log_parse_errors(parsed))
-        .unionByName(config_errors),
-        "errors",
+        .unionByName(config_errors)
     )
+    errors = materialize(errors if failures is None else errors.unionByName(failures), "errors")
 
     triage = (
         G.history_objects(objects)

@@ -146,7 +146,8 @@ FILE_INVENTORY = """
 GIT_OBJECTS = """
   SELECT *, md5(t_content) AS sha FROM (
     SELECT 'host-' || cast(doc_id % 12 AS string) AS host_id,
-      '/home/u/src/' || source AS repo_path,
+      CASE WHEN doc_id % 3 = 0 THEN '/work/team' || cast(doc_id % 4 AS string) || '/app'
+        ELSE '/home/u/src/' || source END AS repo_path,
       doc_id AS seq, n_chars AS size, doc_id AS t_id,
       CASE WHEN doc_id % 17 = 0 THEN 'tree' ELSE 'blob' END AS obj_type,
       doc_id % 5 <> 0 AS t_in_head,
