@@ -247,13 +247,29 @@ def git_repositories(inventory: DataFrame) -> DataFrame:
 
 
 def repo_root_of(paths: DataFrame, repos: DataFrame) -> DataFrame:
-    """The nearest repository at or above each path; relative paths have none."""
-    distinct = paths.select("host_id", "path").distinct()
-    climbed = distinct.select("host_id", "path", F.explode(ancestors(F.col("path"))).alias("repo_path"))
-    return (
+    """The nearest repository at or above each path; relative paths have none.
+
+    Only the distinct directories climb, since most paths share theirs.
+    """
+    placed = (
+        paths.filter(F.col("path").startswith("/")).select("host_id", "path").distinct()
+        .withColumn("clean", clean_path(F.col("path")))
+        .withColumn("dir", dirname(F.col("clean")))
+    )
+    climbed = placed.select("host_id", "dir").distinct().select(
+        "host_id", "dir", F.explode(ancestors(F.col("dir"))).alias("repo_path")
+    )
+    above = (
         climbed.join(repos, ["host_id", "repo_path"])
-        .groupBy("host_id", "path")
-        .agg(F.max_by("repo_path", F.length("repo_path")).alias("repo_path"))
+        .groupBy("host_id", "dir")
+        .agg(F.max_by("repo_path", F.length("repo_path")).alias("above"))
+    )
+    itself = repos.select("host_id", F.col("repo_path").alias("clean"), F.lit(True).alias("is_root"))
+    return (
+        placed.join(above, ["host_id", "dir"], "left")
+        .join(itself, ["host_id", "clean"], "left")
+        .select("host_id", "path", F.when(F.col("is_root"), F.col("clean")).otherwise(F.col("above")).alias("repo_path"))
+        .filter(F.col("repo_path").isNotNull())
     )
 
 

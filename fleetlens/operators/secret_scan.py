@@ -194,12 +194,13 @@ def _texts(content: pa.Array) -> pa.Array:
 
 
 def scan_contents(units: DataFrame, rule_set: RuleSet) -> DataFrame:
-    """(sha, content, path_only) → one row per blob, rule and set of open path guards."""
+    """(sha, content, path_only) → one row per blob, rule and set of open path guards.
 
-    shared = units.sparkSession.sparkContext.broadcast(rule_set)
+    The rule table travels with the function; its size is the corpus, never the data.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = _Scanner(shared.value)
+        scanner = _Scanner(rule_set)
         for batch in batches:
             sha = batch.column("sha").to_pylist()
             texts = _texts(batch.column("content"))

@@ -152,9 +152,12 @@ def assess(
     installs = marked.filter("install")
     active = D.active_install(installs, ev.path_lookup)
     manifests = manifest_scan(ev.manifests, spec)
-    hints = D.repo_root_of(D.manifest_paths(ev.manifests, spec), D.git_repositories(inventory)).select(
-        "host_id", "repo_path"
-    ).distinct()
+    hints = materialize(
+        D.repo_root_of(D.manifest_paths(ev.manifests, spec), D.git_repositories(inventory))
+        .select("host_id", "repo_path")
+        .distinct(),
+        "hints",
+    )
 
     # Logs.
     parsed = materialize(L.parse_log_lines(ev.log_lines, spec), "parsed")
@@ -183,7 +186,7 @@ def assess(
     present = A.product_present(installs, queues, D.discovered_homes(inventory, hosts.limit(0), spec))
 
     # Secrets in the repositories that were implicated.
-    seeds = G.seed_repos(ledger, hints)
+    seeds = materialize(G.seed_repos(ledger, hints), "seeds")
     objects = ev.git_objects.join(seeds, G.REPO, "left_semi")
     tree = ev.head_tree.join(seeds, G.REPO, "left_semi")
     objects = G.history_scope(objects, tree, history)

@@ -126,6 +126,7 @@ def _gz_rows(path: str, data: bytes, max_line: int) -> Iterator[tuple]:
     error = None
     for piece, error in _inflate(data):
         *complete, carry = (carry + piece).split(b"\n")
+        carry = carry[:max_line]  # what a line has beyond its cap is never read
         for raw in complete:
             text = raw[:max_line].rstrip(b"\r\n")
             if text:
