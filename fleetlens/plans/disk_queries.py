@@ -164,7 +164,7 @@ def scan_candidates(spark, sf_dir):
     )
 
 
-@query("P33", f"WITH {CONTENT_SQL} SELECT host_id, path, marker, \"offset\" FROM ({_MARKERS_SQL}) AS m")
+@query("P33 T7", f"WITH {CONTENT_SQL} SELECT host_id, path, marker, \"offset\" FROM ({_MARKERS_SQL}) AS m")
 def marker_scan(spark, sf_dir):
     return D.marker_scan(contents(spark, sf_dir).drop("kind"))
 

@@ -366,7 +366,7 @@ def archive_counts(spark, sf_dir):
 )
 def auth_failures_in_window(spark, sf_dir):
     events = log_events(spark, sf_dir)
-    base = C.build_ledger(C.attributed_rows(events))
+    base = materialize(C.build_ledger(C.attributed_rows(events)), "ledger")
     return C.auth_failures_in_window(base, events).select(
         "host_id", "repo_key", "upload_auth_failures"
     )
@@ -385,7 +385,7 @@ def auth_failures_in_window(spark, sf_dir):
 )
 def auth_summary(spark, sf_dir):
     events = log_events(spark, sf_dir)
-    base = C.build_ledger(C.attributed_rows(events))
+    base = materialize(C.build_ledger(C.attributed_rows(events)), "ledger")
     return C.auth_summary(events, base).select(
         "host_id", "total", "in_window", "out_of_window", us("first_failure", "first_us"),
         us("last_failure", "last_us"), "windows",

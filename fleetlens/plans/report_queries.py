@@ -327,7 +327,7 @@ def log_findings(spark, sf_dir):
 )
 def auth_failure_titles(spark, sf_dir):
     events = Q.log_events(spark, sf_dir)
-    base = C.build_ledger(C.attributed_rows(events))
+    base = materialize(C.build_ledger(C.attributed_rows(events)), "ledger")
     return N.upload_auth_failure(C.auth_summary(events, base)).findings.select("host_id", "title")
 
 

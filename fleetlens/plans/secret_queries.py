@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from fleetlens.operators import triage as G
 from fleetlens.operators.secret_scan import scan_contents
 from fleetlens.plans import evidence as V
 from fleetlens.plans.catalog import query
-from fleetlens.session import materialize
+from fleetlens.session import materialize, shared_dir
+from fleetlens.sources.files import read_git_tables as read_exported
 from fleetlens.sources.rules import default_rules, rules_table
 from fleetlens.spec import DEFAULT_SPEC as SPEC
 
@@ -304,6 +306,30 @@ def history_objects(spark, sf_dir):
     return everything.join(head, G.REPO, "left").fillna(0, ["head_objects"])
 
 
+@query(
+    "S7",
+    f"""WITH {OBJECTS_SQL}
+    SELECT host_id, repo_path, count(*) AS objects, count(*) FILTER (t_in_head) AS head,
+      cast(sum(strlen(t_content)) AS bigint) AS bytes FROM objects GROUP BY ALL""",
+)
+def read_git_tables(spark, sf_dir):
+    """The three tables as a collector exports them, read back."""
+    raw = stored_evidence(spark, sf_dir)
+    root = f"{shared_dir(spark)}/fleetlens/export-{uuid.uuid4().hex}"
+    exported = {"git_objects": objects(raw), "head_tree": head_tree(raw), "blobs": blobs(raw)}
+    for name, df in exported.items():
+        df.write.parquet(f"{root}/{name}")
+    back = read_exported(spark, root)
+    counts = [
+        back["git_objects"].groupBy(*G.REPO).agg(F.count(F.lit(1)).alias("objects")),
+        back["head_tree"].groupBy(*G.REPO).agg(F.count(F.lit(1)).alias("head")),
+        back["blobs"].groupBy(*G.REPO).agg(F.sum(F.octet_length("content")).alias("bytes")),
+    ]
+    return (
+        counts[0].join(counts[1], G.REPO, "left").join(counts[2], G.REPO).fillna(0, ["head"])
+    )
+
+
 @query("P19 J7 A24 A18", f"WITH {SECRETS_SQL} SELECT * FROM secrets")
 def secret_hits(spark, sf_dir):
     return secrets(spark, sf_dir).drop("in_history")
