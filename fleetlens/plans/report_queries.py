@@ -265,7 +265,7 @@ def other_config_keys(spark, sf_dir):
 @query(
     "J16",
     f"""WITH {K.INVENTORY_SQL}, lookup AS ({V.as_sql(V.PATH_LOOKUP)}),
-    chosen AS (SELECT DISTINCT host_id, CASE WHEN host_id IN (SELECT host_id FROM lookup WHERE ord % 7 = 0)
+    chosen AS (SELECT DISTINCT host_id, CASE WHEN host_id IN (SELECT host_id FROM lookup)
         THEN '/mnt/c' || cast(length(host_id) % 9 AS varchar) || '/.grok' ELSE '' END AS install_home FROM inventory)
     SELECT h.host_id, min(CASE WHEN h.home = c.install_home THEN '0' WHEN h.home = '/home/u/.grok' THEN '1'
         ELSE '3' END || h.home || '/config.toml') AS ranked
@@ -277,8 +277,7 @@ def active_config(spark, sf_dir):
     states = D.discovered_homes(inv, hosts).select(
         "host_id", F.concat("home", F.lit("/config.toml")).alias("path")
     )
-    marked_hosts = K.path_lookup(spark, sf_dir).filter("ord % 7 = 0").select("host_id").distinct()
-    active = marked_hosts.select(
+    active = K.path_lookup(spark, sf_dir).select("host_id").distinct().select(
         "host_id",
         F.concat(
             F.lit("/mnt/c"), (F.length("host_id") % 9).cast("string"), F.lit("/.grok/bin/grok")
@@ -292,13 +291,13 @@ def active_config(spark, sf_dir):
     "J18 F19",
     f"""WITH {K.INVENTORY_SQL}
     SELECT host_id, path, cast(max(size) AS bigint) AS size_bytes FROM (
-      SELECT host_id, '/home/u/.grok/auth.json' AS path, size FROM inventory WHERE t_k = 9 AND t_id % 3 = 0) AS a
+      SELECT host_id, '/home/u/.grok/auth.json' AS path, size FROM inventory WHERE t_k = 9) AS a
     GROUP BY ALL""",
 )
 def auth_files(spark, sf_dir):
-    """Credential files placed in the home of some hosts of the inventory."""
+    """Package files of the inventory seen as credential files of the home."""
     raw = V.project(spark, sf_dir, V.FILE_INVENTORY)
-    placed = raw.filter("t_k = 9 AND t_id % 3 = 0").select(
+    placed = raw.filter("t_k = 9").select(
         "host_id", F.lit("/home/u/.grok/auth.json").alias("path"), "size"
     )
     inv = K.stored_inventory(spark, sf_dir)
