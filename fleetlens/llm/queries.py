@@ -1,6 +1,6 @@
 """All queries of this subpackage; importing the modules registers them."""
 
-from fleetlens.llm import url_queries  # noqa: F401
+from fleetlens.llm import chat_queries, quality_queries, url_queries  # noqa: F401
 from fleetlens.llm.catalog import QUERIES
 
 __all__ = ["QUERIES"]
