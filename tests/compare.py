@@ -8,6 +8,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -26,9 +27,16 @@ def rows(frame) -> tuple[list[str], list[str], collections.Counter]:
     frame = frame[columns]
     kinds = ["n" if frame[c].dtype.kind in "iu" else frame[c].dtype.kind for c in columns]
     kinds = [k if k != "T" else "O" for k in kinds]
-    # Objects may be strings or missing; anything else would not compare across engines.
+    # A column with missing whole numbers comes as floats from one engine, as objects from another.
+    kinds = ["?" if frame[c].isna().any() else k for c, k in zip(columns, kinds, strict=True)]
+
+    def plain(v) -> str:
+        if pd.api.types.is_scalar(v) and pd.isna(v):
+            return "None"
+        return str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
+
     data = collections.Counter(
-        tuple(str(v) for v in r) for r in frame.itertuples(index=False, name=None)
+        tuple(plain(v) for v in r) for r in frame.itertuples(index=False, name=None)
     )
     return columns, kinds, data
 
