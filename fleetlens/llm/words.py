@@ -64,6 +64,7 @@ class Words:
     hashes: np.ndarray
     doc: np.ndarray
     first: np.ndarray
+    inside: np.ndarray
 
 
 def split(texts: list[bytes], separator: np.ndarray = SPACES, lower: bool = True) -> Words:
@@ -89,7 +90,20 @@ def split(texts: list[bytes], separator: np.ndarray = SPACES, lower: bool = True
             hashes = mix(np.add.reduceat(value, start) * _power("down", len(data))[start])
     first = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
-    return Words(data, offsets, start, end, hashes, doc, first)
+    return Words(data, offsets, start, end, hashes, doc, first, inside)
+
+
+def prefixes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first ``size`` bytes of all words longer than that, and which words these are."""
+    long = np.flatnonzero(words.end - words.start > size)
+    if not len(long):
+        return np.zeros(0, dtype=np.uint64), long
+    start = words.start[long]
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(long), dtype=np.uint64)
+        for j in range(size):
+            total += _BYTE[words.data[start + j]] * _power("up", size)[j]
+    return mix(total ^ _U(size)), long
 
 
 def windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
