@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,20 +36,23 @@ _own_dir: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder for written intermediate tables, as the cluster names it.
 
-    Only a session that names none (a local test) gets a temporary one.
+    Only a local session that names none (a test) gets a temporary one: on a cluster each
+    executor would write to a disk of its own.
     """
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="fleetlens-")
     return _own_dir
 
 
-def materialize(df, name: str):
+def materialize(df, name: str, **options):
     """Cut lineage through a written table that survives executor loss."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fleetlens/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.parquet(path)
