@@ -16,7 +16,7 @@ the square of the turns of one conversation, as the method has it.
 
 from __future__ import annotations
 
-import os
+import functools
 import re
 from collections.abc import Callable, Iterator
 
@@ -32,6 +32,7 @@ _UNESCAPE = re.compile(r"(?:(<)\\(?=\\*/?s>))|(?:(\[)\\(?=\\*/?(?:INST|ROLE)\]))
 _PROBES = ("\x01", "\x02")
 
 
+@functools.lru_cache(maxsize=4096)
 def escape(text: str) -> str:
     r"""Break control strings by a backslash behind their first character: ``<s>`` is ``<\s>``."""
     return _ESCAPE.sub(lambda m: m.group() + "\\", text)
@@ -79,7 +80,8 @@ def parse_inst(formatted: str) -> Messages:
 
 
 def _common(a: str, b: str) -> int:
-    return len(os.path.commonprefix([a, b]))
+    """How many characters both begin with."""
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
 def render_turns(template: Template, messages: Messages) -> tuple[str, list[tuple[int, int]], list[int]]:
@@ -97,10 +99,11 @@ def render_turns(template: Template, messages: Messages) -> tuple[str, list[tupl
             rewriting.append(k)
             spans = [(len(after), len(after))] * (k + 1)
         else:
-            one, two = (template([*messages[:k], (role, probe)]) for probe in _PROBES)
+            # What two probes have in common behind the earlier turns are the markers.
+            one, two = (template([*messages[:k], (role, probe)])[len(before) :] for probe in _PROBES)
             head = _common(one, two)
             tail = _common(one[head:][::-1], two[head:][::-1])
-            spans.append((head, len(after) - tail))
+            spans.append((len(before) + head, len(after) - tail))
         before = after
     return before, spans, rewriting
 
