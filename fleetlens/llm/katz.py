@@ -365,7 +365,8 @@ def _history_sums(history: np.ndarray, size: int, counts: np.ndarray, mass: np.n
     many = counts > CUT
     sums[:, CUT] = np.bincount(history[many], counts[many], size).astype(np.int64)
     seen = counts > 0
-    return sums, np.bincount(history[seen], mass[seen], size)
+    # Without any follower the sums of bincount would be whole numbers.
+    return sums, np.bincount(history[seen], mass[seen], size).astype(np.float64)
 
 
 def _tell_pairs(model: Unigrams):
