@@ -258,9 +258,9 @@ def near_classes(
         doc_id,
         F.when(F.col("_key").isNull(), F.col(doc_id)).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
-        F.coalesce(
-            (F.col("key") == F.col("keeper")) & F.col(doc_id).eqNullSafe(F.col("class_id")), F.lit(True)
-        ).alias("kept"),
+        F.when(F.col("_key").isNull(), F.lit(True))
+        .otherwise((F.col("key") == F.col("keeper")) & F.col(doc_id).eqNullSafe(F.col("class_id")))
+        .alias("kept"),
     )
 
 
