@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
+import ahocorasick
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -175,10 +176,6 @@ class _Scanner:
 
 
 def _word_finder(words: list[str]) -> Callable[[str], set[str]]:
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: {w for w in words if w in text}
     automaton = ahocorasick.Automaton()
     for w in words:
         automaton.add_word(w, w)

@@ -23,11 +23,28 @@ def seed_repos(ledger: DataFrame, hints: DataFrame, extra: DataFrame | None = No
 
 
 def history_scope(objects: DataFrame, head_tree: DataFrame, scope: str) -> DataFrame:
-    """Which objects count as sent: reachable from HEAD, from any ref, or only HEAD's tree."""
+    """Which objects count as sent: from any ref, reachable from HEAD, or only HEAD's tree.
+
+    objects(host_id, repo_path, seq, sha, path, obj_type, from_head), where ``from_head`` is
+    needed for the scope "head" only.
+    """
+    columns = [*REPO, "seq", "sha", "path", "obj_type"]
     if scope == "none":
-        return head_tree.select(*REPO, F.lit(0).cast("bigint").alias("seq"), "sha", "path")
-    kept = objects.filter("from_head") if scope == "head" and "from_head" in objects.columns else objects
-    return kept.select(*REPO, "seq", "sha", "path")
+        return head_tree.select(
+            *REPO, F.lit(0).cast("bigint").alias("seq"), "sha", "path", F.lit("blob").alias("obj_type")
+        )
+    if scope == "head":
+        if "from_head" not in objects.columns:
+            raise ValueError("the scope 'head' needs the column from_head of the git objects")
+        objects = objects.filter("from_head")
+    elif scope != "all":
+        raise ValueError(f"unknown history scope {scope!r}")
+    return objects.select(*columns)
+
+
+def files_only(objects: DataFrame) -> DataFrame:
+    """A history also lists directories, which hold no credential of their own."""
+    return objects.filter(F.col("obj_type") == "blob")
 
 
 def history_objects(objects: DataFrame) -> DataFrame:
@@ -36,7 +53,7 @@ def history_objects(objects: DataFrame) -> DataFrame:
 
 def deleted_from_checkout(objects: DataFrame, head_tree: DataFrame) -> DataFrame:
     """Distinct history paths, each either in HEAD or gone from it."""
-    history = objects.filter(F.col("path") != "").select(*REPO, "path").distinct()
+    history = files_only(objects).filter(F.col("path") != "").select(*REPO, "path").distinct()
     head = head_tree.select(*REPO, "path", F.lit(True).alias("in_head")).distinct()
     return history.join(head, [*REPO, "path"], "left").select(
         *REPO, "path", F.coalesce("in_head", F.lit(False)).alias("in_head")
@@ -44,7 +61,7 @@ def deleted_from_checkout(objects: DataFrame, head_tree: DataFrame) -> DataFrame
 
 
 def latest_blob_of_path(objects: DataFrame) -> DataFrame:
-    return objects.groupBy(*REPO, "path").agg(F.max_by("sha", "seq").alias("blob"))
+    return files_only(objects).groupBy(*REPO, "path").agg(F.max_by("sha", "seq").alias("blob"))
 
 
 def first_path_of_blob(objects: DataFrame, rule_set: RuleSet) -> DataFrame:
@@ -72,7 +89,7 @@ def blob_filter(
 
 
 def scan_units(firsts: DataFrame, kept: DataFrame, rule_set: RuleSet) -> DataFrame:
-    """Distinct contents to scan, each with one place to read it from.
+    """Distinct contents to scan: ``sha`` and whether a rule asks for its path only.
 
     A blob id names its content, so clones of a repository across the fleet are
     scanned once; the paths come back in ``content_hits``.
@@ -81,11 +98,7 @@ def scan_units(firsts: DataFrame, kept: DataFrame, rule_set: RuleSet) -> DataFra
     return (
         firsts.join(kept.select(*REPO, "sha").distinct(), [*REPO, "sha"], "left_semi")
         .groupBy("sha")
-        .agg(
-            F.min(F.struct(*REPO)).alias("at"),
-            F.bool_or(matches_any(F.col("path"), tuple(path_only))).alias("path_only"),
-        )
-        .select("sha", "at.*", "path_only")
+        .agg(F.bool_or(matches_any(F.col("path"), tuple(path_only))).alias("path_only"))
     )
 
 
@@ -109,8 +122,7 @@ def content_hits(
     firsts = first_path_of_blob(objects, rule_set)
     kept, _ = blob_filter(blobs, spec)
     units = scan_units(firsts, kept, rule_set)
-    contents = kept.filter(~looks_binary(F.col("content"))).select(*REPO, "sha", "content")
-    hits = scan_contents(contents.join(units, [*REPO, "sha"]), rule_set)
+    hits = scan_contents(_contents(kept).join(units, "sha"), rule_set)
     ids = _rule_ids(hits, rule_set)
     scannable = firsts.join(kept.select(*REPO, "sha").distinct(), [*REPO, "sha"], "left_semi")
     return scannable.join(ids, "sha").filter(_rule_path_gate(rule_set)).select(
@@ -118,6 +130,15 @@ def content_hits(
     ).distinct()
 
 
+def _contents(kept: DataFrame) -> DataFrame:
+    """One text per blob id; copies of a blob meet before their contents move."""
+    return (
+        kept.filter(~looks_binary(F.col("content")))
+        .groupBy("sha")
+        .agg(F.any_value("content").alias("content"))
+    )
+
+
 def _rule_ids(hits: DataFrame, rule_set: RuleSet) -> DataFrame:
     names = F.array(*[F.lit(r.id) for r in rule_set.rules])
     return hits.withColumn("rule_id", F.get(names, F.col("rule_ord")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import replace
 
@@ -43,28 +44,50 @@ def _entropy_sql(s: str) -> str:
     )
 
 
+def _groups(pattern: str) -> int:
+    """Capturing groups: opening brackets that are neither escaped, in a class, nor marked ``(?``."""
+    bare = re.sub(r"\\.", "", pattern)
+    bare = re.sub(r"\[\]?[^\]]*\]", "", bare)
+    return len(re.findall(r"\((?!\?)", bare))
+
+
+def _allowed_sql(allow) -> str:
+    """Whether an allowlist hits a match, its path test left out: those are applied on the paths."""
+    # No content of the projection holds what the line allowlists look for.
+    target = {"match": "match", "line": "''"}.get(allow.target, "secret")
+    tests = []
+    if allow.regexes:
+        tests.append(f"regexp_matches({target}, {_quote(_union(allow.regexes))})")
+    if allow.stopwords:
+        words = "|".join(re.escape(w) for w in allow.stopwords)
+        tests.append(f"regexp_matches(lower(secret), {_quote(words)})")
+    return "(" + " OR ".join(tests) + ")" if tests else "false"
+
+
 def _rule_sql(i: int) -> str:
     """Blobs a rule hits, its path conditions left out."""
     rule = RULES.rules[i]
-    group = rule.secret_group or (1 if "(" in rule.regex.replace("(?", "") else 0)
+    numbers = [rule.secret_group] if rule.secret_group else range(1, _groups(rule.regex) + 1)
+    regex = _quote(rule.regex)
+    columns = [f"unnest(regexp_extract_all(t_content, {regex}, 0)) AS match"]
+    columns += [f"unnest(regexp_extract_all(t_content, {regex}, {g})) AS g{g}" for g in numbers]
+    secret = "coalesce(" + "".join(f"nullif(g{g}, ''), " for g in numbers) + "match)"
+    if rule.secret_group:
+        secret = f"g{rule.secret_group}"
     gate = " OR ".join(f"contains(lower(t_content), {_quote(w)})" for w in rule.gate_words) or "true"
-    tests = [f"NOT regexp_matches(secret, {_quote(_union(RULES.allow.regexes))})"]
-    tests += [f"NOT contains(lower(secret), {_quote(w)})" for w in RULES.allow.stopwords]
-    tests += [
-        f"NOT regexp_matches(secret, {_quote(_union(a.regexes))})" for a in rule.allow if a.regexes
-    ]
+    tests = [f"NOT {_allowed_sql(a)}" for a in (RULES.allow, *rule.allow) if not (a.all_of and a.paths)]
     if rule.entropy:
         tests.append(f"{_entropy_sql('secret')} > {rule.entropy}")
     return (
         f"SELECT DISTINCT sha, {i} AS rule_ord, {_quote(rule.id)} AS rule_id FROM ("
-        f"SELECT sha, unnest(regexp_extract_all(t_content, {_quote(rule.regex)}, {group})) AS secret "
-        f"FROM contents WHERE {gate}) AS m WHERE {' AND '.join(tests)}"
+        f"SELECT sha, match, {secret} AS secret FROM (SELECT sha, {', '.join(columns)} "
+        f"FROM contents WHERE {gate}) AS m) AS n WHERE {' AND '.join(tests)}"
     )
 
 
 _PATH_RULES = {i: r.path for i, r in enumerate(RULES.rules) if r.path}
 _PATH_GUARDS = {
-    i: a.paths for i, r in enumerate(RULES.rules) for a in r.allow if a.paths
+    i: a.paths for i, r in enumerate(RULES.rules) for a in r.allow if a.paths and not a.all_of
 }
 _PATH_ONLY = [i for i, r in enumerate(RULES.rules) if r.path and not r.regex]
 
@@ -110,7 +133,7 @@ CLASS_SQL = """CASE
 
 SECRETS_SQL = f"""{HITS_SQL},
 history AS (SELECT host_id, repo_path, path, arg_max(sha, seq) AS blob, bool_or(t_in_head) AS in_head,
-    {CLASS_SQL} AS class FROM objects GROUP BY host_id, repo_path, path),
+    {CLASS_SQL} AS class FROM objects WHERE obj_type = 'blob' GROUP BY host_id, repo_path, path),
 secrets AS (SELECT h.host_id, h.repo_path, h.path, coalesce(f.rule_id, h.class) AS class,
     coalesce(f.blob, h.blob) AS blob, h.in_head, NOT h.in_head AS deleted_from_checkout
   FROM history h LEFT JOIN first_hits f
@@ -128,7 +151,9 @@ def stored_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def objects(raw: DataFrame) -> DataFrame:
-    return raw.select("host_id", "repo_path", "seq", "sha", "path")
+    return raw.select(
+        "host_id", "repo_path", "seq", "sha", "path", "obj_type", (F.col("seq") % 7 != 0).alias("from_head")
+    )
 
 
 def head_tree(raw: DataFrame) -> DataFrame:
@@ -276,7 +301,8 @@ def content_hits_first(spark, sf_dir):
 @query(
     "J7 O3",
     f"""WITH {OBJECTS_SQL}
-    SELECT host_id, repo_path, path, bool_or(t_in_head) AS in_head FROM objects GROUP BY ALL""",
+    SELECT host_id, repo_path, path, bool_or(t_in_head) AS in_head FROM objects
+    WHERE obj_type = 'blob' GROUP BY ALL""",
 )
 def deleted_from_checkout(spark, sf_dir):
     raw = stored_evidence(spark, sf_dir)
@@ -286,7 +312,8 @@ def deleted_from_checkout(spark, sf_dir):
 @query(
     "A24",
     f"""WITH {OBJECTS_SQL}
-    SELECT host_id, repo_path, path, arg_max(sha, seq) AS blob FROM objects GROUP BY ALL""",
+    SELECT host_id, repo_path, path, arg_max(sha, seq) AS blob FROM objects
+    WHERE obj_type = 'blob' GROUP BY ALL""",
 )
 def latest_blob_of_path(spark, sf_dir):
     return G.latest_blob_of_path(objects(git_evidence(spark, sf_dir)))
@@ -295,7 +322,8 @@ def latest_blob_of_path(spark, sf_dir):
 @query(
     "A23 O5",
     f"""WITH {OBJECTS_SQL}
-    SELECT host_id, repo_path, count(*) AS history_objects, count(*) FILTER (t_in_head) AS head_objects
+    SELECT host_id, repo_path, count(*) AS history_objects, count(*) FILTER (t_in_head) AS head_objects,
+      count(*) FILTER (seq % 7 <> 0) AS from_head_objects
     FROM objects GROUP BY ALL""",
 )
 def history_objects(spark, sf_dir):
@@ -303,7 +331,13 @@ def history_objects(spark, sf_dir):
     everything = G.history_objects(G.history_scope(objects(raw), head_tree(raw), "all"))
     head = G.history_objects(G.history_scope(objects(raw), head_tree(raw), "none"))
     head = head.withColumnRenamed("history_objects", "head_objects")
-    return everything.join(head, G.REPO, "left").fillna(0, ["head_objects"])
+    from_head = G.history_objects(G.history_scope(objects(raw), head_tree(raw), "head"))
+    from_head = from_head.withColumnRenamed("history_objects", "from_head_objects")
+    return (
+        everything.join(head, G.REPO, "left")
+        .join(from_head, G.REPO, "left")
+        .fillna(0, ["head_objects", "from_head_objects"])
+    )
 
 
 @query(
