@@ -6,86 +6,132 @@ uncertain, and an uncertain file is not mitigated.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.binding import bind
 from fleetlens.functions.paths import home_of, join_path
 from fleetlens.spec import DEFAULT_SPEC, IndicatorSpec
 
-STATE = "struct<`values`: map<string,string>, `keys`: map<string,array<string>>, uncertain: boolean>"
-_QUOTES = ('"""', "\'\'\'")
-
-
-def _without_comment(line: str) -> str:
-    quote = ""
-    for i, c in enumerate(line):
-        if quote:
-            if c == quote and not (c == '"' and line[i - 1] == "\\"):
-                quote = ""
-        elif c == "'" or (c == '"' and (i == 0 or line[i - 1] != "\\")):
-            quote = c
-        elif c == "#":
-            return line[:i]
-    return line
-
-
-def read_state(text: str, watched: frozenset[tuple[str, str]]) -> tuple[dict, dict, bool]:
-    """Boolean values by ``table.key``, key names by table, and whether to distrust it all."""
-    values: dict[str, str] = {}
-    keys: dict[str, list[str]] = {}
-    uncertain, table, closing = False, "", ""
-    for raw in text.split("\n"):
-        if closing:
-            if closing in raw:
-                closing = ""
-            continue
-        line = _without_comment(raw.rstrip("\r")).strip()
-        if not line:
-            continue
-        opened = next((q for q in _QUOTES if q in line), "")
-        if opened and line.count(opened) < 2:
-            closing = opened
-        elif line.startswith("["):
-            end = line.find("]")
-            if line.startswith("[[") or end < 0:
-                uncertain = True
-            else:
-                table = line[1:end].strip().strip("\"'")
-        elif "=" not in line:
-            uncertain = True
-        else:
-            name, _, value = line.partition("=")
-            name = name.strip().strip("\"'")
-            where = table
-            if not table and "." in name:
-                where, _, name = name.rpartition(".")
-            if not where:
-                continue
-            keys.setdefault(where, []).append(name)
-            value = value.strip().removesuffix(",").lower()
-            if value in ("true", "false"):
-                values[f"{where}.{name}"] = value
-            elif (where, name) in watched:
-                uncertain = True
-    return values, {t: sorted(k) for t, k in keys.items()}, uncertain or bool(closing)
+# The pieces of a line: text, quoted strings (a closing double quote has no backslash before
+# it), backslashes with the double quote they keep from opening, and comment signs.
+_PIECES = (
+    r'''[^"'#\\]++|\\++"?|"[^"]*+(?:(?<=\\)"[^"]*+)*+(?:"|\z)|'[^']*+(?:'|\z)|#'''
+)
+_LONG_QUOTES = ('"""', "'''")
+_LINE = "struct<kind: string, name: string, value: string, opens: string, ends: array<string>>"
+_ENTRIES = "array<struct<place: string, name: string, value: string>>"
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _unquoted(text: Column) -> Column:
+    return F.btrim(_bare(text), F.lit("\"'"))
+
+
+def _line_facts(raw: Column) -> Column:
+    """What a line is by itself, and which long strings it would end."""
+    pieces = F.regexp_extract_all(raw, F.lit(_PIECES), F.lit(0))
+    sign = F.array_position(pieces, "#")
+    line = _bare(F.array_join(F.when(sign > 0, F.slice(pieces, 1, sign - 1)).otherwise(pieces), ""))
+    held = F.filter(F.array(*map(F.lit, _LONG_QUOTES)), lambda q: F.contains(line, q))
+    first = F.coalesce(F.get(held, F.lit(0)), F.lit(""))
+    # The first long quote of the line, if it stands there once only.
+    opens = F.when(
+        (first != "") & (F.length(line) - F.length(F.replace(line, first, F.lit(""))) < 6), first
+    ).otherwise("")
+    bracket, equals = F.instr(line, "]"), F.instr(line, "=")
+    kind = (
+        F.when(line == "", "empty")
+        .when(opens != "", "long")
+        .when(line.startswith("[[") | (line.startswith("[") & (bracket == 0)), "unclear")
+        .when(line.startswith("["), "table")
+        .when(equals == 0, "unclear")
+        .otherwise("entry")
+    )
+    name = F.when(kind == "table", F.substring(line, F.lit(2), bracket - 2)).when(
+        kind == "entry", F.substring(line, F.lit(1), equals - 1)
+    )
+    value = F.lower(F.regexp_replace(_bare(F.substring(line, equals + 1, F.length(line))), ",$", ""))
+    return F.struct(
+        kind.alias("kind"),
+        F.coalesce(_unquoted(name), F.lit("")).alias("name"),
+        value.alias("value"),
+        opens.alias("opens"),
+        F.filter(F.array(*map(F.lit, _LONG_QUOTES)), lambda q: F.contains(raw, q)).alias("ends"),
+    ).cast(_LINE)
+
+
+def _fold(state: Column, line: Column) -> Column:
+    """The state after one more line: the open long string, the table, doubt, the entries so far."""
+    inside = state["open"] != ""
+    entry = ~inside & (line["kind"] == "entry")
+    dotted = (state["table"] == "") & F.contains(line["name"], F.lit("."))
+    place = F.when(dotted, F.regexp_replace(line["name"], r"\.[^.]*$", "")).otherwise(state["table"])
+    name = F.when(dotted, F.substring_index(line["name"], ".", -1)).otherwise(line["name"])
+    return F.struct(
+        F.when(inside & F.array_contains(line["ends"], state["open"]), "")
+        .when(inside, state["open"])
+        .otherwise(line["opens"])
+        .alias("open"),
+        F.when(~inside & (line["kind"] == "table"), line["name"]).otherwise(state["table"]).alias("table"),
+        (state["doubt"] | (~inside & (line["kind"] == "unclear"))).alias("doubt"),
+        F.when(
+            entry & (place != ""),
+            F.concat(
+                state["entries"],
+                F.array(F.struct(place.alias("place"), name.alias("name"), line["value"].alias("value"))),
+            ),
+        )
+        .otherwise(state["entries"])
+        .alias("entries"),
+    )
 
 
 def config_state(text: Column, spec: IndicatorSpec = DEFAULT_SPEC) -> Column:
-    watched = frozenset((m.table, m.key) for m in spec.mitigations)
-
-    @F.pandas_udf(STATE)
-    def read(texts: pd.Series) -> pd.DataFrame:
-        states = [read_state(t, watched) for t in texts]
-        return pd.DataFrame(
-            {
-                "values": [s[0] for s in states],
-                "keys": [s[1] for s in states],
-                "uncertain": [s[2] for s in states],
-            }
+    """A struct: boolean ``values`` of the mitigations by locator, the ``keys`` of their tables, and
+    whether the file is ``uncertain``. One pass over the lines, as columns."""
+    start = F.struct(
+        F.lit("").alias("open"),
+        F.lit("").alias("table"),
+        F.lit(False).alias("doubt"),
+        F.array().cast(_ENTRIES).alias("entries"),
+    )
+    lines = F.transform(F.split(text, "\n"), _line_facts)
+
+    def finish(state: Column) -> Column:
+        entries = state["entries"]
+
+        def of(m):
+            return F.filter(entries, lambda e: (e["place"] == m.table) & (e["name"] == m.key))
+
+        def truth(e: Column) -> Column:
+            return e["value"].isin("true", "false")
+
+        values = [
+            (F.lit(m.locator), F.try_element_at(F.filter(of(m), truth), F.lit(-1))["value"])
+            for m in spec.mitigations
+        ]
+        unclear = F.lit(False)
+        for m in spec.mitigations:
+            unclear = unclear | F.exists(of(m), lambda e: ~truth(e))
+        tables = list(dict.fromkeys(m.table for m in spec.mitigations))
+
+        def names(table: str) -> Column:
+            own = F.filter(entries, lambda e: e["place"] == table)
+            return F.sort_array(F.transform(own, lambda e: e["name"]))
+
+        return F.struct(
+            F.map_filter(F.create_map(*[c for v in values for c in v]), lambda _, v: v.isNotNull()).alias("values"),
+            F.map_from_arrays(
+                F.array(*map(F.lit, tables)), F.array(*[names(t) for t in tables])
+            ).alias("keys"),
+            (state["doubt"] | unclear | (state["open"] != "")).alias("uncertain"),
         )
 
-    return read(text)
+    return F.aggregate(lines, start, _fold, finish)
 
 
 def homes_configs(
@@ -101,15 +147,18 @@ def homes_configs(
     joined = expected.join(
         config_files.select("host_id", "path", "status", "text"), ["host_id", "path"], "left"
     )
-    capped = F.substring(F.coalesce("text", F.lit("")), 1, spec.max_config_bytes)
-    parsed = joined.withColumn("state", config_state(capped, spec))
+    text = F.coalesce("text", F.lit(""))
+    # A file too long to be a configuration is not judged by its beginning.
+    long = F.octet_length(text) > spec.max_config_bytes
+    sized = joined.withColumns({"long": long, "text": F.when(long, F.lit("")).otherwise(text)})
+    parsed = bind(sized, {"state": config_state(F.col("text"), spec)})
     readable = F.coalesce(F.col("status") == "ok", F.lit(False))
     states = parsed.select(
         "host_id",
         "home",
         "path",
         F.coalesce(F.col("status") == "missing", F.lit(True)).alias("missing"),
-        (F.coalesce(F.col("status") == "unreadable", F.lit(False)) | (readable & F.col("state.uncertain"))).alias(
+        (F.coalesce(F.col("status") == "unreadable", F.lit(False)) | (readable & (F.col("long") | F.col("state.uncertain")))).alias(
             "uncertain"
         ),
         F.when(readable, F.col("state.values")).alias("values"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import filekind as K
@@ -10,8 +10,10 @@ from fleetlens.functions.binding import bind
 from fleetlens.functions.events import any_of
 from fleetlens.functions.paths import (
     ancestors,
+    basename,
     clean_path,
     dirname,
+    extension,
     join_path,
     prefixes_ending_in,
     under_dir,
@@ -97,20 +99,19 @@ def staged_archives(
 def hash_archives(
     archives: DataFrame, contents: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC
 ) -> tuple[DataFrame, DataFrame]:
-    """SHA-256 for the first archives of a host by path; the rest keep path and size.
+    """SHA-256 of every archive whose content was delivered; the rest keep path and size.
 
-    Returns the archives and, per host, how many stayed without a digest.
+    Contents are digested where they are read; only digests move. Returns the archives
+    and, per host, how many stayed without a digest.
     """
-    first = Window.partitionBy("host_id").orderBy("path")
-    chosen = (
-        archives.select("host_id", "path")
-        .withColumn("place", F.row_number().over(first))
-        .filter(F.col("place") <= spec.max_hashed_archives)
-        .join(contents.select("host_id", "path", "content"), ["host_id", "path"])
+    suffixes = (spec.archive_suffix, *spec.queue_archive_suffixes)
+    named = any_of([F.lower("path").endswith(s) for s in suffixes])
+    digests = (
+        contents.filter(named)
         .select("host_id", "path", K.sha256_hex(F.col("content")).alias("sha256"))
         .distinct()
     )
-    out = archives.join(chosen, ["host_id", "path"], "left")
+    out = archives.join(digests, ["host_id", "path"], "left")
     unhashed = (
         out.groupBy("host_id")
         .agg(
@@ -124,13 +125,20 @@ def hash_archives(
 
 def scan_candidates(inventory: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC) -> DataFrame:
     """Files whose content is worth reading, decided without reading any."""
-    gate = K.candidate_gate(
-        F.col("path"), F.col("name"), F.col("is_dir"), F.col("is_regular"), F.col("size"),
-        F.col("head4"), spec,
+    path = F.col("path")
+    # Bound once: the conditions below would each write these out again.
+    parts = bind(
+        inventory,
+        {
+            "ext": F.lower(extension(path)),
+            "parent": F.lower(basename(dirname(path))),
+            "command": K.is_product_binary(path, spec),
+            "queued": under_dir(path, spec.queue_dir),
+            "structure": K.structural_class(F.col("name"), F.col("is_dir"), spec),
+        },
     )
-    return inventory.filter(gate).select(
-        "host_id", "path", "size", K.file_kind(F.col("head4"), F.col("path")).alias("kind")
-    ).distinct()
+    kinds = bind(parts, {"kind": K.kind_of(F.hex("head4"), F.col("ext"), F.col("parent"))})
+    return kinds.filter(K.candidate_gate(spec)).select("host_id", "path", "size", "kind").distinct()
 
 
 def _with_hits(contents: DataFrame, spec: IndicatorSpec) -> DataFrame:
@@ -179,10 +187,13 @@ def marker_scan_chunks(chunks: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC) ->
 def marked_files(
     candidates: DataFrame, contents: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC
 ) -> DataFrame:
-    """Marker hits with kind, size and digest; only files that matched are digested."""
-    marked = _with_hits(contents.join(candidates, ["host_id", "path"]), spec)
-    digested = marked.withColumn("sha256", K.sha256_hex(F.col("content")))
-    return _per_marker(digested).withColumn(
+    """Marker hits with kind, size and digest; only files that matched are digested.
+
+    Contents are searched and digested where they are read; only hits move.
+    """
+    marked = _with_hits(contents.select("host_id", "path", "content"), spec)
+    digested = marked.select("host_id", "path", "hits", K.sha256_hex(F.col("content")).alias("sha256"))
+    return _per_marker(digested.join(candidates, ["host_id", "path"])).withColumn(
         "install", K.is_install(F.col("kind"), F.col("size"), spec)
     )
 

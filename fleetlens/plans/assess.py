@@ -42,7 +42,7 @@ class EvidenceTables:
     config_files: DataFrame  # host_id, path, status, text
     manifests: DataFrame  # host_id, path, name, text
     version_files: DataFrame  # host_id, path, text
-    git_objects: DataFrame  # host_id, repo_path, seq, sha, path
+    git_objects: DataFrame  # host_id, repo_path, seq, sha, path, obj_type, from_head
     head_tree: DataFrame  # host_id, repo_path, path, sha
     blobs: DataFrame  # host_id, repo_path, sha, obj_type, size, content
     collector_errors: DataFrame  # host_id, seq, detector, kind, path, message, material
@@ -167,7 +167,7 @@ def assess(
     ledger = materialize(D.repos_on_disk(ledger, inventory), "repos")
 
     # Versions.
-    own = W.dedupe_versions(
+    own = materialize(W.dedupe_versions(
         W.versions_from_manifests(ev.version_files, spec)
         .unionByName(W.versions_from_install_paths(marked.select("host_id", "path").distinct(), spec))
         .unionByName(
@@ -176,13 +176,14 @@ def assess(
                 spec,
             )
         )
-    )
+    ), "own_versions")
     versions = materialize(
         own.unionByName(L.versions_from_logs(parsed, spec)), "versions"
     )
 
     # Configuration.
     states, config_errors = A.homes_configs(homes, ev.config_files, spec)
+    states = materialize(states, "states")
     present = A.product_present(installs, queues, D.discovered_homes(inventory, hosts.limit(0), spec))
 
     # Secrets in the repositories that were implicated.

@@ -21,8 +21,6 @@ from fleetlens.sources import files as S
 from fleetlens.sources.logs import discover_logs as find_logs
 from fleetlens.spec import DEFAULT_SPEC as SPEC
 
-FEW_HASHES = replace(SPEC, max_hashed_archives=20)
-
 INVENTORY_SQL = f"""inventory AS ({V.as_sql(V.FILE_INVENTORY)}),
 homes AS (SELECT DISTINCT host_id, path AS home FROM inventory WHERE t_k IN (0, 16)
   UNION SELECT DISTINCT host_id, '/home/u/.grok' FROM inventory),
@@ -280,16 +278,16 @@ def staged_archives(spark, sf_dir):
 @query(
     "W4 P35",
     f"""WITH {INVENTORY_SQL}
-    SELECT host_id, path, size, CASE WHEN row_number() OVER (PARTITION BY host_id ORDER BY path) <= 20
-      THEN sha256(path || '!') ELSE '' END AS sha256 FROM staged""",
+    SELECT host_id, path, size, CASE WHEN size % 3 > 0 THEN sha256(path || '!') ELSE '' END AS sha256
+    FROM staged""",
 )
 def hash_archives(spark, sf_dir):
     inv = stored_inventory(spark, sf_dir)
     archives = D.staged_archives(inv, D.files_in_queues(inv, queues(inv)))
-    bodies = archives.select(
+    bodies = archives.filter("size % 3 > 0").select(
         "host_id", "path", F.encode(F.concat("path", F.lit("!")), "UTF-8").alias("content")
     )
-    hashed, _ = D.hash_archives(archives, bodies, FEW_HASHES)
+    hashed, _ = D.hash_archives(archives, bodies)
     return hashed.fillna("", ["sha256"])
 
 

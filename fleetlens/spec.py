@@ -90,8 +90,8 @@ class IndicatorSpec:
     max_version_file_bytes: int = 1 << 20
     max_blob_bytes: int = 10 << 20
     max_candidate_bytes: int = 512 << 20
+    # The size from which a script counts as a bundle: a definition, not a limit.
     bundle_min_bytes: int = 512 << 10
-    max_hashed_archives: int = 1000
 
     @property
     def event_start(self) -> str:
