@@ -152,34 +152,46 @@ def test_report_values(spark):
 FLAG = "disable_codebase_upload"
 
 
-@pytest.mark.parametrize(
-    ("text", "flag", "trace", "uncertain"),
-    [
-        (f"[telemetry]\ntrace_upload = false\n\n[harness]\n{FLAG} = true\n", True, True, False),
-        (f"[harness]\n{FLAG} = true\n", True, False, False),
-        (f"harness.{FLAG} = true\ntelemetry.trace_upload = false\n", True, True, False),
-        (f"[harness]\n  {FLAG}=true   # note\n", True, False, False),
-        (f"[harness]\n# {FLAG} = true\n", False, False, False),
-        ("[telemetry]\ntrace_upload = true\n", False, False, False),
-        (f"[telemetry]\n{FLAG} = true\n", False, False, False),
-        (f'[harness]\nnotes = """\n  {FLAG} = true\n"""\nmodel = "x"\n', False, False, False),
-        (f'[harness]\n{FLAG} = "true"\n', False, False, True),
-        (f"[harness]\n{FLAG} = [true]\n", False, False, True),
-        (f'[harness]\nnotes = """\n{FLAG} = true\n', False, False, True),
-        ("", False, False, False),
-        ("[[harness]]\n", False, False, True),
-        ("[harness\n", False, False, True),
-        ("no equals sign\n", False, False, True),
-        (f'[harness]\nx = "a # b"\n{FLAG} = TRUE,\r\n', True, False, False),
-        (f"[harness]\nx = 'it' # ' {FLAG}\n{FLAG} = true", True, False, False),
-    ],
-)
-def test_config_reader_fails_closed(text, flag, trace, uncertain):
-    watched = frozenset((m.table, m.key) for m in SPEC.mitigations)
-    values, _, doubt = A.read_state(text, watched)
-    assert (values.get(f"harness.{FLAG}") == "true", values.get("telemetry.trace_upload") == "false", doubt) == (
-        flag, trace, uncertain
+# text: the upload flag is on, the trace flag is off, the file is not to be trusted
+CONFIGS = {
+    f"[harness]\n{FLAG} = true\n[telemetry]\ntrace_upload = false": (True, True, False),
+    f"telemetry.trace_upload=false\nharness.{FLAG}=true": (True, True, False),
+    f"[ 'harness' ]\n\t'{FLAG}' = True, # why\r\n": (True, False, False),
+    f"[harness]\n{FLAG} = true\n{FLAG} = false": (False, False, False),
+    f"[harness]\n#{FLAG} = true": (False, False, False),
+    f"{FLAG} = true": (False, False, False),
+    f"[other]\n{FLAG} = true\ntrace_upload = false": (False, False, False),
+    f"[harness]\na = \'\'\'\n{FLAG} = true\n\'\'\' \n[telemetry]\ntrace_upload = false": (False, True, False),
+    f'[harness]\na = """b""" # c\n{FLAG} = true': (True, False, False),
+    f'[harness]\na = "q \\" # q"\n{FLAG} = true': (True, False, False),
+    f"[harness]\na = 'q\\' # ' {FLAG}\n{FLAG} = true": (True, False, False),
+    f'[harness]\na = \\" # "\n{FLAG} = true': (True, False, False),
+    f"[harness]\n{FLAG} = 1": (False, False, True),
+    f'[harness]\n{FLAG} = true\na = """': (True, False, True),
+    f"[[harness]]\n{FLAG} = true": (False, False, True),
+    "[telemetry\ntrace_upload = false": (False, False, True),
+    "telemetry": (False, False, True),
+    "": (False, False, False),
+}
+
+
+def test_config_reader_fails_closed(spark):
+    rows = spark.createDataFrame([(t,) for t in CONFIGS], "t string").select(
+        "t", A.config_state(F.col("t")).alias("s")
+    )
+    for r in rows.collect():
+        on, off = r.s["values"].get(f"harness.{FLAG}"), r.s["values"].get("telemetry.trace_upload")
+        assert (on == "true", off == "false", r.s["uncertain"]) == CONFIGS[r.t], r.t
+
+
+def test_long_config_is_uncertain(spark):
+    homes = spark.createDataFrame([("a", "/u/.grok")], "host_id string, home string")
+    text = f"[harness]\n{FLAG} = true\n[telemetry]\ntrace_upload = false\n" + "# x\n" * (SPEC.max_config_bytes // 4)
+    files = spark.createDataFrame(
+        [("a", "/u/.grok/config.toml", "ok", text)], "host_id string, path string, status string, text string"
     )
+    (state,) = A.homes_configs(homes, files)[0].select(A.overall_state().alias("s")).collect()
+    assert state.s == "uncertain"
 
 
 def test_config_states_and_errors(spark):
