@@ -9,7 +9,7 @@ so a group of copies keeps one whole text.
 Defined cases: lines are compared without spaces, tabs and returns around them; a line
 of fewer than ``min_words`` words is never removed; a null site is a site of its own,
 shared with the empty one; a null text stays null; a document whose lines all go has an
-empty text; a line held only by documents without id goes from all of them; repeated
+empty text; a line held only by documents without id stays in them; repeated
 rows are treated alike; columns of the input with the names of the added ones are
 replaced.
 """

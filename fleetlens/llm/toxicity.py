@@ -80,11 +80,14 @@ def fit(
     rate: float = 0.05,
     shrink: float = 1e-3,
     least_ratio: float = 1.0,
+    common: float = 0.05,
+    spread: float = 0.01,
 ) -> FactorizationMachine:
     """Logistic loss, Adagrad steps over mini-batches.
 
     A term's value is the log ratio of its smoothed shares among toxic and other rows, so
-    that terms seen in few rows start small; those under ``least_ratio`` are left out.
+    that terms seen in few rows start small. Of those under ``least_ratio``, which say
+    nothing alone but may in a pair, the ones in at least ``common`` of the rows stay.
     """
     rng = np.random.default_rng(7)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
@@ -98,10 +101,12 @@ def fit(
     with_term = np.bincount(flat[toxic], minlength=dimensions) + 1.0
     without = np.bincount(flat[~toxic], minlength=dimensions) + 1.0
     value = np.log(with_term / (labels.sum() + 2)) - np.log(without / ((labels == 0).sum() + 2))
-    value[(with_term + without < 5) | (np.abs(value) < least_ratio)] = 0
+    neutral = np.abs(value) < least_ratio
+    value[neutral] = np.where((with_term + without)[neutral] >= common * len(labels) + 2, 0.5, 0)
+    value[with_term + without < 5] = 0
     used_at_all = value != 0
     terms = [t[used_at_all[t]] for t in terms]
-    factors[used_at_all] = rng.normal(0, 0.01, (int(used_at_all.sum()), n_factors))
+    factors[used_at_all] = rng.normal(0, spread, (int(used_at_all.sum()), n_factors))
     seen_w, seen_v, seen_0 = np.full(dimensions, 1e-2), np.full((dimensions, n_factors), 1e-2), 1e-2
     for _ in range(epochs):
         order = rng.permutation(len(labels))
@@ -175,7 +180,7 @@ def train(
         .collect()
     )
     return fit(
-        [np.frombuffer(r["terms"], dtype=np.int32).astype(np.int64) for r in rows],
+        [np.frombuffer(r["terms"], dtype=np.int32) for r in rows],
         np.array([r["label"] for r in rows]),
         dimensions,
         **settings,
