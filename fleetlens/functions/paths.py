@@ -64,6 +64,12 @@ def _cleaned(path: Column) -> Column:
     )
 
 
+def plain_path(uri: Column) -> Column:
+    """The path of a file as its host names it, from the URI that a reader reports."""
+    decoded = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^file:/+", "/")
+
+
 def normalize_repo(path: Column, case_insensitive: Column) -> Column:
     cleaned = clean_path(path)
     return F.when(path == UNATTRIBUTED, path).otherwise(

@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from fleetlens.operators.log_events import relevant_events
 from fleetlens.plans import log_queries as Q
 from fleetlens.plans.catalog import query, us
 from fleetlens.session import shared_dir
+from fleetlens.sources.logs import placed_lines
 from fleetlens.streaming import auth, ledger, logs
 
 
@@ -16,20 +18,49 @@ def _place(spark, name: str) -> str:
     return f"{shared_dir(spark)}/fleetlens/{name}-{uuid.uuid4().hex}"
 
 
+def arriving_files(spark, sf_dir, root: str) -> None:
+    """The log lines as text files, one per host and log file, in file order."""
+    name = F.substring_index("path", "/", -1)
+    lines = Q.log_lines(spark, sf_dir).select("host_id", name.alias("name"), "line_no", "line")
+    (
+        lines.repartition("host_id", "name")
+        .sortWithinPartitions("host_id", "name", "line_no")
+        .select("host_id", "name", "line")
+        .write.partitionBy("host_id", "name")
+        .text(root)
+    )
+
+
+_PARTITIONS = "host_id string, name string"
+_LOG_DIR = "/home/u/.grok/logs/"
+
+
 @query(
     "R1",
-    f"""WITH {Q.EVENTS_SQL}
-    SELECT host_id, kind, count(*) AS n, cast(sum(CASE WHEN ts_us IS NULL THEN 0 ELSE 1 END) AS bigint) AS dated
-    FROM truth GROUP BY host_id, kind""",
+    f"""WITH {Q.EVENTS_SQL},
+    numbered AS (SELECT host_id, path, line_no AS id,
+        row_number() OVER (PARTITION BY host_id, path ORDER BY line_no) AS line_no FROM lines WHERE line <> '')
+    SELECT t.host_id, t.kind, count(*) AS n, cast(sum(CASE WHEN ts_us IS NULL THEN 0 ELSE 1 END) AS bigint) AS dated,
+      cast(sum(n.line_no) AS bigint) AS line_numbers
+    FROM truth t JOIN numbered n ON n.host_id = t.host_id AND n.path = t.path AND n.id = t.line_no
+    GROUP BY t.host_id, t.kind""",
 )
 def stream_log_events(spark, sf_dir):
+    """Files arrive, their lines are numbered and parsed."""
     root = _place(spark, "line-stream")
-    Q.log_lines(spark, sf_dir).select("host_id", "line").write.partitionBy("host_id").text(f"{root}/in")
-    events = logs.stream_log_events(spark, f"{root}/in")
-    logs.start_event_sink(events, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    arriving_files(spark, sf_dir, f"{root}/in")
+    arriving = logs.read_line_stream(spark, f"{root}/in", _PARTITIONS)
+
+    def keep(events, batch):
+        events.write.mode("overwrite").parquet(f"{root}/out/batch={batch}")
+
+    logs.start_line_sink(arriving, keep, f"{root}/checkpoint").awaitTermination()
     return (
         spark.read.parquet(f"{root}/out").filter("parsed").groupBy("host_id", "kind")
-        .agg(F.count(F.lit(1)).alias("n"), F.count("ts").alias("dated"))
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.count("ts").alias("dated"),
+            F.sum("line_no").alias("line_numbers"),
+        )
     )
 
 
@@ -40,18 +71,26 @@ def stream_log_events(spark, sf_dir):
       coalesce(first_us, -1) AS first_us, low_confidence FROM ledger_status""",
 )
 def stream_ledger(spark, sf_dir):
-    """Events arrive in three pieces; the ledger ends equal to the batch one."""
+    """Text files arrive in three batches; the ledger ends equal to the batch one."""
     root = _place(spark, "ledger-stream")
-    events = Q.log_events(spark, sf_dir)
-    for part in range(3):
-        events.filter(F.col("line_no") % 3 == part).write.mode("append").parquet(f"{root}/in")
-    files = len(spark.read.parquet(f"{root}/in").inputFiles())
-    arriving = (
-        spark.readStream.schema(events.schema)
-        .option("maxFilesPerTrigger", max(1, files // 3))
-        .parquet(f"{root}/in")
+    arriving_files(spark, sf_dir, f"{root}/in")
+    files = len(spark.read.text(f"{root}/in").inputFiles())
+    lines = (
+        spark.readStream.schema(f"value string, {_PARTITIONS}").format("text")
+        .option("maxFilesPerTrigger", max(1, -(-files // 3)))
+        .load(f"{root}/in")
+    )
+
+    def merge(placed, batch):
+        # The collector's folders say where the file lay on its host.
+        events = logs.parse_batch(placed, F.concat(F.lit(_LOG_DIR), F.col("name")))
+        ledger.merge_batch(relevant_events(events).drop("name"), batch, f"{root}/state")
+
+    (
+        placed_lines(lines).writeStream.foreachBatch(merge)
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True).start().awaitTermination()
     )
-    ledger.start_ledger(arriving, f"{root}/state", f"{root}/checkpoint").awaitTermination()
     return ledger.current_ledger(spark, f"{root}/state").select(
         "host_id", "repo_key", "status", "collect_attempts", "archives", "deliveries_confirmed",
         us("first_seen", "first_us"), "low_confidence",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.functions.paths import basename
+from fleetlens.functions.paths import basename, plain_path
 from fleetlens.spec import DEFAULT_SPEC, IndicatorSpec
 
 
@@ -14,7 +14,7 @@ def read_file_inventory(spark: SparkSession, root: str, host_id: Column) -> Data
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     ).select("path", "length", "modificationTime")
-    path = F.regexp_replace("path", r"^file:/*", "/")
+    path = plain_path(F.col("path"))
     return files.select(
         host_id.alias("host_id"),
         path.alias("path"),

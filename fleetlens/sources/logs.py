@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetlens.functions.paths import dirname, join_path
+from fleetlens.functions.paths import dirname, join_path, plain_path
 from fleetlens.spec import DEFAULT_SPEC, IndicatorSpec
 
 # binaryFile holds a file in one row; larger archives go through the text reader.
@@ -58,65 +58,87 @@ def split_log_content(files: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC) -> D
     )
 
 
-def read_log_lines(
-    spark: SparkSession,
-    paths: str | list[str],
-    spec: IndicatorSpec = DEFAULT_SPEC,
-    larger_than: int = -1,
-) -> DataFrame:
-    """Numbered lines of plain text files, which Spark splits freely.
+def placed_lines(lines: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC) -> DataFrame:
+    """Non-empty lines of a text source with the file and the split they are from, not numbered yet.
+
+    Keeps the columns beside ``value``.
+    """
+    others = [c for c in lines.columns if c != "value"]
+    return lines.select(
+        *others,
+        plain_path(F.col("_metadata.file_path")).alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        _trim_line(F.col("value"), spec).alias("line"),
+    ).filter(F.length("line") > 0)
+
+
+def number_lines(placed: DataFrame) -> DataFrame:
+    """``line_no`` for ``placed_lines`` of whole files.
 
     Within a split the row order is the file order. A number is therefore the
     rank within the split plus the lines of the splits before it; only the
     per-split counts are ordered, never the lines.
     """
-    lines = (
-        spark.read.text(paths)
-        .filter(F.col("_metadata.file_size") > larger_than)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("block"),
-            _trim_line(F.col("value"), spec).alias("line"),
-        )
-        .filter(F.length("line") > 0)
-        .withColumn("row", F.monotonically_increasing_id())
-    )
-    blocks = lines.groupBy("path", "block").agg(
+    rows = placed.withColumn("row", F.monotonically_increasing_id())
+    blocks = rows.groupBy("path", "block").agg(
         F.min("row").alias("first_row"), F.count(F.lit(1)).alias("n")
     )
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select(
         "path", "block", "first_row", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
     )
-    return lines.join(offsets, ["path", "block"]).select(
+    others = [c for c in placed.columns if c not in ("path", "block", "line")]
+    return rows.join(offsets, ["path", "block"]).select(
+        *others,
         "path",
         (F.col("row") - F.col("first_row") + F.col("offset") + 1).alias("line_no"),
         "line",
     )
 
 
+def read_log_lines(
+    spark: SparkSession,
+    paths: str | list[str],
+    spec: IndicatorSpec = DEFAULT_SPEC,
+    larger_than: int = -1,
+    host_id: Column | None = None,
+) -> DataFrame:
+    """Numbered lines of plain text files, which Spark splits freely.
+
+    ``host_id`` may use ``path``, the plain path of the file.
+    """
+    lines = placed_lines(spark.read.text(paths).filter(F.col("_metadata.file_size") > larger_than), spec)
+    return _of_host(number_lines(lines), host_id)
+
+
+def _of_host(lines: DataFrame, host_id: Column | None) -> DataFrame:
+    return lines if host_id is None else lines.select(host_id.alias("host_id"), "*")
+
+
+#: Compressed bytes fed to the inflater at once, and inflated bytes taken.
+_FED, _TAKEN = 1 << 18, 1 << 20
+
+
 def _inflate(data: bytes) -> Iterator[tuple[bytes, str | None]]:
     """Readable pieces of a gzip file; the last one may carry an error."""
-    rest = data
-    opened = False
-    while rest:
-        stream = zlib.decompressobj(wbits=31)
-        pending = rest
+    at, opened = 0, False
+    while at < len(data):
+        stream, fed = zlib.decompressobj(wbits=31), b""
         try:
-            while pending:
-                piece = stream.decompress(pending, 1 << 20)
-                pending = stream.unconsumed_tail
+            while not stream.eof and (fed or at < len(data)):
+                if not fed:
+                    fed, at = data[at : at + _FED], at + _FED
+                piece, fed = stream.decompress(fed, _TAKEN), stream.unconsumed_tail
                 opened = True
                 yield piece, None
-                if stream.eof:
-                    break
         except zlib.error as err:
             yield b"", "cut off" if opened else f"gzip open failed: {err}"
             return
         if not stream.eof:
             yield stream.flush(), "cut off"
             return
-        rest = stream.unused_data
+        # What the finished member left is where the next one begins.
+        at = min(at, len(data)) - len(stream.unused_data)
     if not opened:
         yield b"", "gzip open failed: empty file"
 
@@ -162,22 +184,21 @@ def inflate_files(files: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC) -> DataF
 
 
 def read_gz_tolerant(
-    spark: SparkSession, paths: str, spec: IndicatorSpec = DEFAULT_SPEC
+    spark: SparkSession, paths: str, spec: IndicatorSpec = DEFAULT_SPEC, host_id: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Lines of gzip logs, and the errors of those that are damaged.
 
     Files too large for one row are read by the text reader, which fails
     loudly on damage instead of keeping a part.
     """
-    listing = spark.read.format("binaryFile").load(paths)
+    listing = spark.read.format("binaryFile").load(paths).withColumn("path", plain_path(F.col("path")))
     small = inflate_files(listing.filter(F.col("length") <= _ONE_ROW_LIMIT), spec)
     lines = small.filter(F.col("line").isNotNull()).select("path", "line_no", "line")
     errors = small.filter(F.col("message").isNotNull()).select(
         F.lit("logs").alias("detector"), "kind", "path", "message", F.lit(True).alias("material")
     )
     whole = read_log_lines(spark, paths, spec, larger_than=_ONE_ROW_LIMIT)
-    lines = lines.unionByName(whole)
-    return lines, errors
+    return _of_host(lines.unionByName(whole), host_id), _of_host(errors, host_id)
 
 
 def log_parse_errors(parsed: DataFrame) -> DataFrame:

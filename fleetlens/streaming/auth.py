@@ -16,6 +16,8 @@ def stream_auth_window(
 ) -> DataFrame:
     """Each refusal that has collection activity of its host in the hour before it.
 
+    An early sign, not the batch answer: the batch job's window runs from the first to the
+    last activity of a repository, and so holds refusals between two distant activities too.
     Both sides are watermarked and the time bound limits the state. The join is
     a semi join: a refusal comes out once, however much activity precedes it.
     Rows later than the watermark are left to the batch job.

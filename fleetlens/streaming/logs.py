@@ -2,33 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from fleetlens.operators.log_events import parse_log_lines
+from fleetlens.sources.logs import number_lines, placed_lines
 from fleetlens.spec import DEFAULT_SPEC, IndicatorSpec
 
 
-def read_line_stream(spark: SparkSession, directory: str, spec: IndicatorSpec = DEFAULT_SPEC) -> DataFrame:
-    """Lines of files arriving below ``directory/host_id=…/``.
+def read_line_stream(
+    spark: SparkSession, directory: str, columns: str = "host_id string", spec: IndicatorSpec = DEFAULT_SPEC
+) -> DataFrame:
+    """Lines of files arriving below ``directory``, not numbered yet; ``columns`` are its partitions."""
+    lines = spark.readStream.schema(f"value string, {columns}").format("text").load(directory)
+    return placed_lines(lines, spec)
+
+
+def parse_batch(placed: DataFrame, path: Column | None = None, spec: IndicatorSpec = DEFAULT_SPEC) -> DataFrame:
+    """Typed events of one batch, with the same functions the batch job uses.
 
-    A stream has no line numbers; the batch reader assigns them.
+    A file arrives whole in one batch, so its lines are numbered there. ``path`` is what the
+    host calls the file, where that is not where it arrived.
     """
-    return (
-        spark.readStream.schema("value string, host_id string").format("text").load(directory)
-        .select(
-            "host_id",
-            F.col("_metadata.file_path").alias("path"),
-            F.lit(0).cast("bigint").alias("line_no"),
-            F.rtrim(F.substring("value", 1, spec.max_line_bytes), F.lit("\r\n")).alias("line"),
-        )
-        .filter(F.length("line") > 0)
-    )
+    lines = number_lines(placed)
+    return parse_log_lines(lines if path is None else lines.withColumn("path", path), spec)
 
 
-def stream_log_events(spark: SparkSession, directory: str, spec: IndicatorSpec = DEFAULT_SPEC) -> DataFrame:
-    """Typed events, with the same functions the batch job uses."""
-    return parse_log_lines(read_line_stream(spark, directory, spec), spec)
+def start_line_sink(placed: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, **trigger):
+    """Run ``sink(events, batch_id)`` on the typed events of every batch."""
+    return (
+        placed.writeStream.foreachBatch(lambda df, i: sink(parse_batch(df), i))
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
 
 
 def start_event_sink(events: DataFrame, target: str, checkpoint: str, **trigger):
