@@ -15,6 +15,16 @@ from fleetlens.llm import words as W
 
 #: Distinct words kept; beyond, the store starts anew.
 CACHE_WORDS = 1 << 19
+#: Plain words given to the tokenizer at once.
+_JOINED = 1000
+
+
+def _runs(word: str) -> int:
+    """How many runs the tokenizer surely splits a word in: one of letters, two with a mark behind; 0: not sure."""
+    if word.isalpha() and word.lower().isalpha():
+        return 1
+    stem = word[:-1]
+    return 2 if word[-1] in ".,;:!?" and stem.isalpha() and stem.lower().isalpha() else 0
 
 
 class WordTokenizer:
@@ -26,6 +36,9 @@ class WordTokenizer:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._end_id = end_id
+        vocabulary = self._tokenizer.get_vocab()
+        self._closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self._closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -33,13 +46,31 @@ class WordTokenizer:
         self._first = np.zeros(1, dtype=np.int64)
         self._ids = np.zeros(0, dtype=np.uint32)
 
-    def _learn(self, words: list[str]) -> None:
-        found = self._tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        ids = [e.ids for e in found]
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(sizes.sum()))
-        self._first = np.concatenate([self._first, self._first[-1] + np.cumsum(sizes)])
-        self._ids = np.concatenate([self._ids, flat])
+    def _learn(self, words: list[str]) -> list[int]:
+        """Store the ids of ``words``; the places of the words in the order they are stored."""
+        runs = np.fromiter(map(_runs, words), dtype=np.int64, count=len(words))
+        plain, order, alone = np.flatnonzero(runs), [], np.flatnonzero(runs == 0).tolist()
+        parts = [plain[a : a + _JOINED] for a in range(0, len(plain), _JOINED)]
+        texts = [" ".join([words[i] for i in part.tolist()]) for part in parts]
+        sizes, ids = [], []
+        for part, found in zip(parts, self._encode(texts), strict=True):
+            # The word with its n-th run ends at the n-th id that closes a run.
+            closing, ends = np.flatnonzero(self._closes[found]) + 1, np.cumsum(runs[part])
+            if len(closing) != ends[-1]:
+                alone += part.tolist()
+                continue
+            order += part.tolist()
+            sizes.append(np.diff(closing[ends - 1], prepend=0))
+            ids.append(found)
+        own = self._encode([words[i] for i in alone])
+        sizes.append(np.fromiter(map(len, own), dtype=np.int64, count=len(own)))
+        self._first = np.concatenate([self._first, self._first[-1] + np.cumsum(np.concatenate(sizes))])
+        self._ids = np.concatenate([self._ids, *ids, *own])
+        return order + alone
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype=np.uint32) for e in found]
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin (and the last one's end)."""
@@ -52,10 +83,10 @@ class WordTokenizer:
         if fresh:
             raw = found.data.tobytes()
             start, end = found.start[at[fresh]].tolist(), found.end[at[fresh]].tolist()
-            self._learn([raw[a:b].decode() for a, b in zip(start, end, strict=True)])
             base = len(places)
-            places.update((known[i], base + k) for k, i in enumerate(fresh))
-        entry = np.fromiter((places[h] for h in known), dtype=np.int64, count=len(known))[inverse]
+            order = self._learn([raw[a:b].decode() for a, b in zip(start, end, strict=True)])
+            places.update((known[fresh[i]], base + k) for k, i in enumerate(order))
+        entry = np.fromiter(map(places.__getitem__, known), dtype=np.int64, count=len(known))[inverse]
         sizes = self._first[entry + 1] - self._first[entry]
         before = np.concatenate([[0], np.cumsum(sizes)])
         # One closing id stands behind each earlier text.
