@@ -13,6 +13,8 @@ _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # A repeated JSON key is legal in a log line: the last one wins.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # What a Python worker holds at once, besides one row.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
