@@ -257,4 +257,7 @@ def merge_triage(ledger: DataFrame, triage: DataFrame) -> DataFrame:
     """Ledger rows with triage columns; triage-only repositories enter with status unknown."""
     theirs = [c for c in triage.columns if c not in REPO]
     joined = ledger.drop(*[c for c in theirs if c in ledger.columns]).join(triage, REPO, "full_outer")
-    return joined.withColumn("status", F.coalesce("status", F.lit("unknown")))
+    merged = joined.withColumn("status", F.coalesce("status", F.lit("unknown")))
+    if "secrets_scanned" in theirs:
+        merged = merged.withColumn("secrets_scanned", F.coalesce("secrets_scanned", F.lit(False)))
+    return merged

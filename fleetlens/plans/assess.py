@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.functions.paths import clean_path
+from fleetlens.functions.paths import clean_path, dirname
 from fleetlens.operators import config_audit as A
 from fleetlens.operators import correlate as C
 from fleetlens.operators import disk as D
@@ -35,7 +35,7 @@ class EvidenceTables:
     """What the collectors of all hosts delivered; every table is keyed by ``host_id``."""
 
     hosts: DataFrame  # host_id, home, user_home
-    log_lines: DataFrame  # host_id, path, line_no, line
+    log_lines: DataFrame  # host_id, path, line_no, line: read_log_lines or read_gz_tolerant with a host
     file_inventory: DataFrame  # host_id, path, name, is_dir, is_regular, size, head4
     file_content: DataFrame  # host_id, path, content
     path_lookup: DataFrame  # host_id, ord, entry, resolved
@@ -46,6 +46,7 @@ class EvidenceTables:
     head_tree: DataFrame  # host_id, repo_path, path, sha
     blobs: DataFrame  # host_id, repo_path, sha, obj_type, size, content
     collector_errors: DataFrame  # host_id, seq, detector, kind, path, message, material
+    interrupted_queues: DataFrame | None = None  # host_id, queue, message: walks that did not end
 
 
 @dataclass(frozen=True)
@@ -60,6 +61,13 @@ class ReportTables:
     versions: DataFrame
     errors: DataFrame
     limitations: DataFrame
+    exfil_facts: DataFrame
+    secret_examples: DataFrame
+    error_examples: DataFrame
+    shown_evidence: DataFrame
+    binaries: DataFrame
+    configs: DataFrame
+    version_summary: DataFrame
 
     def tables(self) -> dict[str, DataFrame]:
         return {f.name: getattr(self, f.name) for f in fields(self)}
@@ -142,7 +150,7 @@ def assess(
     homes = D.discovered_homes(inventory, hosts, spec)
     queues = D.upload_queues(inventory, homes, spec)
     queue_files = D.files_in_queues(inventory, queues, spec)
-    queue_table = materialize(D.queue_inventory(queues, queue_files), "queues")
+    queue_table = materialize(D.queue_inventory(queues, queue_files, ev.interrupted_queues), "queues")
     archives, unhashed = D.hash_archives(
         D.staged_archives(inventory, queue_files, spec), ev.file_content, spec
     )
@@ -166,9 +174,14 @@ def assess(
     ledger = ledger.withColumn("repo_path", clean_path(F.col("repo_path")))
     ledger = materialize(D.repos_on_disk(ledger, inventory), "repos")
 
-    # Versions.
+    # Versions: from files in a home, or beside or above an install.
+    beside = D.package_manifest_near(installs.select("host_id", "path").distinct(), inventory)
+    at_home = ev.version_files.withColumn("home", dirname(F.col("path"))).join(
+        homes.select("host_id", "home").distinct(), ["host_id", "home"], "left_semi"
+    )
+    placed = beside.select("host_id", "path").unionByName(at_home.select("host_id", "path")).distinct()
     own = materialize(W.dedupe_versions(
-        W.versions_from_manifests(ev.version_files, spec)
+        W.versions_from_manifests(ev.version_files.join(placed, ["host_id", "path"], "left_semi"), spec)
         .unionByName(W.versions_from_install_paths(marked.select("host_id", "path").distinct(), spec))
         .unionByName(
             W.versions_from_binaries(
@@ -222,6 +235,8 @@ def assess(
         .unionByName(log_parse_errors(parsed))
         .unionByName(config_errors)
     )
+    if ev.interrupted_queues is not None:
+        errors = errors.unionByName(interrupted_errors(ev.interrupted_queues))
     errors = materialize(errors if failures is None else errors.unionByName(failures), "errors")
 
     triage = (
@@ -238,7 +253,29 @@ def assess(
     )
     report = host_report(hosts, findings, errors, ledger, secrets, versions, installs, queues, archives, hints)
     return ReportTables(
-        report, findings, found.evidence, repos, archived, sessions, secrets, versions, errors, caveats
+        report, findings, found.evidence, repos, archived, sessions, secrets, versions, errors, caveats,
+        exfil_facts=R.exfil_facts(ledger),
+        secret_examples=G.secret_examples(secrets),
+        error_examples=R.error_examples(errors.withColumn("seq", F.monotonically_increasing_id())),
+        shown_evidence=R.shown_evidence(found.evidence),
+        binaries=D.binaries_rollup(marked, active, spec),
+        configs=A.config_rollup(findings, found.evidence).join(
+            A.active_config(states, active, hosts, spec).select("host_id", "path", F.lit(True).alias("active")),
+            ["host_id", "path"], "left",
+        ).fillna(False, ["active"]),
+        version_summary=W.version_summary(versions),
+    )
+
+
+def interrupted_errors(interrupted: DataFrame) -> DataFrame:
+    """A queue that was not walked to its end may hide files, which is material."""
+    return interrupted.select(
+        "host_id",
+        F.lit("queue").alias("detector"),
+        F.lit("timeout").alias("kind"),
+        F.col("queue").alias("path"),
+        "message",
+        F.lit(True).alias("material"),
     )
 
 

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,6 +8,7 @@ from fleetlens.operators import verdicts as R
 from fleetlens.plans import assess as P
 from fleetlens.plans import report_queries as Q
 from fleetlens.sources.sinks import write_report_json
+from fleetlens.spec import DEFAULT_SPEC
 
 FINDINGS = "host_id string, finding_id string, instance string, detector string, severity string, tags array<string>"
 ERRORS = "host_id string, seq bigint, detector string, kind string, path string, message string, material boolean"
@@ -86,7 +89,11 @@ def test_assessment_and_custom_detector(spark, tmp_path):
     P.register_detector("outside", detector)
     P.register_detector("broken", broken)
     try:
-        report = P.assess(spark, Q.evidence_tables(spark, SMALL))
+        ev = Q.evidence_tables(spark, SMALL)
+        cut = ev.file_inventory.filter((F.col("name") == DEFAULT_SPEC.queue_dir) & F.col("is_dir")).select(
+            "host_id", F.col("path").alias("queue"), F.lit("stopped early").alias("message")
+        )
+        report = P.assess(spark, replace(ev, interrupted_queues=cut))
     finally:
         P.unregister_detector("outside")
         P.unregister_detector("broken")
@@ -96,6 +103,10 @@ def test_assessment_and_custom_detector(spark, tmp_path):
     ids = {r.finding_id for r in report.findings.select("finding_id").distinct().collect()}
     assert {"logs.archive_enqueued", "queue.present", "config.not_mitigated", "secrets.in_head"} <= ids
     assert report.findings.filter("title = 'from outside'").count() == 1
+    titles = report.findings.filter("finding_id = 'queue.present'").select("title").collect()
+    assert titles and all("at least" in r.title or "not enumerated" in r.title for r in titles)
+    assert report.errors.filter("message = 'stopped early' AND material").count() == cut.distinct().count()
+    assert report.repos.filter("secrets_scanned IS NULL").count() == 0
     assert report.errors.filter("kind = 'panic'").count() == report.host_report.count()
     # No planted secret got into any table.
     values = [r.v for r in Q.Z.git_evidence(spark, SMALL).filter("t_id % 9 = 0").select(
