@@ -29,26 +29,31 @@ def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the rules, or whose source mostly does, go."""
+    configure(spark)
     return keep_good(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that five or more sources share stay in one document."""
+    configure(spark)
     return _recounted(dedup_lines(docs), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays."""
+    configure(spark)
     return keep_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out of the texts."""
+    configure(spark)
     return _recounted(decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of each document and their places in the sequences."""
+    configure(spark)
     return pack(docs, tokenizer_path, END_ID, CAPACITY, content=F.crc32).select(
         "doc_id", "start", "length", F.col("content").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
