@@ -163,44 +163,54 @@ def _search_shard(texts: list[bytes], blocks) -> list[dict]:
     return out
 
 
-def find_leaks(text: Column, benchmark: DataFrame) -> Column:
-    """A struct per text: ``n_words``, ``n_hit``, ``items`` (ascending) and ``spans`` (code points)."""
+def _searcher(benchmark: DataFrame):
+    """A function from an Arrow column of texts to (text, what was found in it), shard by shard."""
     context = benchmark.sparkSession.sparkContext
     sent = [context.broadcast(block) for block in phrase_blocks(benchmark)]
 
     def blocks():
         return (block.value for block in sent)
 
-    @F.arrow_udf(_TYPE)
-    def search(column: pa.Array) -> pa.Array:
-        texts, out = W.as_bytes(column), []
+    def search(column: pa.Array):
+        texts = W.as_bytes(column)
         for a, b in W.slices([len(t) for t in texts], SHARD_BYTES):
-            out += _search_shard(texts[a:b], blocks)
-        return pa.array(out, _ARROW)
+            yield from zip(texts[a:b], _search_shard(texts[a:b], blocks), strict=True)
+
+    return search
+
+
+def find_leaks(text: Column, benchmark: DataFrame) -> Column:
+    """A struct per text: ``n_words``, ``n_hit``, ``items`` (ascending) and ``spans`` (code points)."""
+    search = _searcher(benchmark)
+
+    @F.arrow_udf(_TYPE)
+    def find(column: pa.Array) -> pa.Array:
+        return pa.array([found for _, found in search(column)], _ARROW)
+
+    return find(text)
 
-    return search(text)
 
+def cut_spans(text: str, spans: list[dict]) -> str:
+    edges = [0, *(x for s in spans for x in (s["start"], s["end"])), len(text)]
+    return "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
-def cut_spans(text: Column, spans: Column) -> Column:
-    """``text`` without ``spans``."""
+
+def without_leaks(text: Column, benchmark: DataFrame) -> Column:
+    """The text without the spans of benchmark phrases. One function finds and cuts, so a task
+    needs one Python worker."""
+    search = _searcher(benchmark)
 
     @F.arrow_udf("string")
-    def cut(column: pa.Array, gone: pa.Array) -> pa.Array:
-        out = []
-        for one, parts in zip(column.to_pylist(), gone.to_pylist(), strict=True):
-            if one is not None and parts:
-                edges = [0, *(x for p in parts for x in (p["start"], p["end"])), len(one)]
-                one = "".join(one[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            out.append(one)
-        return pa.array(out, pa.string())
+    def cut(column: pa.Array) -> pa.Array:
+        out = [
+            cut_spans(raw.decode(), found["spans"]) if found["spans"] else raw.decode()
+            for raw, found in search(column)
+        ]
+        return pa.array(out, pa.string(), mask=column.is_null().to_numpy(zero_copy_only=False))
 
-    return cut(text, spans)
+    return cut(text)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the spans of benchmark phrases cut out of the text."""
-    return (
-        docs.withColumn("_leaks", find_leaks(F.col(text), benchmark))
-        .withColumn(text, cut_spans(F.col(text), F.col("_leaks.spans")))
-        .select(*docs.columns)
-    )
+    return docs.withColumn(text, without_leaks(F.col(text), benchmark))

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from fleetlens.llm.decontaminate import cut_spans, decontaminate, find_leaks
+from fleetlens.llm.decontaminate import decontaminate, find_leaks
 from fleetlens.llm.fm_index import FmIndex, suffix_array
 
 
@@ -81,4 +81,3 @@ def test_many_blocks_of_phrases(spark, small, monkeypatch):
     monkeypatch.setattr(D, "SHARD_BYTES", 10_000)
     monkeypatch.setattr(D, "_AT_ONCE", 3)
     assert result() == whole
-    assert cut_spans is D.cut_spans
