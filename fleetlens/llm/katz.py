@@ -37,8 +37,8 @@ from fleetlens.llm import words as W
 from fleetlens.session import materialize, shared_dir
 
 #: Bytes of text in a block; entries in a counting partition; a history is hot that makes up a HOT-th of all tokens.
-BLOCK_BYTES = 8 << 20
-PART_ENTRIES = 1 << 20
+BLOCK_BYTES = 4 << 20
+PART_ENTRIES = 1 << 19
 HOT = 20_000
 #: Counts up to this are discounted.
 CUT = 5
