@@ -286,7 +286,7 @@ def repo_root_of(paths: DataFrame, repos: DataFrame) -> DataFrame:
 
 def manifest_paths(manifests: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC) -> DataFrame:
     """Every string value at any depth of the staged manifests that are valid JSON."""
-    text = F.substring("text", 1, spec.max_manifest_bytes)
+    text = F.col("text")
     quoted = F.filter(
         F.regexp_extract_all(text, F.lit(_JSON_STRING), F.lit(0)), lambda s: ~s.endswith(":")
     )
@@ -301,6 +301,28 @@ def manifest_paths(manifests: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC) ->
     )
 
 
+def manifest_errors(manifests: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC) -> DataFrame:
+    """Long manifests that give no repository hints, as a material error each.
+
+    They were cut where they were collected, or are more than the parser takes.
+    """
+    named = F.lower("name") == spec.manifest_name
+    return long_unparsed(manifests.filter(named), "queue", spec.max_manifest_bytes)
+
+
+def long_unparsed(files: DataFrame, detector: str, least_bytes: int) -> DataFrame:
+    """An error row for each JSON file of so many bytes or more that cannot be parsed."""
+    long = F.octet_length("text") >= least_bytes
+    return files.filter(long & F.try_parse_json("text").isNull()).select(
+        "host_id",
+        F.lit(detector).alias("detector"),
+        F.lit("parse").alias("kind"),
+        "path",
+        F.format_string("%d bytes could not be parsed as JSON", F.octet_length("text")).alias("message"),
+        F.lit(True).alias("material"),
+    )
+
+
 def repos_on_disk(ledger: DataFrame, inventory: DataFrame) -> DataFrame:
     """``on_disk`` and ``is_git_repo`` for each ledger row."""
     dirs = inventory.filter("is_dir").select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions import versions as X
 from fleetlens.functions.binding import bind
 from fleetlens.functions.paths import basename
+from fleetlens.operators.disk import long_unparsed
 from fleetlens.spec import DEFAULT_SPEC, IndicatorSpec
 
 COLUMNS = ["host_id", "version", "source", "confidence", "class", "path"]
@@ -26,15 +27,20 @@ def _evidence(df: DataFrame, source, confidence: str, spec: IndicatorSpec) -> Da
 
 def versions_from_manifests(files: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC) -> DataFrame:
     """files(host_id, path, text) that a home or an install directory holds."""
-    text = F.substring("text", 1, spec.max_version_file_bytes)
     found = bind(
-        files.select("host_id", "path", text.alias("text")),
+        files.select("host_id", "path", "text"),
         {"version": X.version_from_manifest(F.col("path"), F.col("text"), spec)},
     ).filter(F.col("version").isNotNull())
     source = F.concat(F.lit("manifest:"), basename(F.col("path")))
     return _evidence(found, source, "high", spec)
 
 
+def version_file_errors(files: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC) -> DataFrame:
+    """Long JSON version files that cannot be parsed, as a material error each."""
+    named = F.col("path").endswith(".json")
+    return long_unparsed(files.filter(named), "versions", spec.max_version_file_bytes)
+
+
 def versions_from_install_paths(binaries: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC) -> DataFrame:
     found = bind(
         binaries.select("host_id", "path"),

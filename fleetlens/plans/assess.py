@@ -234,6 +234,8 @@ def assess(
         ev.collector_errors.select("host_id", "detector", "kind", "path", "message", "material")
         .unionByName(log_parse_errors(parsed))
         .unionByName(config_errors)
+        .unionByName(D.manifest_errors(ev.manifests, spec))
+        .unionByName(W.version_file_errors(ev.version_files.join(placed, ["host_id", "path"], "left_semi"), spec))
     )
     if ev.interrupted_queues is not None:
         errors = errors.unionByName(interrupted_errors(ev.interrupted_queues))

@@ -51,5 +51,4 @@ def read_git_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 def manifest_scan(manifests: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC) -> DataFrame:
     """Staged manifests whose raw text names the bucket."""
     named = F.lower(basename(F.col("path"))) == spec.manifest_name
-    text = F.substring("text", 1, spec.max_manifest_bytes)
-    return manifests.filter(named & F.contains(text, F.lit(spec.bucket))).select("host_id", "path")
+    return manifests.filter(named & F.contains("text", F.lit(spec.bucket))).select("host_id", "path")

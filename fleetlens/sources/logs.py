@@ -17,6 +17,9 @@ from fleetlens.spec import DEFAULT_SPEC, IndicatorSpec
 
 # binaryFile holds a file in one row; larger archives go through the text reader.
 _ONE_ROW_LIMIT = 1 << 30
+# A line this long still fits into a row if every byte has to be replaced.
+_LONGEST_LINE = 1 << 29
+_BATCH_CHARS = 8 << 20
 _GZ_SCHEMA = "path string, line_no bigint, line string, kind string, message string"
 
 
@@ -42,14 +45,14 @@ def discover_logs(
     )
 
 
-def _trim_line(line: Column, spec: IndicatorSpec) -> Column:
-    return F.rtrim(F.substring(line, 1, spec.max_line_bytes), F.lit("\r\n"))
+def _trim_line(line: Column) -> Column:
+    return F.rtrim(line, F.lit("\r\n"))
 
 
 def split_log_content(files: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC) -> DataFrame:
     """Numbered lines of files held as one string each; a map, no shuffle."""
     lines = F.filter(
-        F.transform(F.split(F.col("content"), "\n"), lambda s: _trim_line(s, spec)),
+        F.transform(F.split(F.col("content"), "\n"), _trim_line),
         lambda s: s != "",
     )
     others = [c for c in files.columns if c != "content"]
@@ -68,7 +71,7 @@ def placed_lines(lines: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC) -> DataFr
         *others,
         plain_path(F.col("_metadata.file_path")).alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
-        _trim_line(F.col("value"), spec).alias("line"),
+        _trim_line(F.col("value")).alias("line"),
     ).filter(F.length("line") > 0)
 
 
@@ -143,21 +146,37 @@ def _inflate(data: bytes) -> Iterator[tuple[bytes, str | None]]:
         yield b"", "gzip open failed: empty file"
 
 
-def _gz_rows(path: str, data: bytes, max_line: int) -> Iterator[tuple]:
-    number, carry = 0, b""
-    error = None
-    for piece, error in _inflate(data):
-        *complete, carry = (carry + piece).split(b"\n")
-        carry = carry[:max_line]  # what a line has beyond its cap is never read
-        for raw in complete:
-            text = raw[:max_line].rstrip(b"\r\n")
-            if text:
-                number += 1
-                yield path, number, text.decode("utf-8", "replace"), None, None
-    text = carry[:max_line].rstrip(b"\r\n")
-    if text:
-        number += 1
-        yield path, number, text.decode("utf-8", "replace"), None, None
+def _whole_lines(pieces: Iterator[bytes], longest: int) -> Iterator[bytes | None]:
+    """Lines without their ends; None for one that no row can hold."""
+    parts, held = [], 0
+    for piece in pieces:
+        for i, part in enumerate(piece.split(b"\n")):
+            if i:
+                yield b"".join(parts).rstrip(b"\r") if held <= longest else None
+                parts, held = [], 0
+            held += len(part)
+            if held <= longest:
+                parts.append(part)
+            else:
+                parts = []
+    yield b"".join(parts).rstrip(b"\r") if held <= longest else None
+
+
+def _gz_rows(path: str, data: bytes, longest: int = _LONGEST_LINE) -> Iterator[tuple]:
+    number, error = 0, None
+
+    def pieces() -> Iterator[bytes]:
+        nonlocal error
+        for piece, error in _inflate(data):
+            yield piece
+
+    for line in _whole_lines(pieces(), longest):
+        if line is None:
+            number += 1
+            yield path, None, None, "io", f"line {number} has more than {longest} bytes and was not read"
+        elif line:
+            number += 1
+            yield path, number, line.decode("utf-8", "replace"), None, None
     if error == "cut off":
         error = f"truncated after line {number} (the readable part was kept)"
     if error:
@@ -166,18 +185,18 @@ def _gz_rows(path: str, data: bytes, max_line: int) -> Iterator[tuple]:
 
 def inflate_files(files: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC) -> DataFrame:
     """Lines and errors, tagged, of gzip files given as (path, content)."""
-    max_line = spec.max_line_bytes
     columns = [f.split()[0] for f in _GZ_SCHEMA.split(", ")]
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, data in zip(frame["path"], frame["content"], strict=True):
-                batch = []
-                for row in _gz_rows(path, data, max_line):
+                batch, held = [], 0
+                for row in _gz_rows(path, data):
                     batch.append(row)
-                    if len(batch) == 10_000:
+                    held += len(row[2] or "")
+                    if len(batch) == 10_000 or held > _BATCH_CHARS:
                         yield pd.DataFrame(batch, columns=columns)
-                        batch = []
+                        batch, held = [], 0
                 yield pd.DataFrame(batch, columns=columns)
 
     return files.select("path", "content").mapInPandas(read, _GZ_SCHEMA)

@@ -84,10 +84,10 @@ class IndicatorSpec:
     log_prefix: str = "unified"
     log_infix: str = ".jsonl"
     upload_grace: str = "INTERVAL 1 HOUR"
-    max_line_bytes: int = 8 << 20
+    # From these lengths on, JSON that cannot be parsed is an error row; texts are read whole.
     max_manifest_bytes: int = 4 << 20
-    max_config_bytes: int = 1 << 20
     max_version_file_bytes: int = 1 << 20
+    max_config_bytes: int = 1 << 20
     max_blob_bytes: int = 10 << 20
     max_candidate_bytes: int = 512 << 20
     # The size from which a script counts as a bundle: a definition, not a limit.

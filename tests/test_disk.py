@@ -8,6 +8,7 @@ from fleetlens.functions.paths import ancestors, display_path
 from fleetlens.operators import config_audit as A
 from fleetlens.operators import disk as D
 from fleetlens.operators import version_evidence as W
+from fleetlens.sources.files import manifest_scan
 from fleetlens.spec import DEFAULT_SPEC as SPEC
 
 INVENTORY = (
@@ -207,3 +208,18 @@ def test_config_states_and_errors(spark):
     assert [(r.host_id, r.material) for r in errors.collect()] == [("b", True)]
     (others,) = A.other_config_keys(states).collect()
     assert others.others == ["telemetry.z"]
+
+
+def test_long_manifests_and_version_files_are_read_whole(spark):
+    pad = "x" * SPEC.max_manifest_bytes
+    long = '{"pad":"%s","path":"/x/behind","to":"%s"}' % (pad, SPEC.bucket)
+    rows = [("h", "/q/1/metadata.json", "metadata.json", long), ("h", "/q/2/metadata.json", "metadata.json", long[:-1])]
+    df = spark.createDataFrame(rows, "host_id string, path string, name string, text string")
+    assert {r.path for r in manifest_scan(df).collect()} == {"/q/1/metadata.json", "/q/2/metadata.json"}
+    assert {r.path for r in D.manifest_paths(df).collect()} == {pad, "/x/behind", SPEC.bucket}
+    (error,) = D.manifest_errors(df).collect()
+    assert error.path == "/q/2/metadata.json" and error.material
+    files = [("h", "/u/.grok/install.json", '{"pad":"%s","version":"0.2.93"}' % pad), ("h", "/u/.grok/manifest.json", long[:-1])]
+    files = spark.createDataFrame(files, "host_id string, path string, text string")
+    assert {r.version for r in W.versions_from_manifests(files).collect()} == {"0.2.93"}
+    assert [r.path for r in W.version_file_errors(files).collect()] == ["/u/.grok/manifest.json"]

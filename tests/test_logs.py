@@ -268,3 +268,17 @@ def test_discovery_looks_in_the_home_and_in_logs(spark):
     homes = spark.createDataFrame([("h", "/u/.grok")], "host_id string, home string")
     got = {r.path for r in S.discover_logs(inventory, homes).collect()}
     assert got == {p for p, want in names if want}
+
+
+def test_long_lines_are_read_whole_by_both_readers(spark, tmp_path):
+    line = '{"pad":"' + "é" * (9 << 20) + '"}'
+    for name, write in (("plain", bytes), ("gz", gzip.compress)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"unified.jsonl{'.gz' * (name == 'gz')}").write_bytes(write(f"a\n{line}\r\nb".encode()))
+    plain = S.read_log_lines(spark, str(tmp_path / "plain")).collect()
+    packed, errors = S.read_gz_tolerant(spark, str(tmp_path / "gz"))
+    want = {(1, "a"), (2, line), (3, "b")}
+    assert {(r.line_no, r.line) for r in plain} == want == {(r.line_no, r.line) for r in packed.collect()}
+    assert errors.count() == 0
+    got = list(S._gz_rows("p", gzip.compress(b"a\n" + b"x" * 9 + b"\nb\n"), 8))
+    assert [r[:2] for r in got] == [("p", 1), ("p", None), ("p", 3)] and "line 2" in got[1][4]
