@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import filekind as K
@@ -124,7 +128,7 @@ def hash_archives(
 
 
 def scan_candidates(inventory: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC) -> DataFrame:
-    """Files whose content is worth reading, decided without reading any."""
+    """Files of any size whose content is worth reading, decided without reading any."""
     path = F.col("path")
     # Bound once: the conditions below would each write these out again.
     parts = bind(
@@ -138,7 +142,7 @@ def scan_candidates(inventory: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC) ->
         },
     )
     kinds = bind(parts, {"kind": K.kind_of(F.hex("head4"), F.col("ext"), F.col("parent"))})
-    return kinds.filter(K.candidate_gate(spec)).select("host_id", "path", "size", "kind").distinct()
+    return kinds.filter(K.candidate_gate()).select("host_id", "path", "size", "kind").distinct()
 
 
 def _with_hits(contents: DataFrame, spec: IndicatorSpec) -> DataFrame:
@@ -184,17 +188,91 @@ def marker_scan_chunks(chunks: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC) ->
     )
 
 
+def chunk_cover(chunks: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC) -> DataFrame:
+    """Up to which byte the pieces of each file were delivered so that no marker can be missed."""
+    overlap = max(map(len, spec.markers)) - 1
+    file = Window.partitionBy("host_id", "path")
+    ends = chunks.select("host_id", "path", "start", (F.col("start") + F.octet_length("content")).alias("end"))
+    before = F.coalesce(F.max("end").over(file.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ends.withColumns({"before": before, "last": F.max("end").over(file)})
+    apart = (F.col("start") > 0) & (F.col("before") < F.col("last")) & (F.col("start") + overlap > F.col("before"))
+    gap = F.min(F.when(apart, F.col("before")))
+    return placed.groupBy("host_id", "path").agg(F.coalesce(gap, F.max("end")).alias("covered"))
+
+
+def digest_chunks(chunks: DataFrame) -> DataFrame:
+    """SHA-256 of files given as pieces, which are hashed one after another; none where bytes miss."""
+
+    def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        file, done, state = None, 0, hashlib.sha256()
+        for frame in frames:
+            out = []
+            for host, path, start, content in frame.itertuples(index=False):
+                if (host, path) != file:
+                    if file and state:
+                        out.append((*file, done, state.hexdigest()))
+                    file, done, state = (host, path), 0, hashlib.sha256()
+                if state and start > done:
+                    state = None
+                elif state and start + len(content) > done:
+                    state.update(memoryview(content)[done - start :])
+                    done = start + len(content)
+            yield pd.DataFrame(out, columns=["host_id", "path", "read", "sha256"])
+        if file and state:
+            yield pd.DataFrame([(*file, done, state.hexdigest())], columns=["host_id", "path", "read", "sha256"])
+
+    return (
+        chunks.select("host_id", "path", F.col("start").cast("bigint"), "content")
+        .repartition("host_id", "path")
+        .sortWithinPartitions("host_id", "path", "start")
+        .mapInPandas(digest, "host_id string, path string, read bigint, sha256 string")
+    )
+
+
 def marked_files(
-    candidates: DataFrame, contents: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC
+    candidates: DataFrame,
+    contents: DataFrame,
+    spec: IndicatorSpec = DEFAULT_SPEC,
+    chunks: DataFrame | None = None,
 ) -> DataFrame:
     """Marker hits with kind, size and digest; only files that matched are digested.
 
-    Contents are searched and digested where they are read; only hits move.
+    Contents are searched and digested where they are read; only hits move. Files too
+    large for a row come as ``chunks``; only the pieces of those that matched move.
     """
     marked = _with_hits(contents.select("host_id", "path", "content"), spec)
     digested = marked.select("host_id", "path", "hits", K.sha256_hex(F.col("content")).alias("sha256"))
-    return _per_marker(digested.join(candidates, ["host_id", "path"])).withColumn(
-        "install", K.is_install(F.col("kind"), F.col("size"), spec)
+    found = _per_marker(digested.join(candidates, ["host_id", "path"]))
+    if chunks is not None:
+        hits = marker_scan_chunks(chunks, spec).join(candidates, ["host_id", "path"])
+        pieces = chunks.join(hits.select("host_id", "path").distinct(), ["host_id", "path"], "left_semi")
+        whole = digest_chunks(pieces).withColumnRenamed("read", "size")
+        found = found.unionByName(hits.join(whole, ["host_id", "path", "size"], "left"))
+        # A file delivered in both ways is one file.
+        found = found.groupBy("host_id", "path", "kind", "size", "marker").agg(
+            F.min("offset").alias("offset"), F.max("sha256").alias("sha256")
+        )
+    return found.withColumn("install", K.is_install(F.col("kind"), F.col("size"), spec))
+
+
+def unscanned_candidates(
+    candidates: DataFrame,
+    contents: DataFrame,
+    spec: IndicatorSpec = DEFAULT_SPEC,
+    chunks: DataFrame | None = None,
+) -> DataFrame:
+    """Candidates over ``max_candidate_bytes`` that were not delivered to their end, with what was."""
+    file = ["host_id", "path"]
+    large = candidates.filter(F.col("size") > spec.max_candidate_bytes)
+    cover = contents.select(*file, F.octet_length("content").cast("bigint").alias("covered"))
+    if chunks is not None:
+        cover = cover.unionByName(chunk_cover(chunks, spec))
+    cover = cover.groupBy(*file).agg(F.max("covered").alias("covered"))
+    return (
+        large.join(cover, file, "left")
+        .withColumn("covered", F.coalesce("covered", F.lit(0)))
+        .filter(F.col("covered") < F.col("size"))
+        .select(*file, "size", "covered")
     )
 
 

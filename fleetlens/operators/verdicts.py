@@ -122,9 +122,15 @@ def _sentence(df: DataFrame, text: Column) -> DataFrame:
 
 def limitations(
     hosts: DataFrame, no_logs: DataFrame, oversized: DataFrame, unhashed: DataFrame,
-    untriaged: DataFrame, versions: DataFrame,
+    untriaged: DataFrame, versions: DataFrame, unscanned: DataFrame | None = None,
 ) -> DataFrame:
     """What each host's answer does not cover, each sentence once."""
+    files = [] if unscanned is None else [
+        _sentence(
+            unscanned,
+            F.format_string("%s: only %d of %d bytes were searched for markers.", "path", "covered", "size"),
+        )
+    ]
     per_host = untriaged.groupBy("host_id").agg(F.count(F.lit(1)).alias("n"))
     return reduce(
         DataFrame.unionByName,
@@ -140,6 +146,7 @@ def limitations(
             ),
             _sentence(per_host, F.format_string("%d affected repositories could not be triaged.", "n")),
             _sentence(versions, F.lit("A version above the reported range is unknown, not clean.")),
+            *files,
         ],
     ).distinct()
 

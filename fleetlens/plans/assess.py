@@ -47,6 +47,7 @@ class EvidenceTables:
     blobs: DataFrame  # host_id, repo_path, sha, obj_type, size, content
     collector_errors: DataFrame  # host_id, seq, detector, kind, path, message, material
     interrupted_queues: DataFrame | None = None  # host_id, queue, message: walks that did not end
+    file_chunks: DataFrame | None = None  # host_id, path, start, content: read_content_chunks
 
 
 @dataclass(frozen=True)
@@ -154,9 +155,9 @@ def assess(
     archives, unhashed = D.hash_archives(
         D.staged_archives(inventory, queue_files, spec), ev.file_content, spec
     )
-    marked = materialize(
-        D.marked_files(D.scan_candidates(inventory, spec), ev.file_content, spec), "marked"
-    )
+    candidates = D.scan_candidates(inventory, spec)
+    marked = materialize(D.marked_files(candidates, ev.file_content, spec, ev.file_chunks), "marked")
+    unscanned = D.unscanned_candidates(candidates, ev.file_content, spec, ev.file_chunks)
     installs = marked.filter("install")
     active = D.active_install(installs, ev.path_lookup)
     manifests = manifest_scan(ev.manifests, spec)
@@ -251,7 +252,7 @@ def assess(
     no_logs = hosts.select("host_id").join(parsed.select("host_id").distinct(), "host_id", "left_anti")
     caveats = R.limitations(
         hosts.select("host_id").distinct(), no_logs, oversized, unhashed, untriaged,
-        versions.select("host_id").distinct(),
+        versions.select("host_id").distinct(), unscanned,
     )
     report = host_report(hosts, findings, errors, ledger, secrets, versions, installs, queues, archives, hints)
     return ReportTables(

@@ -157,7 +157,9 @@ def structural_classes(spark, sf_dir):
     SELECT *, kind IN ('elf', 'mach-o', 'pe') OR size >= 524288 AS install FROM candidates""",
 )
 def scan_candidates(spark, sf_dir):
-    return D.scan_candidates(inventory(spark, sf_dir)).withColumn(
+    # The bound is the SQL's; assess takes candidates of all sizes.
+    small = D.scan_candidates(inventory(spark, sf_dir)).filter(F.col("size") <= SPEC.max_candidate_bytes)
+    return small.withColumn(
         "install", K.is_install(F.col("kind"), F.col("size"), SPEC)
     )
 

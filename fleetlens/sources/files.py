@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from typing import BinaryIO
+from urllib.parse import quote
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +16,9 @@ from fleetlens.functions.paths import basename, plain_path
 from fleetlens.spec import DEFAULT_SPEC, IndicatorSpec
 
 
+_CHUNK = pa.schema([("host_id", pa.string()), ("path", pa.string()), ("start", pa.int64()), ("content", pa.binary())])
+
+
 def read_file_inventory(spark: SparkSession, root: str, host_id: Column) -> DataFrame:
     """Regular files below a directory of collected host trees; contents are not read."""
     files = (
@@ -41,6 +51,48 @@ def read_small_content(spark: SparkSession, paths: str | list[str], cap: int) ->
     )
 
 
+def open_stream(path: str) -> BinaryIO:
+    """A file, as Spark's listing names it, opened inside a task for reading from its beginning on."""
+    if path.startswith(("/", "file:")):
+        return open(re.sub(r"^file:/+", "/", path), "rb")
+    fs, inside = pafs.FileSystem.from_uri(quote(re.sub(r"^s3[an]:", "s3:", path), safe="/:@"))
+    return fs.open_input_file(inside)
+
+
+def read_content_chunks(
+    spark: SparkSession,
+    paths: str | list[str],
+    host_id: Column,
+    larger_than: int = DEFAULT_SPEC.max_candidate_bytes,
+    piece: int = 64 << 20,
+    spec: IndicatorSpec = DEFAULT_SPEC,
+) -> DataFrame:
+    """Files too large for one row, as overlapping pieces (host_id, path, start, content).
+
+    Only the listing is Spark's: each task opens its pieces itself and holds one at a time.
+    """
+    overlap = max(map(len, spec.markers)) - 1
+    listing = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+        .filter(F.col("length") > larger_than)
+        .select(F.col("path").alias("source"), plain_path(F.col("path")).alias("path"), "length")
+        .select(host_id.alias("host_id"), "path", "source", "length")
+    )
+    starts = listing.withColumn("start", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(piece).cast("bigint"))))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                with open_stream(row["source"]) as file:
+                    file.seek(row["start"])
+                    content = file.read(piece + overlap)
+                yield pa.RecordBatch.from_pylist(
+                    [{"host_id": row["host_id"], "path": row["path"], "start": row["start"], "content": content}], _CHUNK
+                )
+
+    return starts.repartition("path", "start").mapInArrow(read, "host_id string, path string, start bigint, content binary")
+
+
 def read_git_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Objects, HEAD trees and blobs as exported per host."""
     return {

@@ -89,6 +89,7 @@ class IndicatorSpec:
     max_version_file_bytes: int = 1 << 20
     max_config_bytes: int = 1 << 20
     max_blob_bytes: int = 10 << 20
+    # Candidates over this size are delivered in pieces; all sizes are searched.
     max_candidate_bytes: int = 512 << 20
     # The size from which a script counts as a bundle: a definition, not a limit.
     bundle_min_bytes: int = 512 << 10

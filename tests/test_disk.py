@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from fleetlens.functions.paths import ancestors, display_path
 from fleetlens.operators import config_audit as A
 from fleetlens.operators import disk as D
 from fleetlens.operators import version_evidence as W
-from fleetlens.sources.files import manifest_scan
+from fleetlens.sources.files import manifest_scan, read_content_chunks
 from fleetlens.spec import DEFAULT_SPEC as SPEC
 
 INVENTORY = (
@@ -223,3 +225,31 @@ def test_long_manifests_and_version_files_are_read_whole(spark):
     files = spark.createDataFrame(files, "host_id string, path string, text string")
     assert {r.version for r in W.versions_from_manifests(files).collect()} == {"0.2.93"}
     assert [r.path for r in W.version_file_errors(files).collect()] == ["/u/.grok/manifest.json"]
+
+
+def test_large_candidates_are_searched_in_pieces(spark, tmp_path):
+    import hashlib
+
+    marker = SPEC.bucket.encode()
+    body = b"\x7fELF" + b"." * 3000 + marker + b"." * 3000
+    (tmp_path / "big tool").write_bytes(body)
+    path = str(tmp_path / "big tool")
+    inv = inventory(
+        spark, (path, "f", len(body), b"\x7fELF"), ("/opt/huge", "f", 600 << 20, b"\x7fELF"), ("/opt/cut", "f", 900, b"\x7fELF"),
+    )
+    candidates = D.scan_candidates(inv)
+    assert {r.path for r in candidates.collect()} == {path, "/opt/huge", "/opt/cut"}
+    chunks = read_content_chunks(spark, str(tmp_path), F.lit("h"), larger_than=1000, piece=777)
+    assert chunks.count() > 3
+    none = spark.createDataFrame([], "host_id string, path string, content binary")
+    (row,) = D.marked_files(candidates, none, SPEC, chunks).collect()
+    assert (row.path, row.offset, row.size, row.kind) == (path, 3004, len(body), "elf")
+    assert row.sha256 == hashlib.sha256(body).hexdigest()
+    small = replace(SPEC, max_candidate_bytes=800)
+    left = {r.path: r.covered for r in D.unscanned_candidates(candidates, none, small, chunks).collect()}
+    assert left == {"/opt/huge": 0, "/opt/cut": 0}
+    # A piece that misses is neither digested over nor counted as searched.
+    holed = chunks.filter(F.col("start") != 777 * 2)
+    (row,) = D.marked_files(candidates, none, SPEC, holed).collect()
+    assert row.sha256 is None
+    assert {r.path: r.covered for r in D.unscanned_candidates(candidates, none, small, holed).collect()}[path] < 777 * 2 + 100
