@@ -77,11 +77,18 @@ def first_path_of_blob(objects: DataFrame, rule_set: RuleSet) -> DataFrame:
 def blob_filter(
     blobs: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC
 ) -> tuple[DataFrame, DataFrame]:
-    """Scannable blobs, and per repository how many were too large to scan."""
+    """Scannable blobs, and per repository how many were too large to scan.
+
+    Without a limit these are the ones too large to be delivered, which have no content.
+    """
     sized = blobs.filter((F.col("obj_type") == "blob") & (F.col("size") >= 0))
-    kept = sized.filter(F.col("size") <= spec.max_blob_bytes)
+    if spec.max_blob_bytes is None:
+        over = F.col("content").isNull() & (F.col("size") > 0)
+    else:
+        over = F.col("size") > spec.max_blob_bytes
+    kept = sized.filter(~over)
     oversized = (
-        sized.filter(F.col("size") > spec.max_blob_bytes)
+        sized.filter(over)
         .groupBy(*REPO)
         .agg(F.count(F.lit(1)).alias("oversized"))
     )

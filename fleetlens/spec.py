@@ -88,7 +88,8 @@ class IndicatorSpec:
     max_manifest_bytes: int = 4 << 20
     max_version_file_bytes: int = 1 << 20
     max_config_bytes: int = 1 << 20
-    max_blob_bytes: int = 10 << 20
+    # None: every blob whose content was delivered is scanned whole.
+    max_blob_bytes: int | None = None
     # Candidates over this size are delivered in pieces; all sizes are searched.
     max_candidate_bytes: int = 512 << 20
     # The size from which a script counts as a bundle: a definition, not a limit.
