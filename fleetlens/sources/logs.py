@@ -5,17 +5,20 @@ A line number counts non-empty lines of a file from 1.
 
 from __future__ import annotations
 
+import io
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.paths import dirname, join_path, plain_path
+from fleetlens.sources.files import open_stream
 from fleetlens.spec import DEFAULT_SPEC, IndicatorSpec
 
-# binaryFile holds a file in one row; larger archives go through the text reader.
+# binaryFile holds a file in one row; larger ones are streamed, with the same result.
 _ONE_ROW_LIMIT = 1 << 30
 # A line this long still fits into a row if every byte has to be replaced.
 _LONGEST_LINE = 1 << 29
@@ -122,26 +125,28 @@ def _of_host(lines: DataFrame, host_id: Column | None) -> DataFrame:
 _FED, _TAKEN = 1 << 18, 1 << 20
 
 
-def _inflate(data: bytes) -> Iterator[tuple[bytes, str | None]]:
+def _inflate(file: BinaryIO) -> Iterator[tuple[bytes, str | None]]:
     """Readable pieces of a gzip file; the last one may carry an error."""
-    at, opened = 0, False
-    while at < len(data):
-        stream, fed = zlib.decompressobj(wbits=31), b""
-        try:
-            while not stream.eof and (fed or at < len(data)):
-                if not fed:
-                    fed, at = data[at : at + _FED], at + _FED
+    opened = False
+    try:
+        fed = file.read(_FED)
+        while fed:
+            stream = zlib.decompressobj(wbits=31)
+            while not stream.eof and (fed := fed or file.read(_FED)):
                 piece, fed = stream.decompress(fed, _TAKEN), stream.unconsumed_tail
                 opened = True
                 yield piece, None
-        except zlib.error as err:
-            yield b"", "cut off" if opened else f"gzip open failed: {err}"
-            return
-        if not stream.eof:
-            yield stream.flush(), "cut off"
-            return
-        # What the finished member left is where the next one begins.
-        at = min(at, len(data)) - len(stream.unused_data)
+            if not stream.eof:
+                yield stream.flush(), "cut off"
+                return
+            # What the finished member left is where the next one begins.
+            fed = stream.unused_data or file.read(_FED)
+    except zlib.error as err:
+        yield b"", "cut off" if opened else f"gzip open failed: {err}"
+        return
+    except OSError as err:
+        yield b"", f"read failed: {err}"
+        return
     if not opened:
         yield b"", "gzip open failed: empty file"
 
@@ -162,12 +167,12 @@ def _whole_lines(pieces: Iterator[bytes], longest: int) -> Iterator[bytes | None
     yield b"".join(parts).rstrip(b"\r") if held <= longest else None
 
 
-def _gz_rows(path: str, data: bytes, longest: int = _LONGEST_LINE) -> Iterator[tuple]:
+def _gz_rows(path: str, file: BinaryIO, longest: int = _LONGEST_LINE) -> Iterator[tuple]:
     number, error = 0, None
 
     def pieces() -> Iterator[bytes]:
         nonlocal error
-        for piece, error in _inflate(data):
+        for piece, error in _inflate(file):
             yield piece
 
     for line in _whole_lines(pieces(), longest):
@@ -183,41 +188,77 @@ def _gz_rows(path: str, data: bytes, longest: int = _LONGEST_LINE) -> Iterator[t
         yield path, None, None, "io", error
 
 
-def inflate_files(files: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC) -> DataFrame:
-    """Lines and errors, tagged, of gzip files given as (path, content)."""
+def _gz_frames(path: str, file: BinaryIO) -> Iterator[pd.DataFrame]:
     columns = [f.split()[0] for f in _GZ_SCHEMA.split(", ")]
+    batch, held = [], 0
+    for row in _gz_rows(path, file):
+        batch.append(row)
+        held += len(row[2] or "")
+        if len(batch) == 10_000 or held > _BATCH_CHARS:
+            yield pd.DataFrame(batch, columns=columns)
+            batch, held = [], 0
+    yield pd.DataFrame(batch, columns=columns)
+
+
+def inflate_files(files: DataFrame) -> DataFrame:
+    """Lines and errors, tagged, of gzip files given as (path, content)."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, data in zip(frame["path"], frame["content"], strict=True):
-                batch, held = [], 0
-                for row in _gz_rows(path, data):
-                    batch.append(row)
-                    held += len(row[2] or "")
-                    if len(batch) == 10_000 or held > _BATCH_CHARS:
-                        yield pd.DataFrame(batch, columns=columns)
-                        batch, held = [], 0
-                yield pd.DataFrame(batch, columns=columns)
+                yield from _gz_frames(path, io.BytesIO(data))
 
     return files.select("path", "content").mapInPandas(read, _GZ_SCHEMA)
 
 
+def inflate_streams(files: DataFrame) -> DataFrame:
+    """The same of gzip files given as (path, source); each task opens and streams its own."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, source in zip(frame["path"], frame["source"], strict=True):
+                try:
+                    file = open_stream(source)
+                except OSError as err:
+                    yield from _gz_frames(path, _Unopened(err))
+                    continue
+                with file:
+                    yield from _gz_frames(path, file)
+
+    return files.select("path", "source").mapInPandas(read, _GZ_SCHEMA)
+
+
+class _Unopened(io.RawIOBase):
+    """Stands for a file that could not be opened: reading it fails the same way."""
+
+    def __init__(self, err: OSError):
+        self._err = err
+
+    def read(self, size: int = -1) -> bytes:
+        raise self._err
+
+
 def read_gz_tolerant(
     spark: SparkSession, paths: str, spec: IndicatorSpec = DEFAULT_SPEC, host_id: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Lines of gzip logs, and the errors of those that are damaged.
 
-    Files too large for one row are read by the text reader, which fails
-    loudly on damage instead of keeping a part.
+    Files too large for one row are opened and streamed in the tasks. Both ways inflate
+    and split alike, so damage costs what lies behind it, whatever the size.
     """
-    listing = spark.read.format("binaryFile").load(paths).withColumn("path", plain_path(F.col("path")))
-    small = inflate_files(listing.filter(F.col("length") <= _ONE_ROW_LIMIT), spec)
-    lines = small.filter(F.col("line").isNotNull()).select("path", "line_no", "line")
-    errors = small.filter(F.col("message").isNotNull()).select(
+    listing = (
+        spark.read.format("binaryFile").load(paths)
+        .withColumn("source", F.col("path"))
+        .withColumn("path", plain_path(F.col("path")))
+    )
+    small = inflate_files(listing.filter(F.col("length") <= _ONE_ROW_LIMIT))
+    large = inflate_streams(listing.filter(F.col("length") > _ONE_ROW_LIMIT))
+    rows = small.unionByName(large)
+    lines = rows.filter(F.col("line").isNotNull()).select("path", "line_no", "line")
+    errors = rows.filter(F.col("message").isNotNull()).select(
         F.lit("logs").alias("detector"), "kind", "path", "message", F.lit(True).alias("material")
     )
-    whole = read_log_lines(spark, paths, spec, larger_than=_ONE_ROW_LIMIT)
-    return _of_host(lines.unionByName(whole), host_id), _of_host(errors, host_id)
+    return _of_host(lines, host_id), _of_host(errors, host_id)
 
 
 def log_parse_errors(parsed: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import gzip
+import io
 import json
 
 from pyspark.sql import functions as F
@@ -280,5 +281,22 @@ def test_long_lines_are_read_whole_by_both_readers(spark, tmp_path):
     want = {(1, "a"), (2, line), (3, "b")}
     assert {(r.line_no, r.line) for r in plain} == want == {(r.line_no, r.line) for r in packed.collect()}
     assert errors.count() == 0
-    got = list(S._gz_rows("p", gzip.compress(b"a\n" + b"x" * 9 + b"\nb\n"), 8))
+    got = list(S._gz_rows("p", io.BytesIO(gzip.compress(b"a\n" + b"x" * 9 + b"\nb\n")), 8))
     assert [r[:2] for r in got] == [("p", 1), ("p", None), ("p", 3)] and "line 2" in got[1][4]
+
+
+def test_gzip_of_any_size_takes_the_tolerant_path(spark, tmp_path, monkeypatch):
+    whole = gzip.compress("".join(f"line {i} {i * 7919 % 1000003}\n" for i in range(50_000)).encode())
+    (tmp_path / "ok log.gz").write_bytes(whole + gzip.compress(b"second member\n"))
+    (tmp_path / "cut.gz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "no.gz").write_bytes(b"plain text")
+
+    def read():
+        return [sorted(map(tuple, df.collect())) for df in S.read_gz_tolerant(spark, str(tmp_path))]
+
+    in_rows = read()
+    monkeypatch.setattr(S, "_ONE_ROW_LIMIT", 0)
+    assert read() == in_rows and len(in_rows[0]) > 50_001 and len(in_rows[1]) == 2
+    gone = spark.createDataFrame([("p", f"file:{tmp_path}/gone.gz")], "path string, source string")
+    (row,) = S.inflate_streams(gone).collect()
+    assert row.kind == "io" and "read failed" in row.message
