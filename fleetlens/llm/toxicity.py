@@ -80,14 +80,15 @@ def fit(
     rate: float = 0.05,
     shrink: float = 1e-3,
     least_ratio: float = 1.0,
-    common: float = 0.05,
+    least_rows: int = 3,
     spread: float = 0.01,
 ) -> FactorizationMachine:
     """Logistic loss, Adagrad steps over mini-batches.
 
     A term's value is the log ratio of its smoothed shares among toxic and other rows, so
-    that terms seen in few rows start small. Of those under ``least_ratio``, which say
-    nothing alone but may in a pair, the ones in at least ``common`` of the rows stay.
+    that terms seen in few rows start small. Those under ``least_ratio`` say little alone
+    but may in a pair: they have a fixed value. Terms in fewer than ``least_rows`` rows,
+    from which no pair can be learned, have none.
     """
     rng = np.random.default_rng(7)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
@@ -102,8 +103,8 @@ def fit(
     without = np.bincount(flat[~toxic], minlength=dimensions) + 1.0
     value = np.log(with_term / (labels.sum() + 2)) - np.log(without / ((labels == 0).sum() + 2))
     neutral = np.abs(value) < least_ratio
-    value[neutral] = np.where((with_term + without)[neutral] >= common * len(labels) + 2, 0.5, 0)
-    value[with_term + without < 5] = 0
+    value[neutral] = 0.5
+    value[with_term + without < least_rows + 2] = 0
     used_at_all = value != 0
     terms = [t[used_at_all[t]] for t in terms]
     factors[used_at_all] = rng.normal(0, spread, (int(used_at_all.sum()), n_factors))

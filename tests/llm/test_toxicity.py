@@ -56,3 +56,20 @@ def test_odd_and_empty_tables(spark, odd_docs, no_docs):
         empty = {r.s for r in got if r.text in (None, "")}
         assert len(empty) == 1
     assert no_docs.select(score(F.col("text"), model)).count() == 0
+
+
+def test_rare_terms_that_are_toxic_only_as_a_pair():
+    rng = np.random.default_rng(3)
+
+    def row(*planted):
+        return " ".join(rng.permutation([f"word{i}" for i in rng.integers(0, 300, 6)] + list(planted)))
+
+    rows = [(row("vile"), True) for _ in range(1900)] + [(row(), False) for _ in range(1900)]
+    # Each term stands in 3 % of the rows, as often in toxic as in other ones.
+    rows += [(row("grim", "folk"), True) for _ in range(60)]
+    rows += [(row("grim"), False) for _ in range(60)] + [(row("folk"), False) for _ in range(60)]
+    model = learned(rows, epochs=200, rate=0.3, spread=0.05, shrink=1e-4)
+    grim, folk = (int(distinct_terms([w], DIM)[0][0]) for w in (b"grim", b"folk"))
+    assert model.factors[[grim, folk]].any(axis=1).all()
+    pair, alone = [row("grim", "folk") for _ in range(100)], [row(w) for w in ("grim", "folk") for _ in range(50)]
+    assert (scores(pair, model) >= 0.5).mean() > 0.9 and (scores(alone, model) < 0.5).mean() > 0.9
