@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.llm import words as W
-from fleetlens.llm.tokens import WordTokenizer
+from fleetlens.llm.tokens import worker_tokenizer
 from fleetlens.session import materialize
 
 _SLICE = 1 << 20
@@ -120,7 +120,7 @@ def cut_documents(
     types = [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path(), end_id)
+        tokenizer = worker_tokenizer(tokenizer_path(), end_id)
         task, counts = TaskContext.get().partitionId(), [0] * (top + 1)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), W.as_bytes(batch.column(1))

@@ -12,9 +12,10 @@ import os
 import numpy as np
 
 from fleetlens.llm import words as W
+from fleetlens.llm.hash_table import HashTable
 
-#: Distinct words kept; beyond, the store starts anew.
-CACHE_WORDS = 1 << 19
+#: Distinct words a worker process keeps; beyond, the store starts anew.
+CACHE_WORDS = 1 << 21
 #: Plain words given to the tokenizer at once.
 _JOINED = 1000
 
@@ -42,12 +43,25 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self._places: dict[int, int] = {}
-        self._first = np.zeros(1, dtype=np.int64)
-        self._ids = np.zeros(0, dtype=np.uint32)
-
-    def _learn(self, words: list[str]) -> list[int]:
-        """Store the ids of ``words``; the places of the words in the order they are stored."""
+        self._places = HashTable(2 * CACHE_WORDS, np.int32)
+        self._words = 0
+        self._first = np.zeros(1 << 12, dtype=np.int64)
+        self._ids = np.zeros(1 << 14, dtype=np.uint32)
+
+    def _store(self, sizes: np.ndarray, ids: list[np.ndarray]) -> None:
+        """Append the ids of words in a row."""
+        n, end = self._words, int(self._first[self._words])
+        total = end + int(sizes.sum())
+        while len(self._first) <= n + len(sizes):
+            self._first = np.concatenate([self._first, np.zeros_like(self._first)])
+        while len(self._ids) < total:
+            self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
+        self._first[n + 1 : n + 1 + len(sizes)] = end + np.cumsum(sizes)
+        self._ids[end:total] = np.concatenate([*ids, np.zeros(0, dtype=np.uint32)])
+        self._words = n + len(sizes)
+
+    def _by_word(self, words: list[str]) -> tuple[list[int], np.ndarray, list[np.ndarray]]:
+        """The words in another order, the number of ids of each in that order, and their ids."""
         runs = np.fromiter(map(_runs, words), dtype=np.int64, count=len(words))
         plain, order, alone = np.flatnonzero(runs), [], np.flatnonzero(runs == 0).tolist()
         parts = [plain[a : a + _JOINED] for a in range(0, len(plain), _JOINED)]
@@ -64,9 +78,20 @@ class WordTokenizer:
             ids.append(found)
         own = self._encode([words[i] for i in alone])
         sizes.append(np.fromiter(map(len, own), dtype=np.int64, count=len(own)))
-        self._first = np.concatenate([self._first, self._first[-1] + np.cumsum(np.concatenate(sizes))])
-        self._ids = np.concatenate([self._ids, *ids, *own])
-        return order + alone
+        return order + alone, np.concatenate(sizes), [*ids, *own]
+
+    def lengths(self, words: list[str]) -> np.ndarray:
+        """The number of ids of each word."""
+        order, sizes, _ = self._by_word(words)
+        out = np.zeros(len(words), dtype=np.int64)
+        out[order] = sizes
+        return out
+
+    def _learn(self, words: list[str]) -> list[int]:
+        """Store the ids of ``words``; the places of the words in the order they are stored."""
+        order, sizes, ids = self._by_word(words)
+        self._store(sizes, ids)
+        return order
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -75,18 +100,20 @@ class WordTokenizer:
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin (and the last one's end)."""
         found = W.split(texts, lower=False)
-        distinct, at, inverse = np.unique(found.hashes, return_index=True, return_inverse=True)
-        if len(self._places) + len(distinct) > CACHE_WORDS:
-            self._forget()
-        places, known = self._places, distinct.tolist()
-        fresh = [i for i, h in enumerate(known) if h not in places]
-        if fresh:
+        entry = self._places.get(found.hashes).astype(np.int64)
+        missed = np.flatnonzero(entry < 0)
+        if len(missed):
+            fresh, at, inverse = np.unique(found.hashes[missed], return_index=True, return_inverse=True)
+            if self._words + len(fresh) > CACHE_WORDS and self._words:
+                self._forget()
+                return self.encode(texts)
+            base, at = self._words, missed[at]
             raw = found.data.tobytes()
-            start, end = found.start[at[fresh]].tolist(), found.end[at[fresh]].tolist()
-            base = len(places)
-            order = self._learn([raw[a:b].decode() for a, b in zip(start, end, strict=True)])
-            places.update((known[fresh[i]], base + k) for k, i in enumerate(order))
-        entry = np.fromiter(map(places.__getitem__, known), dtype=np.int64, count=len(known))[inverse]
+            spans = zip(found.start[at].tolist(), found.end[at].tolist(), strict=True)
+            places = np.zeros(len(fresh), dtype=np.int64)
+            places[self._learn([raw[a:b].decode() for a, b in spans])] = base + np.arange(len(fresh))
+            entry[missed] = places[inverse]
+            self._places.put(fresh, places)
         sizes = self._first[entry + 1] - self._first[entry]
         before = np.concatenate([[0], np.cumsum(sizes)])
         # One closing id stands behind each earlier text.
@@ -94,3 +121,14 @@ class WordTokenizer:
         source = np.arange(before[-1]) + np.repeat(self._first[entry] - before[:-1], sizes)
         out[np.arange(before[-1]) + np.repeat(found.doc, sizes)] = self._ids[source]
         return out, before[found.first] + np.arange(len(texts) + 1)
+
+
+_own: dict[tuple[str, int], WordTokenizer] = {}
+
+
+def worker_tokenizer(path: str, end_id: int) -> WordTokenizer:
+    """The tokenizer of this worker process: tasks that follow each other share its store."""
+    if (path, end_id) not in _own:
+        _own.clear()
+        _own[path, end_id] = WordTokenizer(path, end_id)
+    return _own[path, end_id]
