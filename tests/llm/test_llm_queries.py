@@ -16,6 +16,7 @@ COLUMNS = {
     "op8_": "doc_id held_out score predicted",
     "op9_": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op10_": "doc_id n_words n_hit n_items items_sha256 contaminated",
+    "op13_": "doc_id n_bytes n_tokens over_limit",
 }
 
 
@@ -34,6 +35,6 @@ def test_columns_come_first(spark, small, start):
 
 def test_entry_lists_one_query_per_operator_and_the_pipeline():
     names = list(entry.queries())
-    for n in range(1, 11):
+    for n in (*range(1, 11), 13):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names
