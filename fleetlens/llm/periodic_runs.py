@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlens.llm import words as W
 from fleetlens.llm.grammar import Nodes, bracket, repair
@@ -237,22 +238,21 @@ def run_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     names = ["n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
     types = [pa.int64()] * 5 + [pa.string()] * 2
-    schema = ", ".join(f"{n}: {'long' if t == pa.int64() else 'string'}" for n, t in zip(names, types, strict=True))
-
-    @F.arrow_udf(f"struct<{schema}>")
-    def digest(column: pa.Array) -> pa.Array:
-        texts, rows = W.as_bytes(column), []
-        for a, b in W.slices([len(t) for t in texts], _SLICE):
-            for runs, left in _judged(texts[a:b]):
-                lines = "".join(f"{s},{n},{q}\n" for s, n, q in runs)
-                start, length, period = _longest(runs) if runs else (None, None, None)
-                rows.append(
-                    (
-                        len(runs), start, length, period, 1000 * length // period if runs else None,
-                        hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(left).hexdigest(),
-                    )
-                )
-        columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-    return docs.select(F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("_r")).select("doc_id", "_r.*")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    schema = T.StructType([rows.schema["doc_id"], *[T.StructField(n, T.LongType() if t == pa.int64() else T.StringType()) for n, t in zip(names, types, strict=True)]])
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = W.as_bytes(batch.column(1))
+            for a, b in W.slices([len(t) for t in texts], _SLICE):
+                found = []
+                for runs, left in _judged(texts[a:b]):
+                    lines = "".join(f"{s},{n},{q}\n" for s, n, q in runs)
+                    start, length, period = _longest(runs) if runs else (None, None, None)
+                    exponent = 1000 * length // period if runs else None
+                    digests = hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(left).hexdigest()
+                    found.append((len(runs), start, length, period, exponent, *digests))
+                columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], ["doc_id", *names])
+
+    return rows.mapInArrow(digest, schema)

@@ -8,6 +8,7 @@ most of them are looked up by hash instead of tokenized.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
@@ -20,12 +21,8 @@ CACHE_WORDS = 1 << 21
 _JOINED = 1000
 
 
-def _runs(word: str) -> int:
-    """How many runs the tokenizer surely splits a word in: one of letters, two with a mark behind; 0: not sure."""
-    if word.isalpha() and word.lower().isalpha():
-        return 1
-    stem = word[:-1]
-    return 2 if word[-1] in ".,;:!?" and stem.isalpha() and stem.lower().isalpha() else 0
+#: Words whose runs are known: Latin letters, one run, perhaps with a mark behind, another.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?").fullmatch
 
 
 class WordTokenizer:
@@ -33,9 +30,16 @@ class WordTokenizer:
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
+        # The same model without normalizing and patterns, for runs whose letters are lower-case bytes already.
+        self._model = Tokenizer.from_file(path)
+        self._model.normalizer = normalizers.Sequence([])
+        self._model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [c for c in map(chr, range(0xC0, 0x100)) if _PLAIN(c)]
+        self._letters = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in letters}
         self._end_id = end_id
         vocabulary = self._tokenizer.get_vocab()
         self._closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -62,12 +66,17 @@ class WordTokenizer:
 
     def _by_word(self, words: list[str]) -> tuple[list[int], np.ndarray, list[np.ndarray]]:
         """The words in another order, the number of ids of each in that order, and their ids."""
-        runs = np.fromiter(map(_runs, words), dtype=np.int64, count=len(words))
+        # A plain word has one run, or two if it ends in a mark.
+        runs = np.fromiter((0 if not _PLAIN(w) else 1 if w[-1].isalpha() else 2 for w in words), np.int64, len(words))
         plain, order, alone = np.flatnonzero(runs), [], np.flatnonzero(runs == 0).tolist()
         parts = [plain[a : a + _JOINED] for a in range(0, len(plain), _JOINED)]
-        texts = [" ".join([words[i] for i in part.tolist()]) for part in parts]
+        spaced = [
+            " ".join([words[i] if n == 1 else f"{words[i][:-1]} {words[i][-1]}" for i, n in zip(p.tolist(), runs[p].tolist(), strict=True)])
+            for p in parts
+        ]
+        texts = [t if t.isascii() else t.translate(self._letters) for t in map(str.lower, spaced)]
         sizes, ids = [], []
-        for part, found in zip(parts, self._encode(texts), strict=True):
+        for part, found in zip(parts, self._encode(texts, self._model), strict=True):
             # The word with its n-th run ends at the n-th id that closes a run.
             closing, ends = np.flatnonzero(self._closes[found]) + 1, np.cumsum(runs[part])
             if len(closing) != ends[-1]:
@@ -93,8 +102,8 @@ class WordTokenizer:
         self._store(sizes, ids)
         return order
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    def _encode(self, texts: list[str], by=None) -> list[np.ndarray]:
+        found = (by or self._tokenizer).encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=np.uint32) for e in found]
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

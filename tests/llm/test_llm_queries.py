@@ -16,6 +16,7 @@ COLUMNS = {
     "op8_": "doc_id held_out score predicted",
     "op9_": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op10_": "doc_id n_words n_hit n_items items_sha256 contaminated",
+    "op11_": "lang rank phrase a l r n score",
     "op12_": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
     "op13_": "doc_id n_bytes n_tokens over_limit",
 }
@@ -36,6 +37,6 @@ def test_columns_come_first(spark, small, start):
 
 def test_entry_lists_one_query_per_operator_and_the_pipeline():
     names = list(entry.queries())
-    for n in (*range(1, 11), 12, 13):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names
