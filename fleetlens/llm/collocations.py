@@ -272,18 +272,38 @@ def _entries(t: _Tokens, size: int, known: _Known) -> tuple[np.ndarray, np.ndarr
     return phrase[at], following
 
 
-def _stripe_rows(prefix: np.ndarray, following: np.ndarray, counts: np.ndarray, known: _Known) -> pa.RecordBatch:
-    bits = known.fragment_bits(prefix)
-    part = np.where(bits > 0, (following >> _U(1)).astype(np.int64) >> (63 - bits), 0)
-    new = np.ones(len(prefix), dtype=bool)
-    new[1:] = (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])
-    begin = np.flatnonzero(new)
-    first = np.append(begin, len(prefix))
-    columns = [pa.array(prefix[begin].view(np.int64)), pa.array(part[begin], pa.int32()), _binaries(following, first), _binaries(counts.astype("<u4"), first)]
-    return pa.RecordBatch.from_arrays(columns, ["prefix", "part", "following", "counts"])
-
-
-def _stripes(size: int, known) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+_ROW = "bucket int, part int, prefixes binary, sizes binary, following binary, counts binary"
+
+
+def _bucket(prefix: np.ndarray, bits: int) -> np.ndarray:
+    return (prefix >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(prefix), dtype=np.int64)
+
+
+def _stripe_rows(prefix: np.ndarray, following: np.ndarray, counts: np.ndarray, known: _Known, bits: int) -> pa.RecordBatch:
+    """A row per bucket and part: its stripes, by prefix. Part 0 holds whole stripes, the others fragments."""
+    split = known.fragment_bits(prefix)
+    part = np.where(split > 0, ((following >> _U(1)).astype(np.int64) >> (63 - split)) + 1, 0)
+    key = _bucket(prefix, bits) * (int(part.max(initial=0)) + 1) + part
+    order = np.argsort(key, kind="stable")
+    prefix, following, counts, part, key = (x[order] for x in (prefix, following, counts, part, key))
+    row = np.ones(len(key), dtype=bool)
+    row[1:] = key[1:] != key[:-1]
+    stripe = row.copy()
+    stripe[1:] |= prefix[1:] != prefix[:-1]
+    begin, at = np.flatnonzero(row), np.flatnonzero(stripe)
+    first, of = np.append(begin, len(key)), np.append(np.searchsorted(at, begin), len(at))
+    columns = [
+        pa.array(_bucket(prefix[begin], bits), pa.int32()),
+        pa.array(part[begin], pa.int32()),
+        _binaries(prefix[at], of),
+        _binaries(np.diff(np.append(at, len(key))).astype("<u4"), of),
+        _binaries(following, first),
+        _binaries(counts.astype("<u4"), first),
+    ]
+    return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _ROW.split(", ")])
+
+
+def _stripes(size: int, known, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -292,7 +312,7 @@ def _stripes(size: int, known) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 following, prefix, counts = (np.concatenate([h[i] for h in held]) for i in range(3))
                 held.clear()
                 (following, prefix), counts = _summed([following, prefix], counts)
-                yield _stripe_rows(prefix, following, counts, known.value)
+                yield _stripe_rows(prefix, following, counts, known.value, bits)
 
         for batch in batches:
             for t in _texts(batch):
@@ -307,8 +327,8 @@ def _stripes(size: int, known) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
-def _merge_stripes(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by prefix and part: the merged stripes, of which the frequent extensions are kept."""
+def _merge_stripes(least: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by bucket and part: the merged stripes, of which the frequent extensions are kept."""
 
     def rows(prefix, part, following, counts) -> pa.RecordBatch:
         new = np.ones(len(prefix), dtype=bool)
@@ -330,18 +350,19 @@ def _merge_stripes(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, k) for k in ("<u8", "<i8", "<u8", "<i8")]
         for batch in batches:
-            following, sizes = _flat(batch.column(2), "<u8")
-            counts, _ = _flat(batch.column(3), "<u4")
-            prefix = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), sizes)
-            part = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), sizes)
-            fresh = (prefix, part, following, counts.astype(np.int64))
+            heads, _ = _flat(batch.column(2), "<u8")
+            sizes, _ = _flat(batch.column(3), "<u4")
+            following, entries = _flat(batch.column(4), "<u8")
+            counts, _ = _flat(batch.column(5), "<u4")
+            part = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), entries)
+            fresh = (np.repeat(heads, sizes), part, following, counts.astype(np.int64))
             prefix, part, following, counts = (np.concatenate([h, x]) for h, x in zip(held, fresh, strict=True))
             if not len(prefix):
                 continue
-            # The stripe that comes last may go on in the next batch.
-            last = (prefix[-1], part[-1])
-            (following, part, prefix), counts = _summed([following, part, prefix], counts)
-            open_ = (prefix == last[0]) & (part == last[1])
+            # The bucket's part that comes last may go on in the next batch.
+            last = (_bucket(prefix[-1:], bits)[0], part[-1])
+            (following, prefix, part), counts = _summed([following, prefix, part], counts)
+            open_ = (_bucket(prefix, bits) == last[0]) & (part == last[1])
             held = [x[open_] for x in (prefix, part, following, counts)]
             if not open_.all():
                 yield rows(*(x[~open_] for x in (prefix, part, following, counts)))
@@ -407,11 +428,12 @@ def collocations(
     top: int = 2000,
     filter_bytes: int = 1 << 25,
     fragment: int = 1 << 18,
+    bucket: int = 1 << 20,
 ) -> DataFrame:
     """The ``top`` phrases of each language: ``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score``.
 
-    ``filter_bytes`` bounds what is broadcast and ``fragment`` the occurrences in one stripe;
-    no result depends on either.
+    ``filter_bytes`` bounds what is broadcast, ``fragment`` the occurrences in one stripe and
+    ``bucket`` those in the stripes that move together; no result depends on them.
     """
     spark = docs.sparkSession
     # The top rows of each language are chosen before they meet in one task.
@@ -427,6 +449,9 @@ def collocations(
         "word_stripes",
     )
     totals = stripes.groupBy("lang").agg(F.sum("total").alias("n"))
+    # Stripes move in buckets of about that many places of the corpus.
+    n = stripes.agg(F.sum("total")).first()[0] or 0
+    bits = max(n // bucket, 1).bit_length() - 1
     words = stripes.select("lang", F.explode(F.arrays_zip("ids", "counts", "words")).alias("e")).select(
         "lang", F.col("e.ids").alias("id"), F.col("e.counts").alias("f"), F.col("e.words").alias("word")
     )
@@ -435,12 +460,12 @@ def collocations(
     scored = None
     for size in range(1, longest):
         known = spark.sparkContext.broadcast(_known(level, filter_bytes, fragment))
-        counted = texts.mapInArrow(_stripes(size, known), "prefix long, part int, following binary, counts binary")
         stripes = materialize(
-            counted.repartition("prefix", "part")
-            .sortWithinPartitions("prefix", "part")
+            texts.mapInArrow(_stripes(size, known, bits), _ROW)
+            .repartition("bucket", "part")
+            .sortWithinPartitions("bucket", "part")
             .mapInArrow(
-                _merge_stripes(least),
+                _merge_stripes(least, bits),
                 "prefix long, total long, best long, ids array<long>, following array<long>, counts array<long>",
             ),
             f"stripes{size}",

@@ -68,7 +68,7 @@ def test_small_filter_fragments_and_slices_change_nothing(spark, monkeypatch):
     rows = prose(2, 300)
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
     want = by_brute_force(rows, 4)
-    assert collected(collocations(docs, least=4, filter_bytes=64, fragment=8)) == want
+    assert collected(collocations(docs, least=4, filter_bytes=64, fragment=8, bucket=100)) == want
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
@@ -86,19 +86,20 @@ def test_merged_stripes_hold_totals_and_extensions():
 
     known = C._Known({}, 512, np.zeros(1 << 16, dtype=np.int64))
     known._fragments[:] = 2
-    prefix = np.sort(np.array([7, 7, 7, 9], dtype=np.uint64))
+    prefix = np.sort(np.array([7, 7, 7, 2**63 + 9], dtype=np.uint64))
     following = np.array([0, 5, 2**63, 5], dtype=np.uint64)
-    one = C._stripe_rows(prefix, following, np.array([3, 4, 1, 2]), known)
-    two = C._stripe_rows(prefix[:2], following[:2], np.array([1, 10]), known)
-    rows = sorted(one.to_pylist() + two.to_pylist(), key=lambda r: (r["prefix"], r["part"]))
+    one = C._stripe_rows(prefix, following, np.array([3, 4, 1, 2]), known, 1)
+    two = C._stripe_rows(prefix[:2], following[:2], np.array([1, 10]), known, 1)
+    rows = sorted(one.to_pylist() + two.to_pylist(), key=lambda r: (r["bucket"], r["part"]))
+    assert {r["bucket"] for r in rows} == {0, 1} and {r["part"] for r in rows} == {1, 3}
     # One row per batch: stripes go on over batches.
     batches = [pa.RecordBatch.from_pylist([r], schema=one.schema) for r in rows]
-    merged = [x for b in C._merge_stripes(2)(iter(batches)) for x in b.to_pylist()]
-    by_prefix = collections.Counter()
+    merged = [x for b in C._merge_stripes(2, 1)(iter(batches)) for x in b.to_pylist()]
+    by_prefix, second = collections.Counter(), 9 - 2**63
     for r in merged:
         by_prefix[r["prefix"]] += r["total"]
-    assert by_prefix == {7: 19, 9: 2}
-    assert {(r["prefix"], w, c) for r in merged for w, c in zip(r["following"], r["counts"])} == {(7, 5, 14), (9, 5, 2)}
+    assert by_prefix == {7: 19, second: 2}
+    assert {(r["prefix"], w, c) for r in merged for w, c in zip(r["following"], r["counts"])} == {(7, 5, 14), (second, 5, 2)}
     assert max(r["best"] for r in merged if r["prefix"] == 7) == 14
 
 
