@@ -94,7 +94,7 @@ def under_dir(path: Column, segment: str) -> Column:
     return F.array_contains(F.split(F.lower(path), "/"), segment.lower())
 
 
-def ancestors(path: Column, levels: int = 64) -> Column:
+def ancestors(path: Column) -> Column:
     """The path itself and its parents up to ``/``, nearest first."""
     cleaned = clean_path(path)
     slashes = F.length(cleaned) - F.length(F.replace(cleaned, F.lit("/")))
@@ -105,7 +105,7 @@ def ancestors(path: Column, levels: int = 64) -> Column:
     every = F.when(cleaned == "/", F.array(F.lit("/"))).otherwise(
         F.concat(below_root, F.array(F.lit("/")))
     )
-    return F.when(path.startswith("/"), F.slice(every, 1, levels)).otherwise(
+    return F.when(path.startswith("/"), every).otherwise(
         F.array().cast("array<string>")
     )
 

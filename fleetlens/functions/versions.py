@@ -79,20 +79,28 @@ def version_from_install_path(path: Column, spec: IndicatorSpec) -> Column:
     return F.when(found != "", found)
 
 
-def version_strings(content: Column, spec: IndicatorSpec) -> Column:
-    """Distinct versions named in the printable runs of a binary."""
+def version_strings(content: Column, spec: IndicatorSpec, cut: bool = False) -> Column:
+    """Distinct versions named in the printable runs of a binary, however long the runs are.
+
+    With ``cut`` the content may go on behind its end: what touches the end is left out.
+    """
+    # The two ways in which a binary names a version.
     named = rf"(?i){spec.product_word}[-_ ]?(?:build|cli)?[/ v]{{1,3}}(\d+\.\d+\.\d+)"
+    quoted = _JSON_VERSION
+    if cut:
+        named = named.replace(r"\d+)", r"\d++)(?!\x{E000})")
     text = F.decode(content, "ISO-8859-1")
-    runs = F.transform(
-        F.regexp_extract_all(text, F.lit(r"[\x20-\x7e]{6,}"), F.lit(0)),
-        lambda r: F.substring(r, 1, 4096),
-    )
+    run = r"[\x20-\x7e]{6,}"
+    if cut:
+        # A character that no byte decodes to marks the end.
+        text, run = F.concat(text, F.lit("\uE000")), run + r"\x{E000}?"
+    runs = F.regexp_extract_all(text, F.lit(run), F.lit(0))
     found = F.flatten(
         F.transform(
             runs,
             lambda r: F.concat(
                 F.regexp_extract_all(r, F.lit(named), F.lit(1)),
-                F.regexp_extract_all(r, F.lit(_JSON_VERSION), F.lit(1)),
+                F.regexp_extract_all(r, F.lit(quoted), F.lit(1)),
             ),
         )
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import events as E
 from fleetlens.functions.paths import normalize_repo
+from fleetlens.operators.ordering import placed
 from fleetlens.operators.timeline import AFTER, AT, BEFORE, totals_at
 from fleetlens.spec import DEFAULT_SPEC, UNATTRIBUTED, IndicatorSpec
 
@@ -148,9 +149,10 @@ def build_ledger(rows: DataFrame) -> DataFrame:
 
 
 def archives_sorted(archives: DataFrame) -> DataFrame:
-    """By repository, then time (unknown first), then object; a range sort, so the
-    archives of one repository may span many partitions."""
-    return archives.orderBy("host_id", "repo_key", F.col("ts").asc_nulls_first(), "gcs_path")
+    """With the ``place`` in the host: by repository, time (unknown first), object, and where it was logged."""
+    return placed(
+        archives, *[F.col(c).asc_nulls_first() for c in ("repo_key", "ts", "gcs_path", "log_file", "log_line")]
+    )
 
 
 def archive_counts(archives: DataFrame) -> DataFrame:
@@ -253,7 +255,8 @@ def auth_summary(
 
 
 def ledger_order(ledger: DataFrame) -> DataFrame:
-    return ledger.orderBy("host_id", E.status_rank(F.col("status")).desc(), "repo_path")
+    """The ledger with each repository's ``place`` in its host, the worst first."""
+    return placed(ledger, E.status_rank(F.col("status")).desc(), F.col("repo_path").asc(), F.col("repo_key").asc())
 
 
 def top_repos(ledger: DataFrame, k: int = 10) -> DataFrame:

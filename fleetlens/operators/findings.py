@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.operators.ordering import placed
 from fleetlens.functions import text as T
 from fleetlens.functions import versions as X
 from fleetlens.operators import config_audit as A
@@ -416,6 +417,5 @@ def union(parts: list[Found]) -> Found:
 
 
 def findings_order(findings: DataFrame) -> DataFrame:
-    return findings.orderBy(
-        "host_id", severity_rank(F.col("severity")).desc(), "finding_id", "instance"
-    )
+    """With the ``place`` in the host, the severest first."""
+    return placed(findings, severity_rank(F.col("severity")).desc(), *[F.col(c).asc() for c in ("finding_id", "instance", "title")])

@@ -154,13 +154,14 @@ def limitations(
 def error_examples(errors: DataFrame, k: int = 3) -> DataFrame:
     """Up to k errors per host: one that is not a permission denial, then denials, then the rest.
 
-    errors carry ``seq``, their order in the report.
+    errors carry ``seq``, their order in the report; those without one come last, by their columns.
     """
     denial = F.col("kind") == "permission"
-    in_kind = Window.partitionBy("host_id", denial).orderBy("seq")
+    order = [F.col("seq").asc_nulls_last(), "detector", "kind", "path", "message"]
+    in_kind = Window.partitionBy("host_id", denial).orderBy(*order)
     few = errors.withColumn("nth", F.row_number().over(in_kind)).filter(F.col("nth") <= k)
     rank = F.when(~denial & (F.col("nth") == 1), 0).when(denial, 1).otherwise(2)
-    chosen = Window.partitionBy("host_id").orderBy(rank, "seq")
+    chosen = Window.partitionBy("host_id").orderBy(rank, *order)
     totals = errors.groupBy("host_id").agg(F.count(F.lit(1)).alias("n"))
     return (
         few.withColumn("place", F.row_number().over(chosen))

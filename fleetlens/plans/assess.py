@@ -7,7 +7,10 @@ one stage rather than the whole lineage.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import threading
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, fields
 from functools import reduce
 
@@ -75,16 +78,16 @@ class ReportTables:
 
 
 Detector = Callable[[EvidenceTables, IndicatorSpec], N.Found]
-_DETECTORS: dict[str, Detector] = {}
+_DETECTORS: dict[str, tuple[Detector, float]] = {}
 
 
-def register_detector(name: str, fn: Detector) -> None:
+def register_detector(name: str, fn: Detector, seconds: float = 1800) -> None:
     """Add a detector whose findings join the built-in ones before the verdict.
 
     It returns a ``Found`` made with ``finding_rows`` and ``evidence_rows``, or
-    with the same columns.
+    with the same columns. Its jobs are cancelled after ``seconds``.
     """
-    _DETECTORS[name] = fn
+    _DETECTORS[name] = fn, seconds
 
 
 def unregister_detector(name: str) -> None:
@@ -92,13 +95,21 @@ def unregister_detector(name: str) -> None:
 
 
 def _run_detectors(ev: EvidenceTables, spec: IndicatorSpec) -> tuple[list[N.Found], DataFrame | None]:
-    """Findings of the registered detectors; one that fails marks every host degraded."""
+    """Findings of the registered detectors; one that fails marks every host degraded.
+
+    Each detector's tables are written in jobs of its own, so that a task that fails, or takes
+    too long, costs that detector only.
+    """
     found, failed = [], []
-    for name, fn in _DETECTORS.items():
+    for name, (fn, seconds) in _DETECTORS.items():
+        late = []
         try:
-            found.append(fn(ev, spec))
+            with _limited(ev.hosts.sparkSession, name, seconds, late):
+                out = fn(ev, spec)
+                found.append(N.Found(materialize(out.findings, "detected"), materialize(out.evidence, "detected_evidence")))
         except Exception as err:  # a detector's fault must not hide the others' findings
-            failed.append((name, f"{type(err).__name__}: {err}"))
+            reason = f"not done after {seconds:g} seconds" if late else str(err).strip().split("\n")[0]
+            failed.append((name, f"{type(err).__name__}: {reason}"))
     if not failed:
         return found, None
     errors = [
@@ -115,6 +126,29 @@ def _run_detectors(ev: EvidenceTables, spec: IndicatorSpec) -> tuple[list[N.Foun
     return found, reduce(DataFrame.unionByName, errors)
 
 
+@contextmanager
+def _limited(spark: SparkSession, name: str, seconds: float, late: list) -> Iterator[None]:
+    """Jobs begun inside form a group that is cancelled when the time is over; ``late`` then has an entry."""
+    context, group = spark.sparkContext, f"detector-{uuid.uuid4().hex}"
+
+    def stop() -> None:
+        late.append(name)
+        context.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    timer.daemon = True
+    keys = ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")
+    before = {k: context.getLocalProperty(k) for k in keys}
+    context.setJobGroup(group, name, interruptOnCancel=True)
+    timer.start()
+    try:
+        yield
+    finally:
+        timer.cancel()
+        for key, value in before.items():
+            context.setLocalProperty(key, value)
+
+
 def log_findings(parsed: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC):
     """The ledger of parsed log lines and what it leads to: (found, ledger, archives, sessions)."""
     events = L.relevant_events(parsed)
@@ -180,6 +214,10 @@ def assess(
     at_home = ev.version_files.withColumn("home", dirname(F.col("path"))).join(
         homes.select("host_id", "home").distinct(), ["host_id", "home"], "left_semi"
     )
+    no_versions = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in W.COLUMNS))
+    of_pieces = no_versions if ev.file_chunks is None else W.versions_from_chunks(
+        ev.file_chunks.join(marked.select("host_id", "path").distinct(), ["host_id", "path"], "left_semi"), spec
+    )
     placed = beside.select("host_id", "path").unionByName(at_home.select("host_id", "path")).distinct()
     own = materialize(W.dedupe_versions(
         W.versions_from_manifests(ev.version_files.join(placed, ["host_id", "path"], "left_semi"), spec)
@@ -190,6 +228,7 @@ def assess(
                 spec,
             )
         )
+        .unionByName(of_pieces)
     ), "own_versions")
     versions = materialize(
         own.unionByName(L.versions_from_logs(parsed, spec)), "versions"
@@ -231,16 +270,25 @@ def assess(
         ]
     )
     findings = materialize(found.findings, "findings")
-    errors = (
-        ev.collector_errors.select("host_id", "detector", "kind", "path", "message", "material")
-        .unionByName(log_parse_errors(parsed))
+    others = (
+        log_parse_errors(parsed)
         .unionByName(config_errors)
         .unionByName(D.manifest_errors(ev.manifests, spec))
         .unionByName(W.version_file_errors(ev.version_files.join(placed, ["host_id", "path"], "left_semi"), spec))
     )
     if ev.interrupted_queues is not None:
-        errors = errors.unionByName(interrupted_errors(ev.interrupted_queues))
-    errors = materialize(errors if failures is None else errors.unionByName(failures), "errors")
+        others = others.unionByName(interrupted_errors(ev.interrupted_queues))
+    if failures is not None:
+        others = others.unionByName(failures)
+    # Collectors number their errors; an error found here stands behind them, once.
+    columns = ["host_id", "detector", "kind", "path", "message", "material"]
+    listed = materialize(
+        ev.collector_errors.select(*columns, F.col("seq").cast("bigint").alias("seq")).unionByName(
+            others.select(*columns).distinct().withColumn("seq", F.lit(None).cast("bigint"))
+        ),
+        "errors",
+    )
+    errors = listed.drop("seq")
 
     triage = (
         G.history_objects(objects)
@@ -256,10 +304,11 @@ def assess(
     )
     report = host_report(hosts, findings, errors, ledger, secrets, versions, installs, queues, archives, hints)
     return ReportTables(
-        report, findings, found.evidence, repos, archived, sessions, secrets, versions, errors, caveats,
+        report, N.findings_order(findings), found.evidence, C.ledger_order(repos), C.archives_sorted(archived), sessions, secrets,
+        W.version_order(versions), errors, caveats,
         exfil_facts=R.exfil_facts(ledger),
         secret_examples=G.secret_examples(secrets),
-        error_examples=R.error_examples(errors.withColumn("seq", F.monotonically_increasing_id())),
+        error_examples=R.error_examples(listed).drop("seq"),
         shown_evidence=R.shown_evidence(found.evidence),
         binaries=D.binaries_rollup(marked, active, spec),
         configs=A.config_rollup(findings, found.evidence).join(
@@ -279,7 +328,7 @@ def interrupted_errors(interrupted: DataFrame) -> DataFrame:
         F.col("queue").alias("path"),
         "message",
         F.lit(True).alias("material"),
-    )
+    ).distinct()
 
 
 def host_report(hosts, findings, errors, ledger, secrets, versions, *artifacts) -> DataFrame:

@@ -35,7 +35,7 @@ CANDIDATES_SQL = f"""candidates AS (SELECT DISTINCT host_id, path, size, CASE
     WHEN t_head = '7F454C46' THEN 'elf' WHEN t_head = 'CFFAEDFE' THEN 'mach-o'
     WHEN t_head LIKE '4D5A%' THEN 'pe' WHEN t_head = '23212F62' THEN 'script'
     WHEN t_k IN (6, 10, 11) THEN 'script' ELSE 'none' END AS kind
-  FROM inventory WHERE is_regular AND size > 0 AND size <= 536870912
+  FROM inventory WHERE is_regular AND size > 0
     AND (t_k IN (5, 6, 10, 11) OR (t_k = 15 AND t_head <> '00000000')))"""
 
 CONTENT_SQL = f"file_content AS ({V.as_sql(V.FILE_CONTENT)})"
@@ -157,9 +157,7 @@ def structural_classes(spark, sf_dir):
     SELECT *, kind IN ('elf', 'mach-o', 'pe') OR size >= 524288 AS install FROM candidates""",
 )
 def scan_candidates(spark, sf_dir):
-    # The bound is the SQL's; assess takes candidates of all sizes.
-    small = D.scan_candidates(inventory(spark, sf_dir)).filter(F.col("size") <= SPEC.max_candidate_bytes)
-    return small.withColumn(
+    return D.scan_candidates(inventory(spark, sf_dir)).withColumn(
         "install", K.is_install(F.col("kind"), F.col("size"), SPEC)
     )
 
@@ -419,10 +417,40 @@ def versions_from_binaries(spark, sf_dir):
     )
 
 
+@query(
+    "P18 U3 (pieces)",
+    f"""WITH {CONTENT_SQL}, named AS (
+      SELECT host_id, path, '0.2.' || cast(t_id % 110 AS varchar) AS version FROM file_content WHERE t_id % 6 = 1
+      UNION ALL SELECT host_id, path, '1.4.2' FROM file_content WHERE t_id % 6 = 1
+      UNION ALL SELECT host_id, path, '0.2.93' FROM file_content WHERE t_id % 6 = 2
+      UNION ALL SELECT host_id, path, '0.1.7' FROM file_content WHERE t_id % 6 = 2)
+    SELECT DISTINCT *, 'low' AS confidence, {CLASS_OF} AS class FROM named""",
+)
+def versions_from_pieces(spark, sf_dir):
+    """The same contents in pieces of 512 bytes with two in common, so that runs and versions cross borders."""
+    whole = contents(spark, sf_dir).select("host_id", "path", "content")
+    starts = F.sequence(F.lit(0), F.greatest(F.octet_length("content") - 1, F.lit(0)), F.lit(512))
+    pieces = whole.withColumn("start", F.explode(starts)).withColumn(
+        "content", F.substring(F.col("content"), F.col("start") + 1, F.lit(514))
+    )
+    return W.versions_from_chunks(pieces).select("host_id", "path", "version", "confidence", "class")
+
+
+@query(
+    "T6",
+    f"""WITH {VERSIONS_SQL}
+    SELECT host_id, version, path, row_number() OVER (PARTITION BY host_id ORDER BY version, source, path) AS place
+    FROM versions""",
+)
+def version_places(spark, sf_dir):
+    """All of one confidence here, so by version."""
+    return W.version_order(W.dedupe_versions(manifest_versions(spark, sf_dir))).select("host_id", "version", "path", "place")
+
+
 @query(
     "A28 T6",
     f"""WITH {VERSIONS_SQL} SELECT DISTINCT host_id, class, version FROM versions
     WHERE class <> 'UNKNOWN'""",
 )
 def version_summary(spark, sf_dir):
-    return W.version_summary(W.version_order(manifest_versions(spark, sf_dir)))
+    return W.version_summary(manifest_versions(spark, sf_dir))

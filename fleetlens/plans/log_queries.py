@@ -329,12 +329,35 @@ def repo_ledger(spark, sf_dir):
     FROM archives""",
 )
 def repo_archives(spark, sf_dir):
-    return C.archives_sorted(C.repo_archives(attributed(spark, sf_dir))).select(
+    return C.repo_archives(attributed(spark, sf_dir)).select(
         "host_id", "repo_key", "gcs_path", "sid", known("turn", "turn"), us("ts", "ts_us"),
         "log_file", "log_line", "delivered",
     )
 
 
+@query(
+    "A4",
+    f"""WITH {ATTRIBUTED_SQL}
+    SELECT host_id, repo_key, path AS log_file, line_no AS log_line, row_number() OVER (PARTITION BY host_id
+      ORDER BY repo_key, ts_us NULLS FIRST, gcs_path, path, line_no) AS place FROM archives""",
+)
+def archive_places(spark, sf_dir):
+    return C.archives_sorted(C.repo_archives(attributed(spark, sf_dir))).select(
+        "host_id", "repo_key", "log_file", "log_line", "place"
+    )
+
+
+@query(
+    "T1 P44",
+    f"""WITH {ATTRIBUTED_SQL}
+    SELECT host_id, repo_key, status, row_number() OVER (PARTITION BY host_id ORDER BY
+      CASE status WHEN 'delivered' THEN 4 WHEN 'queued' THEN 3 WHEN 'collected_only' THEN 2 ELSE 1 END DESC,
+      repo_path, repo_key) AS place FROM ledger_status""",
+)
+def repo_places(spark, sf_dir):
+    return C.ledger_order(ledger(spark, sf_dir)).select("host_id", "repo_key", "status", "place")
+
+
 @query(
     "A3",
     f"""WITH {ATTRIBUTED_SQL}
@@ -416,14 +439,14 @@ def versions_from_logs(spark, sf_dir):
 @query(
     "T1 T2 P44",
     f"""WITH {ATTRIBUTED_SQL}
-    SELECT host_id, repo_path, status, archives, place, greatest(n - 3, 0) AS omitted FROM (
+    SELECT host_id, repo_path, status, archives, place, greatest(n - 10, 0) AS omitted FROM (
       SELECT *, row_number() OVER (PARTITION BY host_id ORDER BY
           CASE status WHEN 'delivered' THEN 4 WHEN 'queued' THEN 3 WHEN 'collected_only' THEN 2 ELSE 1 END DESC,
           archives DESC, repo_path) AS place, count(*) OVER (PARTITION BY host_id) AS n
-      FROM ledger_status) AS r WHERE place <= 3""",
+      FROM ledger_status) AS r WHERE place <= 10""",
 )
 def top_repos(spark, sf_dir):
-    return C.top_repos(ledger(spark, sf_dir), 3).select(
+    return C.top_repos(ledger(spark, sf_dir)).select(
         "host_id", "repo_path", "status", "archives", long(F.col("place"), "place"), "omitted"
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import MISSING, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -380,7 +381,7 @@ def config_rollup(spark, sf_dir):
       count(*) FILTER (severity = 'critical') AS critical FROM config_findings GROUP BY host_id""",
 )
 def severity_counts(spark, sf_dir):
-    return R.severity_counts(N.findings_order(config_found(spark, sf_dir).findings))
+    return R.severity_counts(config_found(spark, sf_dir).findings)
 
 
 @query(
@@ -391,6 +392,17 @@ def degraded_hosts(spark, sf_dir):
     return R.degraded(collector_errors(spark, sf_dir))
 
 
+@query(
+    "T3",
+    f"""WITH {CONFIG_SQL}, {CONFIG_FINDINGS_SQL}
+    SELECT host_id, finding_id, instance, row_number() OVER (PARTITION BY host_id ORDER BY
+      CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END DESC,
+      finding_id, instance) AS place FROM config_findings""",
+)
+def finding_places(spark, sf_dir):
+    return N.findings_order(config_found(spark, sf_dir).findings).select("host_id", "finding_id", "instance", "place")
+
+
 @query("O1 T3", f"WITH {ALL_SQL} SELECT * FROM findings")
 def all_findings(spark, sf_dir):
     return summary(all_found(spark, sf_dir))
@@ -596,6 +608,47 @@ def evidence_tables(spark: SparkSession, sf_dir: str) -> P.EvidenceTables:
     )
 
 
+def _extra_detector(ev, spec):
+    """One finding per host that has a configuration file."""
+    rows = ev.config_files.select("host_id").distinct()
+    return N.Found(
+        N.finding_rows(rows, "deepscan.file_reference", F.lit("has a configuration"), severity=F.lit("low")),
+        N.evidence_rows(rows, "deepscan.file_reference", note=F.lit("from a registered detector")),
+    )
+
+
+def _late_detector(ev, spec):
+    """Fails only when its rows are computed."""
+    fail = F.raise_error(F.lit("a task failed")).cast("string")
+    rows = ev.hosts.withColumn("host_id", F.when(F.col("home") == "", F.col("host_id")).otherwise(fail))
+    return N.Found(N.finding_rows(rows, "deepscan.file_reference", F.lit("never")), N.evidence_rows(rows, "deepscan.file_reference"))
+
+
+@query(
+    "U5",
+    f"""WITH {CONFIG_SQL}, {ERRORS_SQL}
+    SELECT DISTINCT host_id, 'finding' AS kind FROM states WHERE t_k <> 9
+    UNION ALL SELECT DISTINCT host_id, 'panic' FROM (SELECT host_id FROM states UNION SELECT host_id FROM errors) AS h""",
+)
+def registered_detectors(spark, sf_dir):
+    """A detector of one's own and one whose task fails: the one is heard, the other is an error of every host."""
+    errors = collector_errors(spark, sf_dir)
+    config = V.project(spark, sf_dir, V.CONFIG_FILES)
+    hosts = config.select("host_id").unionByName(errors.select("host_id")).distinct().withColumn("home", F.lit("/home/u"))
+    none = spark.createDataFrame([], "host_id string")
+    empty = {f.name: none for f in fields(P.EvidenceTables) if f.default is MISSING}
+    ev = P.EvidenceTables(**{**empty, "hosts": hosts, "config_files": config.filter("status <> 'missing'")})
+    P.register_detector("extra", _extra_detector)
+    P.register_detector("late", _late_detector)
+    try:
+        found, failures = P._run_detectors(ev, SPEC)
+    finally:
+        P.unregister_detector("extra")
+        P.unregister_detector("late")
+    (one,) = found
+    return one.findings.select("host_id", F.lit("finding").alias("kind")).unionByName(failures.select("host_id", "kind"))
+
+
 @query("E1 U5 S10")
 def assess_hosts(spark, sf_dir):
     """The whole assessment, written as JSON and read back."""

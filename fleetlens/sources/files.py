@@ -51,6 +51,19 @@ def read_small_content(spark: SparkSession, paths: str | list[str], cap: int) ->
     )
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system of a place, as Spark names it, and the place inside it."""
+    if uri.startswith(("/", "file:")):
+        return pafs.LocalFileSystem(), re.sub(r"^file:/+", "/", uri)
+    return pafs.FileSystem.from_uri(quote(re.sub(r"^s3[an]:", "s3:", uri), safe="/:@"))
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a written table that a newer one replaces."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def open_stream(path: str) -> BinaryIO:
     """A file, as Spark's listing names it, opened inside a task for reading from its beginning on."""
     if path.startswith(("/", "file:")):

@@ -139,7 +139,7 @@ def test_versions(spark):
     }
     body = b"\x00GROK-build v0.2.93\x01xgrok 1\x00\"version\": \"3.2.1\"\x00" + b"." * 5000 + b"grok/9.9.9\x00short"
     binaries = spark.createDataFrame([("h", "/b", body)], "host_id string, path string, content binary")
-    assert {r.version for r in W.versions_from_binaries(binaries).collect()} == {"0.2.93", "3.2.1"}
+    assert {r.version for r in W.versions_from_binaries(binaries).collect()} == {"0.2.93", "3.2.1", "9.9.9"}
 
 
 def test_report_values(spark):
@@ -253,3 +253,37 @@ def test_large_candidates_are_searched_in_pieces(spark, tmp_path):
     (row,) = D.marked_files(candidates, none, SPEC, holed).collect()
     assert row.sha256 is None
     assert {r.path: r.covered for r in D.unscanned_candidates(candidates, none, small, holed).collect()}[path] < 777 * 2 + 100
+
+
+@pytest.mark.parametrize("piece, overlap", [(40, 0), (41, 3), (64, 30), (10_000, 0)])
+def test_versions_in_pieces(spark, piece, overlap):
+    """Runs and versions that cross borders, at every place; digits cut by a border give no other version."""
+    bodies = [b"\x00" * i + b"GROK-build v0.2.93" + b"." * i + b"\x01" + b'"version": "13.22.111"' + b"x" * (i % 7) for i in range(0, 80, 3)]
+    bodies += [b"grok 1.2.3", b"\x00grok 1.2.3\x00", b"." * 300 + b"grok/4.5.67"]
+    whole = spark.createDataFrame([("h", f"/b{i}", bytearray(b)) for i, b in enumerate(bodies)], "host_id string, path string, content binary")
+    rows = [
+        ("h", f"/b{i}", at, bytearray(b[at : at + piece + overlap]))
+        for i, b in enumerate(bodies)
+        for at in range(0, len(b), piece)
+    ]
+    pieces = spark.createDataFrame(rows, "host_id string, path string, start bigint, content binary")
+    want = sorted(map(tuple, W.versions_from_binaries(whole).distinct().collect()))
+    assert sorted(map(tuple, W.versions_from_chunks(pieces).collect())) == want
+    assert len(want) == 2 * (len(bodies) - 3) + 3
+
+
+def test_a_gap_between_pieces_joins_nothing(spark):
+    rows = [("h", "/b", 0, bytearray(b"......grok 1.2")), ("h", "/b", 100, bytearray(b".3......"))]
+    pieces = spark.createDataFrame(rows, "host_id string, path string, start bigint, content binary")
+    assert W.versions_from_chunks(pieces).count() == 0
+
+
+def test_repository_above_any_depth(spark):
+    roots = ["/r", "/r/" + "/".join("d" * 3 for _ in range(40))]
+    deep = {80: roots[1], 500: roots[1], 30: roots[0]}
+    paths = [("h", "/r" + "/ddd" * n + "/file") for n in deep] + [("h", "/elsewhere" + "/d" * 90)]
+    got = D.repo_root_of(
+        spark.createDataFrame(paths, "host_id string, path string"),
+        spark.createDataFrame([("h", r) for r in roots], "host_id string, repo_path string"),
+    )
+    assert sorted(r.repo_path for r in got.collect()) == sorted(deep.values())

@@ -1,3 +1,4 @@
+from dataclasses import fields
 from dataclasses import replace
 
 import pytest
@@ -115,3 +116,73 @@ def test_assessment_and_custom_detector(spark, tmp_path):
     text = "\n".join(r.value for r in written.collect())
     assert len(values) > 10 and "secrets.in_head" in text
     assert not any(v in text for v in values)
+
+
+def test_a_detector_that_fails_or_hangs_costs_itself_only(spark):
+    def late(ev, spec):
+        @F.udf("string")
+        def fail(host):
+            raise ValueError("in a task")
+
+        rows = ev.hosts.select(fail("host_id").alias("host_id"))
+        return N.Found(N.finding_rows(rows, "logs.upload_confirmed", F.lit("no")), N.evidence_rows(rows, "logs.upload_confirmed"))
+
+    def endless(ev, spec):
+        @F.udf("string")
+        def wait(host):
+            import time
+
+            time.sleep(300)
+            return host
+
+        rows = ev.hosts.select(wait("host_id").alias("host_id"))
+        return N.Found(N.finding_rows(rows, "logs.upload_confirmed", F.lit("no")), N.evidence_rows(rows, "logs.upload_confirmed"))
+
+    def good(ev, spec):
+        return N.Found(
+            N.finding_rows(ev.hosts, "logs.upload_confirmed", F.lit("mine")), N.evidence_rows(ev.hosts, "logs.upload_confirmed")
+        )
+
+    hosts = spark.createDataFrame([("a",), ("b",)], "host_id string")
+    none = {f.name: hosts.limit(0) for f in fields(P.EvidenceTables)}
+    P.register_detector("late", late)
+    P.register_detector("endless", endless, seconds=3)
+    P.register_detector("good", good)
+    try:
+        found, failures = P._run_detectors(P.EvidenceTables(**{**none, "hosts": hosts}), DEFAULT_SPEC)
+    finally:
+        for name in ("late", "endless", "good"):
+            P.unregister_detector(name)
+    assert [f.findings.count() for f in found] == [2]
+    rows = {(r.host_id, r.detector): r.message for r in failures.collect()}
+    assert set(rows) == {(h, d) for h in "ab" for d in ("late", "endless")}
+    assert "not done after 3 seconds" in rows["a", "endless"]
+    # What runs afterwards is in no group of a detector's.
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+
+
+def test_places_span_partitions(spark):
+    import random
+
+    from fleetlens.operators.ordering import placed
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", "a", None]), rng.randrange(50), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "host_id string, n int, i int").repartition(7)
+    got = {(r.host_id, r.n, r.i): r.place for r in placed(df, F.col("n").desc(), F.col("i").asc()).collect()}
+    want = {}
+    for host in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == host), key=lambda r: (-r[1], r[2]))
+        want.update({r: k for k, r in enumerate(own, 1)})
+    assert got == want
+    assert placed(df.limit(0), F.col("n").asc()).count() == 0
+
+
+def test_error_examples_do_not_depend_on_the_layout(spark):
+    from fleetlens.operators import verdicts as R
+
+    rows = [("h", None, "d", "io", f"/p{i}", "m", True) for i in range(9)] + [("h", 4, "z", "io", "/q", "m", True), ("h", 5, "z", "permission", "/r", "m", True)]
+    df = spark.createDataFrame(rows, "host_id string, seq bigint, detector string, kind string, path string, message string, material boolean")
+    for n in (1, 5):
+        got = R.error_examples(df.repartition(n)).orderBy("place").collect()
+        assert [r.path for r in got] == ["/q", "/r", "/p0"] and got[0].omitted == 8
