@@ -23,12 +23,6 @@ _SETTINGS = {
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in _SETTINGS.items():
         spark.conf.set(key, value)
-    # Text splits must not depend on how many executors are up at planning time,
-    # or the two passes of the line numbering would disagree about block starts.
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) in (None, "", "None"):
-        spark.conf.set(
-            "spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism)
-        )
     return spark
 
 

@@ -58,6 +58,11 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(quote(re.sub(r"^s3[an]:", "s3:", uri), safe="/:@"))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a written table that a newer one replaces."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -15,9 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.paths import dirname, join_path, plain_path
+from fleetlens.session import materialize
 from fleetlens.sources.files import open_stream
 from fleetlens.spec import DEFAULT_SPEC, IndicatorSpec
 
+# Splits (of 128 MB as a rule) up to which their counts are broadcast, about 100 MB; beyond, Spark joins.
+_FEW_SPLITS = 1 << 18
 # binaryFile holds a file in one row; larger ones are streamed, with the same result.
 _ONE_ROW_LIMIT = 1 << 30
 # A line this long still fits into a row if every byte has to be replaced.
@@ -83,18 +86,20 @@ def number_lines(placed: DataFrame) -> DataFrame:
 
     Within a split the row order is the file order. A number is therefore the
     rank within the split plus the lines of the splits before it; only the
-    per-split counts are ordered, never the lines.
+    per-split counts are ordered, never the lines. The text is read once: the lines are
+    written as they are read, with ids that count them, and the splits are counted there.
     """
-    rows = placed.withColumn("row", F.monotonically_increasing_id())
-    blocks = rows.groupBy("path", "block").agg(
-        F.min("row").alias("first_row"), F.count(F.lit(1)).alias("n")
+    rows = materialize(placed.withColumn("row", F.monotonically_increasing_id()), "placed_lines")
+    blocks = materialize(
+        rows.groupBy("path", "block").agg(F.min("row").alias("first_row"), F.count(F.lit(1)).alias("n")), "splits"
     )
+    few = blocks.count() <= _FEW_SPLITS
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select(
         "path", "block", "first_row", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
     )
     others = [c for c in placed.columns if c not in ("path", "block", "line")]
-    return rows.join(offsets, ["path", "block"]).select(
+    return rows.join(F.broadcast(offsets) if few else offsets, ["path", "block"]).select(
         *others,
         "path",
         (F.col("row") - F.col("first_row") + F.col("offset") + 1).alias("line_no"),

@@ -300,3 +300,21 @@ def test_gzip_of_any_size_takes_the_tolerant_path(spark, tmp_path, monkeypatch):
     gone = spark.createDataFrame([("p", f"file:{tmp_path}/gone.gz")], "path string, source string")
     (row,) = S.inflate_streams(gone).collect()
     assert row.kind == "io" and "read failed" in row.message
+
+
+def test_lines_are_read_once_and_not_exchanged(spark, tmp_path, monkeypatch):
+    for i in range(3):
+        (tmp_path / f"unified.jsonl.{i}").write_text("".join(f"{i} {k}\n\n" for k in range(400)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        lines = S.read_log_lines(spark, str(tmp_path))
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        # What is left to do reads the written lines, not the text, and moves only counts.
+        assert "Format: Text" not in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        want = sorted((f".{i}", k + 1, f"{i} {k}") for i in range(3) for k in range(400))
+        assert sorted((r.path[-2:], r.line_no, r.line) for r in lines.collect()) == want
+        monkeypatch.setattr(S, "_FEW_SPLITS", 0)
+        assert sorted((r.path[-2:], r.line_no, r.line) for r in S.read_log_lines(spark, str(tmp_path)).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

@@ -117,3 +117,49 @@ def test_the_state_is_small_and_reported(spark, tmp_path):
     assert max(held) <= 250 and held[-1] <= 12, held
     got = spark.read.parquet(f"{tmp_path}/out")
     assert got.filter("in_window").count() > 150
+
+
+def random_events(rng, n):
+    from fleetlens.functions import events as E
+
+    kinds = [E.START, E.ENQUEUED, E.UNKNOWN_UPLOAD, E.SUCCESS, E.AUTH_FAIL]
+    return [
+        (
+            f"h{rng.randrange(9)}", f"/l/{rng.randrange(3)}", i, rng.choice(kinds), rng.choice(["", "s1", "s2"]),
+            rng.choice([None, 1, 2]), rng.choice(["", "/r/A", "/r/a", "/r/b//"]), rng.choice(["", "gs://x"]),
+            rng.choice([None, 1_700_000_000 + rng.randrange(10**6)]), rng.random() < 0.5,
+        )
+        for i in range(n)
+    ]
+
+
+_EVENT = "host_id string, path string, line_no bigint, kind string, sid string, turn bigint, repo string, gcs_path string, s bigint, case_insensitive boolean"
+
+
+def test_the_ledger_of_sums_is_the_batch_ledger(spark, tmp_path):
+    from fleetlens.operators.correlate import attributed_rows, build_ledger
+    from fleetlens.streaming import ledger as L
+
+    rows = random_events(random.Random(4), 600)
+    rows = [(*r[:9], int(r[0][1:]) % 2 == 0) for r in rows]
+    events = spark.createDataFrame(rows, _EVENT).withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    root, buckets = str(tmp_path), {}
+    # The last batch has one host only, and late starts for it.
+    parts = [events.filter("line_no < 200"), events.filter("line_no >= 200 AND host_id <> 'h3'"), events.filter("line_no >= 200 AND host_id = 'h3'"), events.limit(0)]
+    read = []
+    for i, part in enumerate(parts):
+        read.append(L.merge_batch(part, i, root))
+        # A batch that runs again changes nothing and reads the same.
+        assert L.merge_batch(part, i, root) == read[-1]
+    assert read[0] == [] and len(read[2]) == 1 and read[3] == []
+    # Only the touched bucket's current version is read.
+    (own,) = {r.bucket for r in parts[2].select(L._bucket()).distinct().collect()}
+    assert read[2][0].endswith(f"bucket={own}")
+    want = build_ledger(attributed_rows(events))
+    got = L.current_ledger(spark, root)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    # Versions that were replaced are gone.
+    kept = sum(1 for _ in (tmp_path / "versions").glob("batch=*/bucket=*"))
+    now = len(L._manifest(spark, root, 3))
+    assert kept <= now + 1 and len(list((tmp_path / "manifests").iterdir())) == 2
