@@ -8,15 +8,15 @@ which blob: no match, secret or line is ever part of its output.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
-import ahocorasick
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from fleetlens.functions.keyword_gate import KeywordGate
 from fleetlens.sources.rules import Allow, Rule, RuleSet
 
 HIT_SCHEMA = "sha string, rule_ord int, unless array<int>"
@@ -109,29 +109,26 @@ class _Scanner:
         self.guards = path_guards(rule_set)
         self.groups = [_group_count(r.regex) if r.regex else 0 for r in self.rules]
         self.words = sorted({w for r in self.rules for w in r.gate_words})
-        self.any_word = "|".join(re.escape(w) for w in self.words)
+        self.gate = KeywordGate(self.words)
         self.by_word: dict[str, list[int]] = {}
         for i, r in enumerate(self.rules):
             for w in r.gate_words:
                 self.by_word.setdefault(w, []).append(i)
         self.always = [i for i, r in enumerate(self.rules) if r.regex and not r.gate_words]
         self.path_only = [i for i, r in enumerate(self.rules) if not r.regex and r.path]
-        self.find_words = _word_finder(self.words)
 
     def candidates(self, texts: pa.Array) -> dict[int, list[int]]:
         """Rows each rule has to look at: those that carry one of its keywords."""
         rows: dict[int, list[int]] = {i: list(range(len(texts))) for i in self.always}
         if not self.words:
             return rows
-        lower = pc.utf8_lower(texts)
-        gate = pc.match_substring_regex(lower, pattern=self.any_word).to_pylist()
-        for row, passed in enumerate(gate):
-            if not passed:
-                continue
-            due = {i for w in self.find_words(lower[row].as_py()) for i in self.by_word[w]}
-            for i in due:
+        found, word = self.gate.find(pc.utf8_lower(texts).cast(pa.binary()).to_pylist())
+        due: dict[int, list[np.ndarray]] = {}
+        for w in np.unique(word).tolist():
+            for i in self.by_word[self.words[w]]:
                 if self.rules[i].regex:
-                    rows.setdefault(i, []).append(row)
+                    due.setdefault(i, []).append(found[word == w])
+        rows.update((i, np.unique(np.concatenate(parts)).tolist()) for i, parts in due.items())
         return rows
 
     def hits(self, rule_ord: int, texts: pa.Array, rows: list[int]):
@@ -175,14 +172,6 @@ class _Scanner:
         }
 
 
-def _word_finder(words: list[str]) -> Callable[[str], set[str]]:
-    automaton = ahocorasick.Automaton()
-    for w in words:
-        automaton.add_word(w, w)
-    automaton.make_automaton()
-    return lambda text: {w for _, w in automaton.iter(text)}
-
-
 def _texts(content: pa.Array) -> pa.Array:
     try:
         return content.cast(pa.string())

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from fleetlens.functions.keyword_gate import KeywordGate
 from fleetlens.functions.filekind import looks_binary
 from fleetlens.functions.secret_paths import classify_secret_path, jvm_regex, matches_any
 from fleetlens.operators.secret_scan import path_guards, scan_contents
@@ -228,29 +233,27 @@ def secret_examples(hits: DataFrame, k: int = 3) -> DataFrame:
 def keyword_rules(texts: DataFrame, rule_set: RuleSet, key: str) -> DataFrame:
     """Rules worth running on each text: one of their keywords occurs, or they have none.
 
-    Each distinct keyword is looked for once per text; no join is needed, since
-    the rule table is part of the expression.
+    All texts of a batch are searched for all keywords together; no join is needed, since
+    the rule table travels with the function.
     """
-    by_word: dict[str, list[str]] = {}
-    for rule in rule_set.rules:
-        for word in rule.gate_words:
-            by_word.setdefault(word, []).append(rule.id)
+    words = sorted({w for r in rule_set.rules for w in r.gate_words})
+    by_word = [[r.id for r in rule_set.rules if w in r.gate_words] for w in words]
     always = [r.id for r in rule_set.rules if r.regex and not r.gate_words]
-
-    def ids(names: list[str]) -> Column:
-        return F.array(*[F.lit(n) for n in names]).cast("array<string>")
-
-    gated = [
-        F.when(F.contains(F.col("lower"), F.lit(word)), ids(names))
-        for word, names in by_word.items()
-    ]
-    lower = texts.select(key, F.lower("text").alias("lower"))
-    return lower.select(
-        key,
-        F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(ids(always), *gated))))).alias(
-            "rule_id"
-        ),
-    )
+    rows = texts.select(key, F.lower("text").alias("lower"))
+    schema = T.StructType([rows.schema[key], T.StructField("rule_id", T.StringType())])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gate = KeywordGate(words)
+        for batch in batches:
+            text = batch.column(1).cast(pa.binary())
+            row, word = gate.find([x or b"" for x in text.to_pylist()])
+            pairs = {(r, rule) for r, w in zip(row.tolist(), word.tolist(), strict=True) for rule in by_word[w]}
+            pairs.update((r, rule) for r in range(len(text)) for rule in always)
+            at, rules = zip(*sorted(pairs), strict=True) if pairs else ((), ())
+            columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(rules, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [key, "rule_id"])
+
+    return rows.mapInArrow(find, schema)
 
 
 def untriaged_repos(ledger: DataFrame, objects: DataFrame) -> DataFrame:
