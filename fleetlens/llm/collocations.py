@@ -20,7 +20,7 @@ Words are identified by 64-bit hashes, phrases by the hashes of their words.
 
 Defined cases: a null text has no words; a null language is ``und``; repeated rows count as
 often as they occur; an empty table gives an empty result; other columns are not read; a
-text of any length is read whole (it is the unit of memory, besides slices of 2 MB).
+text of any length is read whole (it is the unit of memory, besides slices of 4 MB).
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ _ODD = _U(0x9FB21C651E98DF25)
 
 #: Counts what ends a piece, or has a next word too rare to matter.
 OTHER = 0
-_SLICE = 1 << 21
+_SLICE = 1 << 22
 #: Entries of stripes a task holds before it hands them on.
 _HELD = 1 << 21
 _WORD_BITS = 10
