@@ -395,14 +395,15 @@ def secret_findings(hits: DataFrame) -> Found:
     for gone, fid, words, note in (
         (True, "secrets.deleted_from_checkout", "%d credential files left the checkout but not the history",
          ", deleted from the checkout but still in history"),
-        (False, "secrets.in_head", "%d credential files are tracked at HEAD", ", tracked at HEAD"),
+        (False, "secrets.in_head", "%d credential files are in the checkout", ", tracked at HEAD"),
     ):
         rows = hits.filter(F.col("deleted_from_checkout") == gone)
+        note = F.when(locator.isNull(), ", in the working tree").otherwise(note)
         parts.append(
             Found(
                 finding_rows(_count(rows), fid, F.format_string(words, "n")),
                 evidence_rows(
-                    rows, fid, path=path, locator=locator, note=F.concat("class", F.lit(note))
+                    rows, fid, path=path, locator=locator, note=F.concat("class", note)
                 ),
             )
         )

@@ -134,7 +134,7 @@ def content_hits(
     firsts = first_path_of_blob(objects, rule_set)
     kept, _ = blob_filter(blobs, spec)
     units = scan_units(firsts, kept, rule_set)
-    hits = scan_contents(_contents(kept).join(units, "sha"), rule_set)
+    hits = scan_contents(_contents(may_hold(kept, units)).join(units, "sha"), rule_set)
     ids = _rule_ids(hits, rule_set)
     scannable = firsts.join(kept.select(*REPO, "sha").distinct(), [*REPO, "sha"], "left_semi")
     return scannable.join(ids, "sha").filter(_rule_path_gate(rule_set)).select(
@@ -142,6 +142,32 @@ def content_hits(
     ).distinct()
 
 
+#: Bits of the filter that keeps contents off the wire: 16 MB, whatever the number of blobs.
+_FILTER_BITS = 1 << 27
+
+
+def may_hold(kept: DataFrame, units: DataFrame) -> DataFrame:
+    """Rows whose ``sha`` may be in the scan list, chosen in the scan, before any shuffle.
+
+    One bit per id, hashed to a place, in bitmaps of 4 KB by bucket: at most 4,096 of them,
+    so they are broadcast whatever the data's size. Ids that share a bit with one of the list
+    pass too and fall out in the join; the fuller the filter, the less it saves, never more.
+    """
+    place = F.pmod(F.xxhash64("sha"), F.lit(_FILTER_BITS))
+    bits = units.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
+    )
+    at = F.bitmap_bit_position("place")
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return (
+        kept.withColumn("place", place).withColumn("bucket", F.bitmap_bucket_number("place"))
+        .join(F.broadcast(bits), "bucket")
+        .filter(is_set)
+        .select(*kept.columns)
+    )
+
+
 def _contents(kept: DataFrame) -> DataFrame:
     """One text per blob id; copies of a blob meet before their contents move."""
     return (
@@ -256,6 +282,64 @@ def keyword_rules(texts: DataFrame, rule_set: RuleSet, key: str) -> DataFrame:
     return rows.mapInArrow(find, schema)
 
 
+def worktree_files(placed: DataFrame, untriaged: DataFrame) -> DataFrame:
+    """Checked-out files of repositories without a delivered history.
+
+    placed(host_id, path, repo_path) names the nearest repository of each file, so that a
+    repository inside another one keeps its files to itself. ``path`` becomes relative to
+    ``repo_path``; ``file`` keeps the whole one. What git stores below ``.git`` is no part.
+    """
+    below = F.when(F.col("repo_path") == "/", 2).otherwise(F.length("repo_path") + 2)
+    inside = placed.join(untriaged.select(*REPO).distinct(), REPO, "left_semi").select(
+        *REPO, F.col("path").alias("file"), F.substring("path", below, F.length("path")).alias("path")
+    )
+    return inside.filter((F.col("path") != "") & ~F.col("path").startswith(".git/")).distinct()
+
+
+def worktree_secrets(files: DataFrame, contents: DataFrame | None, rule_set: RuleSet) -> DataFrame:
+    """Credential files of working trees, with the columns of ``secret_hits`` and no blob.
+
+    A content counts where it was delivered (host_id, path, content) and is text: the first
+    rule in table order gives the class. Otherwise the file name does. Equal contents are
+    scanned once in the fleet; they are named by their digest, since git names none here.
+    """
+    named = files.withColumn("class", classify_secret_path(F.col("path")))
+    if contents is not None:
+        open_to_rules = files.filter(~matches_any(F.col("path"), rule_set.allow.paths))
+        delivered = contents.select("host_id", F.col("path").alias("file"), "content").join(
+            open_to_rules.select("host_id", "file").distinct(), ["host_id", "file"], "left_semi"
+        )
+        digest = F.sha2("content", 256).alias("sha")
+        firsts = open_to_rules.join(delivered.select("host_id", "file", digest), ["host_id", "file"])
+        path_only = [r.path for r in rule_set.rules if r.path and not r.regex]
+        units = firsts.groupBy("sha").agg(
+            F.bool_or(matches_any(F.col("path"), tuple(path_only))).alias("path_only")
+        )
+        texts = _contents(delivered.select(digest, "content"))
+        hits = _rule_ids(scan_contents(texts.join(units, "sha"), rule_set), rule_set)
+        found = (
+            firsts.join(hits, "sha").filter(_rule_path_gate(rule_set))
+            .groupBy(*REPO, "path").agg(F.min_by("rule_id", "rule_ord").alias("rule_id"))
+        )
+        named = named.join(found, [*REPO, "path"], "left").withColumn("class", F.coalesce("rule_id", "class"))
+    no = F.lit(False)
+    return named.filter(F.col("class") != "").select(
+        *REPO, "path", "class", F.lit("").alias("blob"),
+        no.alias("in_head"), no.alias("in_history"), no.alias("deleted_from_checkout"),
+    )
+
+
+def secrets_notes(untriaged: DataFrame, files: DataFrame) -> DataFrame:
+    """Why the history of a repository was not examined, and what was instead."""
+    seen = files.groupBy(*REPO).agg(F.count(F.lit(1)).alias("n"))
+    return untriaged.select(*REPO).distinct().join(seen, REPO, "left").select(
+        *REPO,
+        F.when(F.col("n").isNull(), F.lit("No history was delivered and no file of the checkout was listed."))
+        .otherwise(F.format_string("No history was delivered; %d files of the working tree were examined.", "n"))
+        .alias("secrets_note"),
+    )
+
+
 def untriaged_repos(ledger: DataFrame, objects: DataFrame) -> DataFrame:
     """Implicated repositories whose history was not available."""
     return ledger.filter(F.col("repo_path") != UNATTRIBUTED).select(*REPO).distinct().join(

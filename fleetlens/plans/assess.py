@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.functions.paths import clean_path, dirname
+from fleetlens.functions.paths import clean_path, dirname, display_path
 from fleetlens.operators import config_audit as A
 from fleetlens.operators import correlate as C
 from fleetlens.operators import disk as D
@@ -72,6 +72,7 @@ class ReportTables:
     binaries: DataFrame
     configs: DataFrame
     version_summary: DataFrame
+    top_repos: DataFrame
 
     def tables(self) -> dict[str, DataFrame]:
         return {f.name: getattr(self, f.name) for f in fields(self)}
@@ -248,9 +249,15 @@ def assess(
     if scan_contents:
         blobs = ev.blobs.join(seeds, G.REPO, "left_semi")
         first = G.content_hits_first(G.content_hits(objects, blobs, rules, spec))
-    secrets = materialize(G.secret_hits(objects, tree, first), "secrets")
     _, oversized = G.blob_filter(ev.blobs.join(seeds, G.REPO, "left_semi"), spec)
-    untriaged = G.untriaged_repos(ledger, objects)
+    untriaged = materialize(G.untriaged_repos(ledger, objects), "untriaged")
+    files = materialize(checkout_files(inventory, seeds, untriaged), "checkouts")
+    secrets = materialize(
+        G.secret_hits(objects, tree, first).unionByName(
+            G.worktree_secrets(files, ev.file_content if scan_contents else None, rules)
+        ),
+        "secrets",
+    )
 
     of_detectors, failures = _run_detectors(ev, spec)
     found = N.union(
@@ -292,9 +299,10 @@ def assess(
 
     triage = (
         G.history_objects(objects)
-        .join(G.secret_totals(secrets, *G.REPO), G.REPO, "left")
+        .join(G.secret_totals(secrets, *G.REPO), G.REPO, "full_outer")
+        .join(G.secrets_notes(untriaged, files), G.REPO, "full_outer")
         .withColumnsRenamed({"total": "secret_files", "deleted": "secret_files_deleted"})
-        .withColumn("secrets_scanned", F.lit(True))
+        .withColumn("secrets_scanned", F.col("history_objects").isNotNull())
     )
     repos = G.merge_triage(ledger, triage)
     no_logs = hosts.select("host_id").join(parsed.select("host_id").distinct(), "host_id", "left_anti")
@@ -316,9 +324,32 @@ def assess(
             ["host_id", "path"], "left",
         ).fillna(False, ["active"]),
         version_summary=W.version_summary(versions),
+        top_repos=shown_repos(ledger, hosts),
     )
 
 
+def shown_repos(ledger: DataFrame, hosts: DataFrame, k: int = 10) -> DataFrame:
+    """The worst repositories of each host for people: home-relative, with the number left out.
+
+    A host with several homes has one row per user at most; paths are shown against the longest
+    user home that holds them.
+    """
+    homes = hosts.select("host_id", F.coalesce("user_home", F.lit("")).alias("home")).distinct()
+    top = C.top_repos(ledger, k).join(homes, "host_id", "left").withColumn(
+        "shown", display_path(F.col("repo_path"), F.coalesce("home", F.lit("")))
+    )
+    keys = ["host_id", "place", "repo_path", "status", "archives", "omitted"]
+    return top.groupBy(*keys).agg(F.min_by("shown", F.length("shown")).alias("shown"))
+
+
+def checkout_files(inventory: DataFrame, seeds: DataFrame, untriaged: DataFrame) -> DataFrame:
+    """The files of working trees whose history was not delivered, each of its nearest repository."""
+    hosts = untriaged.select("host_id").distinct()
+    files = inventory.filter("is_regular").join(hosts, "host_id", "left_semi").select("host_id", "path")
+    roots = D.git_repositories(inventory).unionByName(seeds.select(*G.REPO)).distinct()
+    return G.worktree_files(D.repo_root_of(files, roots), untriaged)
+
+
 def interrupted_errors(interrupted: DataFrame) -> DataFrame:
     """A queue that was not walked to its end may hide files, which is material."""
     return interrupted.select(

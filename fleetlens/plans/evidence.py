@@ -265,6 +265,24 @@ FILE_CONTENT = """
   FROM {pages}
 """
 
+# Checked-out files, from pages: some lie in a repository inside another one.
+CHECKOUT_FILES = """
+  SELECT host_id, top, t_number, t_nested, rel, t_content,
+    top || CASE WHEN t_nested THEN '/inner/' ELSE '/' END || rel AS path
+  FROM (
+    SELECT 'host-' || cast(page_id % 60 AS string) AS host_id, page_id % 12 AS t_number,
+      '/home/u/src/r' || cast(page_id % 12 AS string) AS top, page_id % 7 = 0 AS t_nested,
+      CASE page_id % 13 WHEN 0 THEN '.env' WHEN 1 THEN 'keys/ID_RSA' WHEN 2 THEN '.git/config'
+        WHEN 3 THEN 'node_modules/x/index.js' ELSE 'src/p' || cast(page_id AS string) || '.txt' END AS rel,
+      coalesce(html, '') || CASE page_id % 5
+        WHEN 0 THEN chr(10) || 'pat ghp_' || md5(cast(page_id AS string)) || 'AbC9'
+        WHEN 1 THEN chr(10) || 'id = AKIAQ' || 'WERTYUIOPASDFGH'
+        WHEN 2 THEN chr(10) || 'pat ghp_' || md5('same') || 'AbC9'
+        ELSE '' END AS t_content
+    FROM {pages}
+  ) AS files
+"""
+
 # What collectors failed to see, from orders.
 COLLECTOR_ERRORS = """
   SELECT 'host-' || cast(o_custkey AS string) AS host_id, o_orderkey AS seq,

@@ -13,6 +13,7 @@ from fleetlens.functions import secret_paths as P
 from fleetlens.functions import text as T
 from fleetlens.functions.filekind import looks_binary, sha256_hex
 from fleetlens.functions.paths import basename, extension
+from fleetlens.operators import disk as D
 from fleetlens.operators import triage as G
 from fleetlens.operators.secret_scan import scan_contents
 from fleetlens.plans import evidence as V
@@ -91,33 +92,29 @@ _PATH_GUARDS = {
 }
 _PATH_ONLY = [i for i, r in enumerate(RULES.rules) if r.path and not r.regex]
 
-HITS_SQL = (
-    f"""{OBJECTS_SQL},
+_RAW_HITS_SQL = "\nUNION ALL ".join(_rule_sql(i) for i, r in enumerate(RULES.rules) if r.regex) + "".join(
+    f"\nUNION ALL SELECT sha, {i}, {_quote(RULES.rules[i].id)} FROM contents" for i in _PATH_ONLY
+)
+_PATH_TESTS_SQL = " AND ".join(
+    [f"(rule_ord <> {i} OR regexp_matches(path, {_quote(p)}))" for i, p in _PATH_RULES.items()]
+    + [
+        f"(rule_ord <> {i} OR NOT regexp_matches(path, {_quote(_union(p))}))"
+        for i, p in _PATH_GUARDS.items()
+    ]
+)
+
+HITS_SQL = f"""{OBJECTS_SQL},
 contents AS (SELECT DISTINCT sha, t_content FROM objects WHERE obj_type = 'blob'),
 firsts AS (SELECT host_id, repo_path, sha, min(seq) AS seq, arg_min(path, seq) AS path FROM objects
   WHERE NOT regexp_matches(path, {_quote(_union(RULES.allow.paths))}) GROUP BY ALL),
 scannable AS (SELECT f.* FROM firsts f SEMI JOIN (SELECT * FROM objects WHERE obj_type = 'blob') b
   ON f.host_id = b.host_id AND f.repo_path = b.repo_path AND f.sha = b.sha),
-raw_hits AS ("""
-    + "\nUNION ALL ".join(_rule_sql(i) for i, r in enumerate(RULES.rules) if r.regex)
-    + "".join(
-        f"\nUNION ALL SELECT sha, {i}, {_quote(RULES.rules[i].id)} FROM contents" for i in _PATH_ONLY
-    )
-    + """),
+raw_hits AS ({_RAW_HITS_SQL}),
 hits AS (SELECT s.host_id, s.repo_path, s.seq, s.path, s.sha AS blob, h.rule_ord, h.rule_id
-  FROM scannable s JOIN raw_hits h ON s.sha = h.sha WHERE """
-    + " AND ".join(
-        [f"(rule_ord <> {i} OR regexp_matches(path, {_quote(p)}))" for i, p in _PATH_RULES.items()]
-        + [
-            f"(rule_ord <> {i} OR NOT regexp_matches(path, {_quote(_union(p))}))"
-            for i, p in _PATH_GUARDS.items()
-        ]
-    )
-    + """),
+  FROM scannable s JOIN raw_hits h ON s.sha = h.sha WHERE {_PATH_TESTS_SQL}),
 first_hits AS (SELECT host_id, repo_path, path, rule_id, blob FROM (
   SELECT *, row_number() OVER (PARTITION BY host_id, repo_path, path ORDER BY seq, rule_ord) AS rn
   FROM hits) AS r WHERE rn = 1)"""
-)
 
 # The class by file name, told by the projection's own list of names.
 CLASS_SQL = """CASE
@@ -429,3 +426,56 @@ def rule_table_coverage(spark, sf_dir):
         .groupBy((F.col("doc_id") % 10).alias("bucket"))
         .agg(F.countDistinct("rule_id").alias("rules_due"))
     )
+
+
+# Files of the first repository of three came with a history, and so did those of inner ones.
+WORKTREE_SQL = f"""checkout AS ({V.as_sql(V.CHECKOUT_FILES)}),
+files AS (SELECT DISTINCT host_id, top AS repo_path, rel AS path, t_content FROM checkout
+  WHERE NOT t_nested AND t_number % 3 <> 0 AND rel NOT LIKE '.git/%'),
+firsts AS (SELECT *, md5(t_content) AS sha FROM files
+  WHERE NOT regexp_matches(path, {_quote(_union(RULES.allow.paths))})),
+contents AS (SELECT DISTINCT sha, t_content FROM firsts),
+raw_hits AS ({_RAW_HITS_SQL}),
+found AS (SELECT f.host_id, f.repo_path, f.path, arg_min(h.rule_id, h.rule_ord) AS rule_id
+  FROM firsts f JOIN raw_hits h ON f.sha = h.sha WHERE {_PATH_TESTS_SQL} GROUP BY ALL),
+named AS (SELECT DISTINCT host_id, repo_path, path, {CLASS_SQL} AS class FROM files)"""
+
+
+def checkout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(placed files, their contents, repositories without a history)."""
+    raw = materialize(V.project(spark, sf_dir, V.CHECKOUT_FILES), "checkout")
+    inner = raw.filter("t_nested").select("host_id", F.concat("top", F.lit("/inner")).alias("repo_path"))
+    roots = raw.select("host_id", F.col("top").alias("repo_path")).unionByName(inner).distinct()
+    untriaged = raw.filter("t_number % 3 <> 0").select("host_id", F.col("top").alias("repo_path"))
+    gone = raw.select("host_id", F.lit("/home/u/gone").alias("repo_path"))
+    contents = raw.select("host_id", "path", F.encode("t_content", "UTF-8").alias("content"))
+    return D.repo_root_of(raw.select("host_id", "path"), roots), contents, untriaged.unionByName(gone).distinct()
+
+
+@query(
+    "J10 U1 (working tree)",
+    f"""WITH {WORKTREE_SQL}
+    SELECT n.host_id, n.repo_path, n.path, coalesce(f.rule_id, n.class) AS class, '' AS blob,
+      false AS in_head, false AS deleted_from_checkout
+    FROM named n LEFT JOIN found f ON f.host_id = n.host_id AND f.repo_path = n.repo_path AND f.path = n.path
+    WHERE f.rule_id IS NOT NULL OR n.class <> ''""",
+)
+def worktree_secrets(spark, sf_dir):
+    placed, contents, untriaged = checkout(spark, sf_dir)
+    return G.worktree_secrets(G.worktree_files(placed, untriaged), contents, RULES).drop("in_history")
+
+
+@query(
+    "J10 (notes)",
+    f"""WITH {WORKTREE_SQL}
+    SELECT host_id, repo_path, 'No history was delivered; ' || cast(count(*) AS varchar)
+      || ' files of the working tree were examined.' AS secrets_note FROM named GROUP BY ALL
+    UNION ALL SELECT DISTINCT host_id, '/home/u/gone', 'No history was delivered and no file of the checkout was listed.'
+      FROM checkout
+    UNION ALL SELECT DISTINCT host_id, top, 'No history was delivered and no file of the checkout was listed.'
+      FROM checkout c WHERE t_number % 3 <> 0
+        AND NOT EXISTS (SELECT 1 FROM named n WHERE n.host_id = c.host_id AND n.repo_path = c.top)""",
+)
+def secrets_notes(spark, sf_dir):
+    placed, _, untriaged = checkout(spark, sf_dir)
+    return G.secrets_notes(untriaged, G.worktree_files(placed, untriaged))
