@@ -75,13 +75,13 @@ def fit(
     labels: np.ndarray,
     dimensions: int,
     n_factors: int = 8,
-    epochs: int = 10,
+    epochs: int = 20,
     batch: int = 256,
-    rate: float = 0.05,
-    shrink: float = 1e-3,
+    rate: float = 0.3,
+    shrink: float = 1e-4,
     least_ratio: float = 1.0,
     least_rows: int = 3,
-    spread: float = 0.01,
+    spread: float = 0.05,
 ) -> FactorizationMachine:
     """Logistic loss, Adagrad steps over mini-batches.
 

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from fleetlens.llm.toxicity import distinct_terms, fit, score, train
+from fleetlens.llm.toxicity import FactorizationMachine, distinct_terms, fit, score, train
 
 DIM = 1 << 12
 
@@ -73,3 +73,28 @@ def test_rare_terms_that_are_toxic_only_as_a_pair():
     assert model.factors[[grim, folk]].any(axis=1).all()
     pair, alone = [row("grim", "folk") for _ in range(100)], [row(w) for w in ("grim", "folk") for _ in range(50)]
     assert (scores(pair, model) >= 0.5).mean() > 0.9 and (scores(alone, model) < 0.5).mean() > 0.9
+
+
+def test_margins_against_all_pairs_one_by_one():
+    rng = np.random.default_rng(5)
+    model = FactorizationMachine(0.3, rng.normal(size=50), rng.normal(size=(50, 4)))
+    texts = [np.sort(rng.choice(50, n, replace=False)) for n in (0, 1, 2, 9, 30)]
+    first = np.cumsum([0, *map(len, texts)])
+    for got, terms in zip(model.margins(np.concatenate(texts).astype(int), first), texts, strict=True):
+        want = model.intercept + sum(model.weights[t] for t in terms)
+        want += sum(model.factors[a] @ model.factors[b] for i, a in enumerate(terms) for b in terms[:i])
+        assert abs(got - want) < 1e-9
+
+
+def test_pairs_are_learned_with_the_settings_of_the_query():
+    rng = np.random.default_rng(11)
+
+    def row(*planted):
+        return " ".join(rng.permutation([f"word{i}" for i in rng.integers(0, 300, 6)] + list(planted)))
+
+    rows = [(row("vile"), True) for _ in range(1500)] + [(row(), False) for _ in range(1500)]
+    rows += [(row("grim", "folk"), True) for _ in range(200)]
+    rows += [(row("grim"), False) for _ in range(200)] + [(row("folk"), False) for _ in range(200)]
+    model = learned(rows)
+    pair, alone = [row("grim", "folk") for _ in range(100)], [row(w) for w in ("grim", "folk") for _ in range(50)]
+    assert (scores(pair, model) >= 0.5).mean() > 0.9 and (scores(alone, model) < 0.5).mean() > 0.9
