@@ -10,7 +10,9 @@ Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.
 
 A shard is as large as fits a task, whatever the corpus; texts are never cut. Benchmark
 phrases are the query set: they are sent to tasks in blocks of bounded size, and every
-block is searched in every shard. Defined cases: null and word-less texts have no hit; an
+block is searched in every shard. The driver makes one block after the other and a worker
+holds one at a time; the rest lie in Spark's broadcast files. Ids of items may be of any
+type. Defined cases: null and word-less texts have no hit; an
 item without id marks words but is in no list; items that share a phrase are all listed;
 an empty benchmark hits nothing; repeated rows give repeated results.
 """
@@ -18,12 +20,14 @@ an empty benchmark hits nothing; repeated rows give repeated results.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlens.llm import words as W
 from fleetlens.llm.fm_index import FmIndex
@@ -38,15 +42,25 @@ _AT_ONCE = 1 << 19
 _NOT_WORD = np.ones(256, dtype=bool)
 _NOT_WORD[0x30:0x3A] = _NOT_WORD[0x61:0x7B] = _NOT_WORD[0x80:] = False
 
-_ARROW = pa.struct(
-    [
-        ("n_words", pa.int64()),
-        ("n_hit", pa.int64()),
-        ("items", pa.list_(pa.int64())),
-        ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-    ]
-)
-_TYPE = "struct<n_words: long, n_hit: long, items: array<long>, spans: array<struct<start: long, end: long>>>"
+
+def _found_type(item: str) -> str:
+    return f"struct<n_words: long, n_hit: long, items: array<{item}>, spans: array<struct<start: long, end: long>>>"
+
+
+def _found_arrow(item: str) -> pa.DataType:
+    return pa.struct(
+        [
+            ("n_words", pa.int64()),
+            ("n_hit", pa.int64()),
+            ("items", pa.list_(pa.string() if item == "string" else pa.int64())),
+            ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+        ]
+    )
+
+
+def item_type(benchmark: DataFrame, item: str = "item_id") -> str:
+    """Whole numbers stay numbers; ids of any other type are texts."""
+    return "long" if isinstance(benchmark.schema[item].dataType, T.IntegralType) else "string"
 
 
 @dataclass
@@ -63,8 +77,11 @@ def _symbols(hashes: np.ndarray) -> np.ndarray:
     return (hashes % np.uint64(254) + np.uint64(2)).astype(np.uint8)
 
 
-def phrase_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> list[list[PhraseBlock]]:
-    """The phrases of the benchmark, each block bounded by ``BLOCK_PHRASES`` on average."""
+def phrase_blocks(
+    benchmark: DataFrame, item: str = "item_id", text: str = "text"
+) -> Iterator[list[PhraseBlock]]:
+    """The phrases of the benchmark, one block after the other, each of ``BLOCK_PHRASES`` on average."""
+    kind = item_type(benchmark, item)
 
     @F.arrow_udf("array<binary>")
     def phrases_of(column: pa.Array) -> pa.Array:
@@ -76,13 +93,12 @@ def phrase_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text
         return pa.array(out, pa.list_(pa.binary()))
 
     found = benchmark.select(
-        F.col(item).cast("long").alias("item"), F.explode(phrases_of(F.col(text))).alias("phrase")
+        F.col(item).cast(kind).alias("item"), F.explode(phrases_of(F.col(text))).alias("phrase")
     )
     phrases = materialize(
         found.groupBy("phrase").agg(F.sort_array(F.collect_set("item")).alias("items")), "phrases"
     )
     n_blocks = math.ceil(phrases.count() / BLOCK_PHRASES)
-    blocks = []
     for b in range(n_blocks):
         rows = phrases.filter(F.pmod(F.xxhash64("phrase"), F.lit(n_blocks)) == b).collect()
         by_size: dict[int, list] = {}
@@ -94,12 +110,11 @@ def phrase_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text
             block.append(
                 PhraseBlock(
                     np.frombuffer(b"".join(r["phrase"] for r in group), np.uint64).reshape(-1, size),
-                    np.array([i for items in lists for i in items], dtype=np.int64),
+                    np.array([i for items in lists for i in items], dtype=np.int64 if kind == "long" else object),
                     np.concatenate([[0], np.cumsum([len(items) for items in lists])]),
                 )
             )
-        blocks.append(block)
-    return blocks
+        yield block
 
 
 def _expand(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +141,7 @@ def _occurrences(index: FmIndex, block: PhraseBlock, word_at: np.ndarray, hashes
 def _search_shard(texts: list[bytes], blocks) -> list[dict]:
     found = W.split(texts, _NOT_WORD)
     n, place = len(found.hashes), np.arange(len(found.hashes)) + found.doc
-    step, pairs = np.zeros(n + 1, dtype=np.int64), [np.zeros((0, 2), dtype=np.int64)]
+    step, pairs = np.zeros(n + 1, dtype=np.int64), set()
     if n:
         symbols = np.ones(n + len(texts) + 1, dtype=np.uint8)
         symbols[place], symbols[-1] = _symbols(found.hashes), 0
@@ -140,7 +155,7 @@ def _search_shard(texts: list[bytes], blocks) -> list[dict]:
                     step -= np.bincount(word + phrases.hashes.shape[1], minlength=n + 1)
                     once = np.unique(np.stack([found.doc[word], phrase], axis=1), axis=0)
                     at, owner = _expand(phrases.first_item[once[:, 1]], phrases.first_item[once[:, 1] + 1])
-                    pairs.append(np.stack([once[owner, 0], phrases.items[at]], axis=1))
+                    pairs.update(zip(once[owner, 0].tolist(), phrases.items[at].tolist(), strict=True))
     covered = np.cumsum(step)[:n] > 0
     n_hit = np.bincount(found.doc[covered], minlength=len(texts))
     fresh = np.diff(found.doc, prepend=-1) != 0
@@ -158,7 +173,7 @@ def _search_shard(texts: list[bytes], blocks) -> list[dict]:
     ]
     for doc, a, b in zip(owner.tolist(), starts.tolist(), stops.tolist(), strict=True):
         out[doc]["spans"].append({"start": a, "end": b})
-    for doc, item in np.unique(np.concatenate(pairs), axis=0).tolist():
+    for doc, item in sorted(pairs):
         out[doc]["items"].append(item)
     return out
 
@@ -169,7 +184,10 @@ def _searcher(benchmark: DataFrame):
     sent = [context.broadcast(block) for block in phrase_blocks(benchmark)]
 
     def blocks():
-        return (block.value for block in sent)
+        for block in sent:
+            yield block.value
+            if len(sent) > 1:
+                vars(block).pop("_value", None)  # a worker holds one block at a time
 
     def search(column: pa.Array):
         texts = W.as_bytes(column)
@@ -183,9 +201,12 @@ def find_leaks(text: Column, benchmark: DataFrame) -> Column:
     """A struct per text: ``n_words``, ``n_hit``, ``items`` (ascending) and ``spans`` (code points)."""
     search = _searcher(benchmark)
 
-    @F.arrow_udf(_TYPE)
+    kind = item_type(benchmark)
+    arrow = _found_arrow(kind)
+
+    @F.arrow_udf(_found_type(kind))
     def find(column: pa.Array) -> pa.Array:
-        return pa.array([found for _, found in search(column)], _ARROW)
+        return pa.array([found for _, found in search(column)], arrow)
 
     return find(text)
 

@@ -81,3 +81,12 @@ def test_many_blocks_of_phrases(spark, small, monkeypatch):
     monkeypatch.setattr(D, "SHARD_BYTES", 10_000)
     monkeypatch.setattr(D, "_AT_ONCE", 3)
     assert result() == whole
+
+
+def test_items_with_text_ids(spark):
+    docs = spark.createDataFrame([(1, f"a {PASSAGE}"), (2, "else"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame(
+        [("item-b", PASSAGE), ("item-a", PASSAGE), (None, PASSAGE), ("10", "else")], "item_id string, text string"
+    )
+    got = {r.doc_id: r.f["items"] for r in docs.select("doc_id", find_leaks(docs["text"], bench).alias("f")).collect()}
+    assert got == {1: ["item-a", "item-b"], 2: ["10"], 3: []}
