@@ -50,8 +50,13 @@ def write_archive(
     payload: str = "html",
     revisit_bytes: int = 1000,
     buckets: int | None = None,
+    date: Column | None = None,
 ) -> Archive:
-    """Write one record per row of ``pages`` and each distinct payload once."""
+    """Write one record per row of ``pages`` and each distinct payload once.
+
+    ``date`` is when a page was fetched, a timestamp; without one, or where it is null, the
+    records carry the time of the writing.
+    """
     spark = pages.sparkSession
     name = f"warc_{uuid.uuid4().hex}"
     folder = f"{shared_dir(spark)}/fleetlens/{name}"
@@ -59,6 +64,7 @@ def write_archive(
     body = pages.select(
         F.col(page_id).alias("page_id"),
         F.col(url).alias("url"),
+        F.coalesce(*([] if date is None else [date]), F.current_timestamp()).alias("fetched"),
         F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("digest", F.unhex(F.sha2("payload", 256)))
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -74,6 +80,7 @@ def write_archive(
     facts = body.select(
         "page_id",
         "url",
+        "fetched",
         "digest",
         F.length("payload").cast("long").alias("size"),
         F.sha1("payload").alias("sha1"),
@@ -98,6 +105,7 @@ def write_archive(
         F.lit(f"WARC/1.1{CRLF}"),
         _header("WARC-Type", F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response"))),
         _header("WARC-Record-ID", _record_id(F.col("page_id"))),
+        _header("WARC-Date", F.date_format(F.to_utc_timestamp("fetched", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         # A line break inside a URL would end the header.
         _header("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("")), "[\r\n]+", "")),
         _header("WARC-Payload-Digest", digest),

@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import pytest
 
@@ -105,3 +106,21 @@ def test_archive_notices_a_changed_payload(spark):
 def test_empty_archive(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert read_archive(spark, write_archive(pages)).count() == 0
+
+
+def test_every_record_is_dated(spark):
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame(
+        [(1, "http://a/", "x", "2024-02-29 23:30:00"), (2, None, None, None)],
+        "page_id long, url string, html string, seen string",
+    )
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = read_archive(spark, write_archive(pages, date=F.to_timestamp("seen"))).collect()
+        dates = {r.page_id: re.findall("\r\nWARC-Date: ([^\r]*)\r\n", r.header) for r in rows}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert dates[1] == ["2024-03-01T04:30:00Z"]
+    assert len(dates[2]) == 1 and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", dates[2][0])
