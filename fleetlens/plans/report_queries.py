@@ -477,38 +477,104 @@ def tally_and_actions(spark, sf_dir):
     )
 
 
+# Hosts on which an install, a queue or a home was found.
+PRESENT_SQL = f"""marked AS ({K._MARKERS_SQL}),
+present AS (SELECT host_id FROM marked WHERE t_kind = 'elf' UNION SELECT host_id FROM queues
+  UNION SELECT host_id FROM inventory WHERE t_k IN (0, 16))"""
+
+
+def present_hosts(spark, sf_dir, inv: DataFrame) -> DataFrame:
+    installs = marked(spark, sf_dir).filter("install")
+    return A.product_present(installs, K.queues(inv), D.discovered_homes(inv, K.hosts(inv).limit(0)))
+
+
+@query(
+    "J18 F13 F14 F15 F16 F17 F18",
+    f"""WITH {K.INVENTORY_SQL}, {K.CONTENT_SQL}, {PRESENT_SQL}, {CONFIG_SQL}, {CONFIG_FINDINGS_SQL}
+    SELECT * FROM config_findings WHERE host_id IN (SELECT host_id FROM present)""",
+)
+def config_findings_where_present(spark, sf_dir):
+    """A configuration says something of hosts only that have the product."""
+    inv = K.stored_inventory(spark, sf_dir)
+    return summary(N.config_findings(config_states(spark, sf_dir), present_hosts(spark, sf_dir, inv)))
+
+
+@query(
+    "F10 J12",
+    f"""WITH {K.CONTENT_SQL}, marked AS ({K._MARKERS_SQL}),
+    first AS (SELECT host_id, arg_min(path, t_id) AS entry FROM file_content GROUP BY host_id)
+    SELECT m.host_id, m.path, 'contains marker ' || marker AS note,
+      CASE WHEN f.entry = m.path THEN m.path ELSE '' END AS path_entry
+    FROM marked m JOIN first f ON f.host_id = m.host_id WHERE t_kind = 'elf'""",
+)
+def marked_evidence(spark, sf_dir):
+    """What speaks for each executable, and whether it is the one that the search path finds."""
+    hits = materialize(marked(spark, sf_dir), "marked")
+    lookup = V.project(spark, sf_dir, V.FILE_CONTENT).select(
+        "host_id", F.col("t_id").alias("ord"), F.col("path").alias("entry"), F.col("path").alias("resolved")
+    )
+    found = N.binary_marker(hits, D.active_install(hits.filter("install"), lookup))
+    return found.evidence.select("host_id", "path", "note", F.coalesce("path_entry", F.lit("")).alias("path_entry"))
+
+
 @query(
     "A11",
-    f"""WITH {Q.ATTRIBUTED_SQL}, {K.VERSIONS_SQL}, {K.INVENTORY_SQL}, {ERRORS_SQL}
-    SELECT DISTINCT e.host_id, e.host_id IN (SELECT host_id FROM ledger UNION SELECT host_id FROM versions
-      UNION SELECT host_id FROM queues) AS product_present FROM errors e""",
+    f"""WITH {Q.ATTRIBUTED_SQL}, {K.VERSIONS_SQL}, {K.INVENTORY_SQL}, {K.CONTENT_SQL}, {PRESENT_SQL}, {ERRORS_SQL},
+    m AS ({V.as_sql(V.MANIFESTS)}), seen AS (SELECT host_id FROM ledger UNION SELECT host_id FROM versions
+      UNION SELECT host_id FROM present UNION SELECT host_id FROM staged
+      UNION SELECT m.host_id FROM m JOIN inventory i ON i.host_id = m.host_id AND i.t_k = 7
+        AND i.path IN ('/home/u/src/repo' || cast(m.t_id % 300 AS varchar) || '/.git',
+          '/home/u/src/repo' || cast((m.t_id * 3) % 300 AS varchar) || '/.git')
+        WHERE m.name IN ('metadata.json', 'Metadata.json') AND m.t_id % 10 <> 9)
+    SELECT DISTINCT e.host_id, e.host_id IN (SELECT host_id FROM seen) AS product_present FROM errors e""",
 )
 def product_presence(spark, sf_dir):
     hosts = collector_errors(spark, sf_dir).select("host_id").distinct()
-    no_findings = config_found(spark, sf_dir).findings.limit(0)
+    inv = K.stored_inventory(spark, sf_dir)
+    queues, hits = K.queues(inv), materialize(marked(spark, sf_dir), "marked")
+    found = N.union(
+        [
+            N.config_findings(config_states(spark, sf_dir), present_hosts(spark, sf_dir, inv)),
+            N.binary_marker(hits, D.active_install(hits.filter("install"), K.path_lookup(spark, sf_dir))),
+        ]
+    )
     return R.presence(
-        hosts, Q.ledger(spark, sf_dir), K.manifest_versions(spark, sf_dir), no_findings,
-        K.queues(K.stored_inventory(spark, sf_dir)),
+        hosts, Q.ledger(spark, sf_dir), K.manifest_versions(spark, sf_dir), found.findings, hits.filter("install"),
+        queues, D.staged_archives(inv, D.files_in_queues(inv, queues)), K.repo_root_of(spark, sf_dir),
     )
 
 
 @query(
     "A25 O2",
-    f"""WITH {K.VERSIONS_SQL}, {ERRORS_SQL}, h AS (SELECT DISTINCT host_id FROM errors),
-    {Z.OBJECTS_SQL}
+    f"""WITH {Q.ATTRIBUTED_SQL}, {K.INVENTORY_SQL}, {K.CANDIDATES_SQL}, {K.VERSIONS_SQL}, {ERRORS_SQL},
+    h AS (SELECT DISTINCT host_id FROM errors), {Z.OBJECTS_SQL},
+    untriaged AS (SELECT DISTINCT host_id, repo_path FROM ledger WHERE repo_path <> '<unattributed>'
+      EXCEPT SELECT host_id, repo_path FROM objects)
     SELECT host_id, 'Only what is still on the host can be seen.' AS limitation FROM h
+    UNION SELECT host_id, 'No log files were found; rotated logs leave no trace.' FROM h
+      WHERE host_id NOT IN (SELECT host_id FROM lines)
+    UNION SELECT host_id, cast(count(*) FILTER (size % 3 = 0) AS varchar) || ' of ' || cast(count(*) AS varchar)
+      || ' staged archives were not hashed.' FROM staged GROUP BY host_id HAVING count(*) FILTER (size % 3 = 0) > 0
+    UNION SELECT host_id, cast(count(*) AS varchar) || ' affected repositories could not be triaged.'
+      FROM untriaged GROUP BY host_id
+    UNION SELECT host_id, path || ': only 0 of ' || cast(size AS varchar) || ' bytes were searched for markers.'
+      FROM candidates WHERE size > {SPEC.max_candidate_bytes}
     UNION SELECT host_id, 'A version above the reported range is unknown, not clean.' FROM versions
     UNION SELECT host_id, repo_path || ': ' || cast(count(*) AS varchar) || ' blobs were too large to scan by content.'
       FROM objects WHERE obj_type = 'blob' AND size > 3000 GROUP BY host_id, repo_path""",
 )
 def limitations(spark, sf_dir):
     hosts = collector_errors(spark, sf_dir).select("host_id").distinct()
-    _, oversized = G.blob_filter(Z.blobs(Z.stored_evidence(spark, sf_dir)), Z.SMALL_BLOBS)
-    empty = hosts.limit(0)
+    git, inv = Z.stored_evidence(spark, sf_dir), K.stored_inventory(spark, sf_dir)
+    _, oversized = G.blob_filter(Z.blobs(git), Z.SMALL_BLOBS)
+    staged = D.staged_archives(inv, D.files_in_queues(inv, K.queues(inv)))
+    bodies = staged.filter("size % 3 > 0").select("host_id", "path", F.encode("path", "UTF-8").alias("content"))
+    with_logs = Q.log_lines(spark, sf_dir).select("host_id").distinct()
     return R.limitations(
-        hosts, empty, oversized,
-        empty.withColumns({"unhashed": F.lit(0), "archives": F.lit(0)}), empty,
+        hosts, hosts.join(with_logs, "host_id", "left_anti"), oversized, D.hash_archives(staged, bodies)[1],
+        G.untriaged_repos(Q.ledger(spark, sf_dir), Z.objects(git)),
         K.manifest_versions(spark, sf_dir).select("host_id"),
+        D.unscanned_candidates(D.scan_candidates(inv), K.contents(spark, sf_dir)),
     )
 
 
