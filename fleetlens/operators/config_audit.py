@@ -64,8 +64,8 @@ def _line_facts(raw: Column) -> Column:
     ).cast(_LINE)
 
 
-def _fold(state: Column, line: Column) -> Column:
-    """The state after one more line: the open long string, the table, doubt, the entries so far."""
+def _fold(state: Column, line: Column, tables: list[str]) -> Column:
+    """The state after one more line: the open long string, the table, doubt, the entries so far of ``tables``."""
     inside = state["open"] != ""
     entry = ~inside & (line["kind"] == "entry")
     dotted = (state["table"] == "") & F.contains(line["name"], F.lit("."))
@@ -79,7 +79,7 @@ def _fold(state: Column, line: Column) -> Column:
         F.when(~inside & (line["kind"] == "table"), line["name"]).otherwise(state["table"]).alias("table"),
         (state["doubt"] | (~inside & (line["kind"] == "unclear"))).alias("doubt"),
         F.when(
-            entry & (place != ""),
+            entry & place.isin(*tables),
             F.concat(
                 state["entries"],
                 F.array(F.struct(place.alias("place"), name.alias("name"), line["value"].alias("value"))),
@@ -100,6 +100,7 @@ def config_state(text: Column, spec: IndicatorSpec = DEFAULT_SPEC) -> Column:
         F.array().cast(_ENTRIES).alias("entries"),
     )
     lines = F.transform(F.split(text, "\n"), _line_facts)
+    tables = list(dict.fromkeys(m.table for m in spec.mitigations))
 
     def finish(state: Column) -> Column:
         entries = state["entries"]
@@ -117,7 +118,6 @@ def config_state(text: Column, spec: IndicatorSpec = DEFAULT_SPEC) -> Column:
         unclear = F.lit(False)
         for m in spec.mitigations:
             unclear = unclear | F.exists(of(m), lambda e: ~truth(e))
-        tables = list(dict.fromkeys(m.table for m in spec.mitigations))
 
         def names(table: str) -> Column:
             own = F.filter(entries, lambda e: e["place"] == table)
@@ -131,7 +131,13 @@ def config_state(text: Column, spec: IndicatorSpec = DEFAULT_SPEC) -> Column:
             (state["doubt"] | unclear | (state["open"] != "")).alias("uncertain"),
         )
 
-    return F.aggregate(lines, start, _fold, finish)
+    return F.aggregate(lines, start, lambda state, line: _fold(state, line, tables), finish)
+
+
+def text_states(texts: DataFrame, spec: IndicatorSpec = DEFAULT_SPEC) -> DataFrame:
+    """(digest, state) of each distinct text of (digest, text): it is read once, however many homes hold it."""
+    distinct = texts.groupBy("digest").agg(F.any_value("text").alias("text"))
+    return bind(distinct, {"state": config_state(F.col("text"), spec)}).select("digest", "state")
 
 
 def homes_configs(
@@ -151,7 +157,8 @@ def homes_configs(
     # A file too long to be a configuration is not judged by its beginning.
     long = F.octet_length(text) > spec.max_config_bytes
     sized = joined.withColumns({"long": long, "text": F.when(long, F.lit("")).otherwise(text)})
-    parsed = bind(sized, {"state": config_state(F.col("text"), spec)})
+    sized = sized.withColumn("digest", F.sha2("text", 256))
+    parsed = sized.drop("text").join(text_states(sized.select("digest", "text"), spec), "digest", "left")
     readable = F.coalesce(F.col("status") == "ok", F.lit(False))
     states = parsed.select(
         "host_id",
