@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import MISSING, fields
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from fleetlens.plans import evidence as V
 from fleetlens.plans import log_queries as Q
 from fleetlens.plans import secret_queries as Z
 from fleetlens.plans.catalog import long, query
-from fleetlens.session import materialize, shared_dir
+from fleetlens.session import materialize, shared_dir, together
 from fleetlens.sources.files import manifest_scan
 from fleetlens.sources.sinks import write_report_json
 from fleetlens.spec import DEFAULT_SPEC as SPEC
@@ -213,7 +214,7 @@ def secret_found(spark, sf_dir) -> N.Found:
 
 def all_found(spark, sf_dir) -> N.Found:
     makers = (log_found, disk_found, marked_found, config_found, version_found, secret_found)
-    return N.union([make(spark, sf_dir) for make in makers])
+    return N.union(together(spark, [partial(make, spark, sf_dir) for make in makers]))
 
 
 def summary(found: N.Found) -> DataFrame:

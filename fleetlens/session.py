@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
+from pyspark.util import inheritable_thread_target
 
 _SETTINGS = {
     # Timestamps without an offset are UTC.
@@ -52,3 +55,16 @@ def materialize(df, name: str, **options):
     path = f"{shared_dir(spark)}/fleetlens/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     return spark.read.parquet(path)
+
+
+def together(spark: SparkSession, makers: list[Callable]) -> list:
+    """What independent makers return, in order; the jobs they start run side by side.
+
+    One that waits for its last tasks leaves the cluster to the others. The first error is raised
+    when all have ended.
+    """
+    if not makers:
+        return []
+    with ThreadPoolExecutor(len(makers)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(make)) for make in makers]
+    return [job.result() for job in running]
