@@ -114,7 +114,8 @@ def read_file_inventory(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents")
     docs.select("text", (F.col("doc_id") % 16).alias("bucket")).write.partitionBy("bucket").text(out)
     bucket = F.regexp_extract("path", r"/bucket=(\d+)/[^/]*$", 1).cast("bigint").alias("bucket")
-    listed = S.read_file_inventory(spark, out, F.lit("host")).groupBy(bucket).agg(
+    walked = S.read_file_inventory(spark, out, F.lit("host")).filter(r"is_regular AND name NOT RLIKE '^[._]'")
+    listed = walked.groupBy(bucket).agg(
         F.sum("size").alias("bytes")
     )
     capped = S.read_capped_content(spark, out, 500).groupBy(bucket).agg(
@@ -123,6 +124,33 @@ def read_file_inventory(spark, sf_dir):
     return listed.join(capped, "bucket")
 
 
+@query(
+    "S5 P30",
+    """SELECT cast(doc_id % 16 AS bigint) AS bucket, CASE doc_id % 16 % 4 WHEN 0 THEN 'elf' WHEN 1 THEN 'pe'
+        WHEN 2 THEN 'script' ELSE 'none' END AS kind, cast(1 AS bigint) AS dirs, cast(sum(strlen(text) + 5) AS bigint) AS bytes
+    FROM documents GROUP BY ALL""",
+)
+def walked_heads(spark, sf_dir):
+    """Documents written below hidden folders under four kinds of first bytes, then walked and told apart."""
+    out = f"{shared_dir(spark)}/fleetlens/tree-{uuid.uuid4().hex}"
+    bucket = F.col("doc_id") % 16
+    head = F.element_at(F.array(*map(F.lit, ("\x7fELF", "MZ..", "#!sh", "text"))), (bucket % 4 + 1).cast("int"))
+    docs = V.table(spark, sf_dir, "documents").select(F.concat(head, "text").alias("text"), bucket.alias("bucket"))
+    docs.write.partitionBy("bucket").text(f"{out}/.home")
+    walked = S.read_file_inventory(spark, out, F.lit("host"), rounds=1)
+    files = walked.filter("is_regular AND name LIKE 'part-%'").withColumn("dir", F.regexp_extract("path", "^(.*)/", 1))
+    dirs = walked.filter("is_dir").select("host_id", F.col("path").alias("dir"))
+    return (
+        files.join(dirs, ["host_id", "dir"])
+        .groupBy(F.regexp_extract("dir", r"=(\d+)$", 1).cast("bigint").alias("bucket"))
+        .agg(
+            F.max(K.file_kind(F.col("head4"), F.regexp_replace("path", r"\.txt$", ""))).alias("kind"),
+            F.count_distinct("dir").alias("dirs"),
+            F.sum("size").alias("bytes"),
+        )
+    )
+
+
 @query(
     "S11",
     f"""WITH m AS ({V.as_sql(V.MANIFESTS)})

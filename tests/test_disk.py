@@ -10,6 +10,7 @@ from fleetlens.functions.paths import ancestors, display_path
 from fleetlens.operators import config_audit as A
 from fleetlens.operators import disk as D
 from fleetlens.operators import version_evidence as W
+from fleetlens.sources import files as S
 from fleetlens.sources.files import manifest_scan, read_content_chunks
 from fleetlens.spec import DEFAULT_SPEC as SPEC
 
@@ -287,3 +288,29 @@ def test_repository_above_any_depth(spark):
         spark.createDataFrame([("h", r) for r in roots], "host_id string, repo_path string"),
     )
     assert sorted(r.repo_path for r in got.collect()) == sorted(deep.values())
+
+
+def test_walk_sees_hidden_names_links_and_failures(spark, tmp_path):
+    (tmp_path / "h1/.grok/upload_queue").mkdir(parents=True)
+    (tmp_path / "h1/.grok/bin").mkdir()
+    (tmp_path / "h1/.grok/bin/grok").write_bytes(b"\x7fELF\x02rest")
+    (tmp_path / "h1/a b").mkdir()
+    (tmp_path / "h1/a b/one").write_bytes(b"x")
+    (tmp_path / "h1/loop").symlink_to(tmp_path / "h1")
+    (tmp_path / "h2").mkdir()
+    (tmp_path / "top").write_bytes(b"")
+    host = F.regexp_extract("path", f"^{tmp_path}/([^/]+)", 1)
+    for rounds in (0, 1, 2, 5):
+        rows = S.read_file_inventory(spark, str(tmp_path), host, rounds).collect()
+        got = {r.path.removeprefix(f"{tmp_path}/"): r for r in rows}
+        assert len(got) == len(rows)
+        assert {p for p, r in got.items() if r.is_dir} == {
+            "h1", "h2", "h1/.grok", "h1/.grok/upload_queue", "h1/.grok/bin", "h1/a b"
+        }
+        assert {p: (r.size, bytes(r.head4)) for p, r in got.items() if r.is_regular} == {
+            "h1/.grok/bin/grok": (9, b"\x7fELF"), "h1/a b/one": (1, b"x"), "top": (0, b"")
+        }
+        assert not got["h1/loop"].is_dir and not got["h1/loop"].is_regular
+        assert got["h1/.grok/bin"].host_id == "h1" and {r.error for r in rows} == {None}
+    (failed,) = S.read_file_inventory(spark, str(tmp_path / "none"), F.lit("h"), 1).collect()
+    assert failed.is_dir and "none" in failed.error
