@@ -126,17 +126,18 @@ def read_file_inventory(spark, sf_dir):
 
 @query(
     "S5 P30",
-    """SELECT cast(doc_id % 16 AS bigint) AS bucket, CASE doc_id % 16 % 4 WHEN 0 THEN 'elf' WHEN 1 THEN 'pe'
+    """SELECT cast(floor(doc_id / 100) AS bigint) AS bucket, CASE cast(floor(doc_id / 100) AS bigint) % 4 WHEN 0 THEN 'elf' WHEN 1 THEN 'pe'
         WHEN 2 THEN 'script' ELSE 'none' END AS kind, cast(1 AS bigint) AS dirs, cast(sum(strlen(text) + 5) AS bigint) AS bytes
     FROM documents GROUP BY ALL""",
 )
 def walked_heads(spark, sf_dir):
-    """Documents written below hidden folders under four kinds of first bytes, then walked and told apart."""
+    """Documents written a hundred to a folder, below a hidden one and under four kinds of first bytes, then
+    walked and told apart."""
     out = f"{shared_dir(spark)}/fleetlens/tree-{uuid.uuid4().hex}"
-    bucket = F.col("doc_id") % 16
+    bucket = F.floor(F.col("doc_id") / 100)
     head = F.element_at(F.array(*map(F.lit, ("\x7fELF", "MZ..", "#!sh", "text"))), (bucket % 4 + 1).cast("int"))
     docs = V.table(spark, sf_dir, "documents").select(F.concat(head, "text").alias("text"), bucket.alias("bucket"))
-    docs.write.partitionBy("bucket").text(f"{out}/.home")
+    docs.repartition("bucket").write.partitionBy("bucket").text(f"{out}/.home")
     walked = S.read_file_inventory(spark, out, F.lit("host"), rounds=1)
     files = walked.filter("is_regular AND name LIKE 'part-%'").withColumn("dir", F.regexp_extract("path", "^(.*)/", 1))
     dirs = walked.filter("is_dir").select("host_id", F.col("path").alias("dir"))
