@@ -163,3 +163,21 @@ def test_the_ledger_of_sums_is_the_batch_ledger(spark, tmp_path):
     kept = sum(1 for _ in (tmp_path / "versions").glob("batch=*/bucket=*"))
     now = len(L._manifest(spark, root, 3))
     assert kept <= now + 1 and len(list((tmp_path / "manifests").iterdir())) == 2
+
+
+def test_refusal_windows_of_parts_in_many_files(spark):
+    """More files in a part than one batch used to take: none of its rows may count as late."""
+    from compare import compare, connect
+    from fleetlens.plans import CATALOG
+
+    small = "/root/testdata/sf0.001"
+    own = {"spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for key, value in own.items():
+            spark.conf.set(key, value)
+        query = CATALOG["stream_refusal_windows"]
+        assert compare(spark, connect(small), query.run, query.sql, small).startswith("ok")
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
