@@ -181,3 +181,22 @@ def test_refusal_windows_of_parts_in_many_files(spark):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def test_outermost_activity_decides():
+    import pyarrow as pa
+
+    from fleetlens.streaming.auth import outermost
+
+    rng = random.Random(1)
+    seen = [(rng.choice("ab"), rng.randrange(-3 * HOUR, 40 * HOUR)) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([h for h, _ in seen]), pa.array([t for _, t in seen]).cast(pa.timestamp("us", tz="UTC"))], ["host_id", "ts"]
+    )
+    kept = [r for out in outermost(HOUR)(iter([batch.slice(0, 100), batch.slice(100)])) for r in out.to_pylist()]
+    assert len(kept) <= 2 * len({(h, t // HOUR) for h, t in seen}) < 2 * len(seen)
+    moments = {(r["seen_host"], r["seen_slot"], round(r["seen_at"].timestamp() * 1e6)) for r in kept}
+    for t in range(-4 * HOUR, 42 * HOUR, HOUR // 7):
+        for host in "abc":
+            want = any(h == host and t - HOUR <= at <= t for h, at in seen)
+            assert want == any(h == host and slot == t // HOUR and t - HOUR <= at <= t for h, slot, at in moments)
