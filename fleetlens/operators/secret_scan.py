@@ -10,15 +10,19 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from fleetlens.functions.keyword_gate import KeywordGate
+from fleetlens.functions.keyword_gate import KeywordGate, runs
 from fleetlens.sources.rules import Allow, Rule, RuleSet
 
+#: Bytes of texts in which a rule's matches are looked for together; a run of texts ends as soon as it has them.
+_SLICE = 1 << 20
+
 HIT_SCHEMA = "sha string, rule_ord int, unless array<int>"
 _ARROW_HITS = pa.schema(
     [("sha", pa.string()), ("rule_ord", pa.int32()), ("unless", pa.list_(pa.int32()))]
@@ -46,29 +50,40 @@ def _group_count(pattern: str) -> int:
     return 0
 
 
-def _marks(text: str) -> tuple[str, str, str]:
-    """Three characters the text does not contain."""
-    free = (chr(c) for c in range(0xE000, 0xF8FF) if chr(c) not in text)
-    return next(free), next(free), next(free)
+def _marks(texts: list[str]) -> tuple[str, str, str] | None:
+    """Three characters that no text contains, if there are any."""
+    free = (chr(c) for c in range(0xE000, 0xF8FF) if not any(chr(c) in t for t in texts))
+    found = tuple(islice(free, 3))
+    return found if len(found) == 3 else None
+
 
+def _spans(texts: list[str], pattern: str, groups: int) -> Iterator[tuple[int, str, list[str], str]]:
+    """Every match: the text's number, the match with its groups, and the line(s) around it.
 
-def _spans(text: str, pattern: str, groups: int) -> Iterator[tuple[str, list[str], str]]:
-    """Every match with its groups and the line(s) around it."""
-    begin, sep, end = _marks(text)
+    The pattern is compiled once for all texts.
+    """
+    marks = _marks(texts)
+    if marks is None:
+        if len(texts) == 1:
+            raise ValueError("a text contains all characters of private use")
+        half = len(texts) // 2
+        yield from _spans(texts[:half], pattern, groups)
+        yield from ((half + i, *rest) for i, *rest in _spans(texts[half:], pattern, groups))
+        return
+    begin, sep, end = marks
     fields = sep.join(f"\\{g}" for g in range(groups + 1))
-    marked = pc.replace_substring_regex(
-        pa.array([text]), pattern=pattern, replacement=begin + fields + end
-    )[0].as_py()
-    head, *pieces = marked.split(begin)
-    at = len(head)
-    for piece in pieces:
-        body, rest = piece.split(end, 1)
-        match, *found = body.split(sep)
-        stop = at + len(match)
-        line_end = text.find("\n", stop)
-        line = text[text.rfind("\n", 0, at) + 1 : line_end if line_end >= 0 else len(text)]
-        yield match, found, line
-        at = stop + len(rest)
+    column = pc.replace_substring_regex(pa.array(texts, pa.string()), pattern=pattern, replacement=begin + fields + end)
+    for number, (text, marked) in enumerate(zip(texts, column, strict=True)):
+        head, *pieces = marked.as_py().split(begin)
+        at = len(head)
+        for piece in pieces:
+            body, rest = piece.split(end, 1)
+            match, *found = body.split(sep)
+            stop = at + len(match)
+            line_end = text.find("\n", stop)
+            line = text[text.rfind("\n", 0, at) + 1 : line_end if line_end >= 0 else len(text)]
+            yield number, match, found, line
+            at = stop + len(rest)
 
 
 def _secret(rule: Rule, match: str, groups: list[str]) -> str | None:
@@ -135,17 +150,15 @@ class _Scanner:
         """(row, guards) per surviving match; guards are path allowlists still to test."""
         rule = self.rules[rule_ord]
         matched = pc.match_substring_regex(texts.take(pa.array(rows)), pattern=rule.regex)
+        hit = [row for row, m in zip(rows, matched.to_pylist(), strict=True) if m]
         found = []
-        for row, hit in zip(rows, matched.to_pylist(), strict=True):
-            if not hit:
-                continue
-            for match, groups, line in _spans(
-                texts[row].as_py(), rule.regex, self.groups[rule_ord]
-            ):
+        for a, b in runs([len(texts[row].as_buffer()) for row in hit], _SLICE):
+            of_rows = [texts[row].as_py() for row in hit[a:b]]
+            for number, match, groups, line in _spans(of_rows, rule.regex, self.groups[rule_ord]):
                 secret = _secret(rule, match, groups)
                 if secret is None or (rule.entropy and entropy(secret) <= rule.entropy):
                     continue
-                found.append((row, secret, match, line))
+                found.append((hit[a + number], secret, match, line))
         if not found:
             return set()
         kept_rows, secrets, matches, lines = map(list, zip(*found, strict=True))
