@@ -46,7 +46,7 @@ _ODD = _U(0x9FB21C651E98DF25)
 OTHER = 0
 _SLICE = 1 << 22
 #: Entries of stripes a task holds before it hands them on.
-_HELD = 1 << 21
+_HELD = 1 << 19
 _WORD_BITS = 10
 _SLOT_BITS = 16
 _PROBES = 3

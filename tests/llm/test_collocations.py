@@ -115,3 +115,25 @@ def test_filter_has_all_and_little_more(spark):
     assert (known.fragment_bits(ids[:10_000]) == 1).all()
     small = C._known(level, 1 << 10, 50)
     assert small.has(ids[:10_000]).all() and not small.fragment_bits(ids).any()
+
+
+def test_a_task_holds_few_entries_of_stripes():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from fleetlens.llm import collocations as C
+
+    known = SimpleNamespace(value=SimpleNamespace(
+        has=lambda ids: np.ones(len(ids), dtype=bool), fragment_bits=lambda ids: np.zeros(len(ids), dtype=np.int64)
+    ))
+    texts = [" ".join(f"{i * 100_000 + j:x}" for j in range(100_000)) for i in range(22)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([t])], ["lang", "text"]) for t in texts]
+    tracemalloc.start()
+    entries = sum(len(x) // 8 for out in C._stripes(1, known, 0)(iter(batches)) for x in out.column("following").to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert entries == 2_200_000
+    assert peak < 130 << 20, peak
