@@ -318,3 +318,23 @@ def test_lines_are_read_once_and_not_exchanged(spark, tmp_path, monkeypatch):
         assert sorted((r.path[-2:], r.line_no, r.line) for r in S.read_log_lines(spark, str(tmp_path)).collect()) == want
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
+    from fleetlens.plans import evidence as V
+    from fleetlens.plans import log_queries as Q
+
+    rows = spark.range(20_000).selectExpr(
+        "id AS event_id", "timestamp_seconds(1704067200 + id) AS ts", "id % 50 AS user_id", "'signup' AS event_type"
+    )
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    lines = Q.log_lines(spark, str(tmp_path))
+    tasks = lines.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) >= spark.sparkContext.defaultParallelism
+    assert max(r["count"] for r in tasks) < 20_000 / 4
+    assert lines.select("line_no").distinct().count() == lines.count() == 20_000
+    even = spark.range(0, 20_000, 1, 16).select("id")
+    assert V.dealt(even) is even
+    few = spark.range(0, 900, 1, 1).select("id")
+    assert V.dealt(few) is few
+    assert V.dealt(few.limit(0)).count() == 0
