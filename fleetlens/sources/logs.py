@@ -7,10 +7,10 @@ from __future__ import annotations
 
 import io
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +27,9 @@ _ONE_ROW_LIMIT = 1 << 30
 _LONGEST_LINE = 1 << 29
 _BATCH_CHARS = 8 << 20
 _GZ_SCHEMA = "path string, line_no bigint, line string, kind string, message string"
+_ARROW_GZ = pa.schema(
+    [("path", pa.string()), ("line_no", pa.int64()), ("line", pa.string()), ("kind", pa.string()), ("message", pa.string())]
+)
 
 
 def is_log_name(name: Column, spec: IndicatorSpec = DEFAULT_SPEC) -> Column:
@@ -193,44 +196,56 @@ def _gz_rows(path: str, file: BinaryIO, longest: int = _LONGEST_LINE) -> Iterato
         yield path, None, None, "io", error
 
 
-def _gz_frames(path: str, file: BinaryIO) -> Iterator[pd.DataFrame]:
-    columns = [f.split()[0] for f in _GZ_SCHEMA.split(", ")]
+def _gz_batches(files: Iterable[tuple[str, BinaryIO]]) -> Iterator[pa.RecordBatch]:
+    """Rows of the files, one file after another; small files share a batch."""
     batch, held = [], 0
-    for row in _gz_rows(path, file):
-        batch.append(row)
-        held += len(row[2] or "")
-        if len(batch) == 10_000 or held > _BATCH_CHARS:
-            yield pd.DataFrame(batch, columns=columns)
-            batch, held = [], 0
-    yield pd.DataFrame(batch, columns=columns)
+    for path, file in files:
+        for row in _gz_rows(path, file):
+            batch.append(row)
+            held += len(row[2] or "")
+            if len(batch) == 10_000 or held > _BATCH_CHARS:
+                yield _gz_batch(batch)
+                batch, held = [], 0
+    if batch:
+        yield _gz_batch(batch)
+
+
+def _gz_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW_GZ, strict=True)], schema=_ARROW_GZ)
 
 
 def inflate_files(files: DataFrame) -> DataFrame:
     """Lines and errors, tagged, of gzip files given as (path, content)."""
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, data in zip(frame["path"], frame["content"], strict=True):
-                yield from _gz_frames(path, io.BytesIO(data))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _gz_batches(
+            (path.as_py(), io.BytesIO(data.as_py()))
+            for batch in batches
+            for path, data in zip(batch.column("path"), batch.column("content"), strict=True)
+        )
 
-    return files.select("path", "content").mapInPandas(read, _GZ_SCHEMA)
+    return files.select("path", "content").mapInArrow(read, _GZ_SCHEMA)
 
 
 def inflate_streams(files: DataFrame) -> DataFrame:
     """The same of gzip files given as (path, source); each task opens and streams its own."""
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, source in zip(frame["path"], frame["source"], strict=True):
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, BinaryIO]]:
+        for batch in batches:
+            for path, source in zip(*(batch.column(c).to_pylist() for c in ("path", "source")), strict=True):
                 try:
                     file = open_stream(source)
                 except OSError as err:
-                    yield from _gz_frames(path, _Unopened(err))
+                    yield path, _Unopened(err)
                     continue
                 with file:
-                    yield from _gz_frames(path, file)
+                    yield path, file
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _gz_batches(opened(batches))
 
-    return files.select("path", "source").mapInPandas(read, _GZ_SCHEMA)
+    return files.select("path", "source").mapInArrow(read, _GZ_SCHEMA)
 
 
 class _Unopened(io.RawIOBase):

@@ -320,6 +320,27 @@ def test_lines_are_read_once_and_not_exchanged(spark, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_small_gzip_files_share_a_batch():
+    files = [(f"f{i}", io.BytesIO(gzip.compress(f"a{i}\nb\n".encode()))) for i in range(300)]
+    (batch,) = S._gz_batches(files)
+    assert batch.num_rows == 600
+    assert batch.slice(598).to_pylist() == [
+        {"path": "f299", "line_no": n, "line": line, "kind": None, "message": None} for n, line in ((1, "a299"), (2, "b"))
+    ]
+
+
+def test_a_damaged_file_costs_its_neighbours_nothing():
+    whole = gzip.compress(b"x\ny\n")
+    files = [("a", io.BytesIO(whole)), ("b", io.BytesIO(whole[:-9])), ("c", io.BytesIO(b"")), ("d", io.BytesIO(whole))]
+    (batch,) = S._gz_batches(files)
+    rows = batch.to_pylist()
+    assert [r["path"] for r in rows if r["message"]] == ["b", "c"]
+    assert [(r["path"], r["line_no"]) for r in rows if r["line"] and r["path"] in "ad"] == [
+        ("a", 1), ("a", 2), ("d", 1), ("d", 2)
+    ]
+    assert not list(S._gz_batches([]))
+
+
 def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
     from fleetlens.plans import evidence as V
     from fleetlens.plans import log_queries as Q
