@@ -314,3 +314,37 @@ def test_walk_sees_hidden_names_links_and_failures(spark, tmp_path):
         assert got["h1/.grok/bin"].host_id == "h1" and {r.error for r in rows} == {None}
     (failed,) = S.read_file_inventory(spark, str(tmp_path / "none"), F.lit("h"), 1).collect()
     assert failed.is_dir and "none" in failed.error
+
+
+def _large_tables(spark, folder):
+    """Tables of one row group each, with 20,000 rows of files and of manifests."""
+    spark.range(20_000).selectExpr(
+        "id AS l_orderkey", "id AS l_partkey", "id AS l_suppkey", "cast(id % 7 AS int) AS l_linenumber",
+        "cast(id AS double) AS l_extendedprice",
+    ).coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    spark.range(20_000).selectExpr(
+        "id AS o_orderkey", "id AS o_custkey", "'F' AS o_orderstatus", "'5-LOW' AS o_orderpriority"
+    ).coalesce(1).write.parquet(f"{folder}/orders.parquet")
+
+
+def test_paths_and_texts_are_made_after_the_rows_are_dealt_out(spark, tmp_path):
+    from fleetlens.plans import disk_queries as K
+
+    _large_tables(spark, tmp_path)
+    repos = D.git_repositories(K.inventory(spark, str(tmp_path)))
+    plan = repos._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("RepartitionByExpression"):]
+    assert "/.git" not in below and "/.git" in plan
+    named = D.manifest_paths(K.manifests(spark, str(tmp_path)))
+    plan = named._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("RepartitionByExpression"):]
+    assert "files" not in below and plan.count('"files"') + plan.count('{"files') <= 2
+    assert repos.count() == repos.distinct().count() > 0 and named.count() > 0
+
+
+def test_repository_roots_read_manifests_and_inventory_once(spark, tmp_path):
+    from fleetlens.plans import CATALOG
+
+    _large_tables(spark, tmp_path)
+    files = CATALOG["repo_root_of"].run(spark, str(tmp_path)).inputFiles()
+    assert files and not [f for f in files if "lineitem" in f or "orders" in f]
