@@ -186,3 +186,11 @@ def test_error_examples_do_not_depend_on_the_layout(spark):
     for n in (1, 5):
         got = R.error_examples(df.repartition(n)).orderBy("place").collect()
         assert [r.path for r in got] == ["/q", "/r", "/p0"] and got[0].omitted == 8
+
+
+def test_presence_projects_files_and_contents_once(spark):
+    from fleetlens.plans import CATALOG
+
+    result = CATALOG["product_presence"].run(spark, "/root/testdata/sf0.001")
+    given = [f.rsplit("/", 1)[-1] for f in result.inputFiles()]
+    assert "lineitem.parquet" not in given and "pages.parquet" not in given
