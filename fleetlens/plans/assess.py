@@ -190,12 +190,12 @@ def assess(
     archives, unhashed = D.hash_archives(
         D.staged_archives(inventory, queue_files, spec), ev.file_content, spec
     )
-    candidates = D.scan_candidates(inventory, spec)
+    candidates = materialize(D.scan_candidates(inventory, spec), "candidates")
     marked = materialize(D.marked_files(candidates, ev.file_content, spec, ev.file_chunks), "marked")
     unscanned = D.unscanned_candidates(candidates, ev.file_content, spec, ev.file_chunks)
     installs = marked.filter("install")
     active = D.active_install(installs, ev.path_lookup)
-    manifests = manifest_scan(ev.manifests, spec)
+    manifests = materialize(manifest_scan(ev.manifests, spec), "manifest_hits")
     hints = materialize(
         D.repo_root_of(D.manifest_paths(ev.manifests, spec), D.git_repositories(inventory))
         .select("host_id", "repo_path")

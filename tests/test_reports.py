@@ -194,3 +194,15 @@ def test_presence_projects_files_and_contents_once(spark):
     result = CATALOG["product_presence"].run(spark, "/root/testdata/sf0.001")
     given = [f.rsplit("/", 1)[-1] for f in result.inputFiles()]
     assert "lineitem.parquet" not in given and "pages.parquet" not in given
+
+
+def test_tables_read_several_times_are_written(spark):
+    from fleetlens.plans import report_queries as Y
+
+    small = "/root/testdata/sf0.001"
+    ev = Y.evidence_tables(spark, small)
+    read = [f for t in (ev.file_inventory, ev.file_content, ev.manifests, ev.collector_errors) for f in t.inputFiles()]
+    assert read and not [f for f in read if "testdata" in f]
+    for made in (Y.config_found, Y.version_found, Y.marked_found):
+        found = made(spark, small)
+        assert not [f for d in (found.findings, found.evidence) for f in d.inputFiles() if "testdata" in f]
