@@ -40,14 +40,14 @@ def entropy(s: str) -> float:
 
 
 def _group_count(pattern: str) -> int:
+    """How many groups, nine at most. Every try compiles the pattern, and few have more than two."""
     probe = pa.array([""])
-    for n in range(9, 0, -1):
+    for n in range(1, 10):
         try:
             pc.replace_substring_regex(probe, pattern=pattern, replacement=f"\\{n}")
-            return n
         except pa.ArrowInvalid:
-            continue
-    return 0
+            return n - 1
+    return 9
 
 
 def _marks(texts: list[str]) -> tuple[str, str, str] | None:
@@ -108,21 +108,25 @@ def _suppressed(allow: Allow, secrets, matches, lines) -> list[bool]:
     if allow.regexes:
         tests.append(_matches_any(target, allow.regexes))
     if allow.stopwords:
-        tests.append([any(w in s.lower() for w in allow.stopwords) for s in secrets])
+        tests.append([any(map(s.lower().__contains__, allow.stopwords)) for s in secrets])
     if not tests:
         return [allow.all_of and bool(allow.paths)] * len(secrets)
     join = all if allow.all_of else any
     return [join(t) for t in zip(*tests, strict=True)]
 
 
+def _groups(rule_set: RuleSet) -> list[int]:
+    return [_group_count(r.regex) if r.regex else 0 for r in rule_set.rules]
+
+
 class _Scanner:
-    """The rule table prepared once per task."""
+    """The rule table prepared once per task; ``groups`` of its patterns, if they are counted already."""
 
-    def __init__(self, rule_set: RuleSet):
+    def __init__(self, rule_set: RuleSet, groups: list[int] | None = None):
         self.rules = rule_set.rules
         self.allow = rule_set.allow
         self.guards = path_guards(rule_set)
-        self.groups = [_group_count(r.regex) if r.regex else 0 for r in self.rules]
+        self.groups = _groups(rule_set) if groups is None else groups
         self.words = sorted({w for r in self.rules for w in r.gate_words})
         self.gate = KeywordGate(self.words)
         self.by_word: dict[str, list[int]] = {}
@@ -195,11 +199,13 @@ def _texts(content: pa.Array) -> pa.Array:
 def scan_contents(units: DataFrame, rule_set: RuleSet) -> DataFrame:
     """(sha, content, path_only) → one row per blob, rule and set of open path guards.
 
-    The rule table travels with the function; its size is the corpus, never the data.
+    The rule table travels with the function; its size is the corpus, never the data. So do the
+    numbers of groups: counting them compiles all patterns several times.
     """
+    groups = _groups(rule_set)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = _Scanner(rule_set)
+        scanner = _Scanner(rule_set, groups)
         for batch in batches:
             sha = batch.column("sha").to_pylist()
             texts = _texts(batch.column("content"))

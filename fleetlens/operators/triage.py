@@ -13,6 +13,7 @@ from fleetlens.functions.keyword_gate import KeywordGate
 from fleetlens.functions.filekind import looks_binary
 from fleetlens.functions.secret_paths import classify_secret_path, jvm_regex, matches_any
 from fleetlens.operators.secret_scan import path_guards, scan_contents
+from fleetlens.session import materialize
 from fleetlens.sources.rules import RuleSet
 from fleetlens.spec import DEFAULT_SPEC, UNATTRIBUTED, IndicatorSpec
 
@@ -100,17 +101,15 @@ def blob_filter(
     return kept, oversized
 
 
-def scan_units(firsts: DataFrame, kept: DataFrame, rule_set: RuleSet) -> DataFrame:
+def scan_units(scannable: DataFrame, rule_set: RuleSet) -> DataFrame:
     """Distinct contents to scan: ``sha`` and whether a rule asks for its path only.
 
     A blob id names its content, so clones of a repository across the fleet are
     scanned once; the paths come back in ``content_hits``.
     """
     path_only = [r.path for r in rule_set.rules if r.path and not r.regex]
-    return (
-        firsts.join(kept.select(*REPO, "sha").distinct(), [*REPO, "sha"], "left_semi")
-        .groupBy("sha")
-        .agg(F.bool_or(matches_any(F.col("path"), tuple(path_only))).alias("path_only"))
+    return scannable.groupBy("sha").agg(
+        F.bool_or(matches_any(F.col("path"), tuple(path_only))).alias("path_only")
     )
 
 
@@ -130,13 +129,19 @@ def _rule_path_gate(rule_set: RuleSet) -> Column:
 def content_hits(
     objects: DataFrame, blobs: DataFrame, rule_set: RuleSet, spec: IndicatorSpec = DEFAULT_SPEC
 ) -> DataFrame:
-    """(host, repository, path, blob, rule) for every rule that hits a scanned blob."""
+    """(host, repository, path, blob, rule) for every rule that hits a scanned blob.
+
+    Whether a content was delivered shows in the content only, so the scan list is written: its
+    three readers would read all contents once each.
+    """
     firsts = first_path_of_blob(objects, rule_set)
     kept, _ = blob_filter(blobs, spec)
-    units = scan_units(firsts, kept, rule_set)
+    scannable = materialize(
+        firsts.join(kept.select(*REPO, "sha").distinct(), [*REPO, "sha"], "left_semi"), "scannable"
+    )
+    units = scan_units(scannable, rule_set)
     hits = scan_contents(_contents(may_hold(kept, units)).join(units, "sha"), rule_set)
     ids = _rule_ids(hits, rule_set)
-    scannable = firsts.join(kept.select(*REPO, "sha").distinct(), [*REPO, "sha"], "left_semi")
     return scannable.join(ids, "sha").filter(_rule_path_gate(rule_set)).select(
         *REPO, "seq", "path", F.col("sha").alias("blob"), "rule_ord", "rule_id"
     ).distinct()

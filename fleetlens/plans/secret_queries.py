@@ -160,7 +160,7 @@ def head_tree(raw: DataFrame) -> DataFrame:
 def blobs(raw: DataFrame) -> DataFrame:
     return raw.select(
         "host_id", "repo_path", "sha", "obj_type", "size",
-        F.encode("t_content", "UTF-8").alias("content"),
+        F.col("t_content").cast("binary").alias("content"),
     )
 
 
@@ -284,7 +284,7 @@ def scan_secrets(spark, sf_dir):
 )
 def secrets_in_documents(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents").select(
-        F.md5("text").alias("sha"), F.encode("text", "UTF-8").alias("content"),
+        F.md5("text").alias("sha"), F.col("text").cast("binary").alias("content"),
         F.lit(False).alias("path_only"),
     )
     return G._rule_ids(scan_contents(docs, RULES), RULES).select("sha", "rule_id").distinct()
@@ -448,7 +448,7 @@ def checkout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     roots = raw.select("host_id", F.col("top").alias("repo_path")).unionByName(inner).distinct()
     untriaged = raw.filter("t_number % 3 <> 0").select("host_id", F.col("top").alias("repo_path"))
     gone = raw.select("host_id", F.lit("/home/u/gone").alias("repo_path"))
-    contents = raw.select("host_id", "path", F.encode("t_content", "UTF-8").alias("content"))
+    contents = raw.select("host_id", "path", F.col("t_content").cast("binary").alias("content"))
     return D.repo_root_of(raw.select("host_id", "path"), roots), contents, untriaged.unionByName(gone).distinct()
 
 
