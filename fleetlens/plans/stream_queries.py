@@ -197,12 +197,14 @@ def stream_refusal_windows(spark, sf_dir):
     if first is None:
         return rows.select("host_id", F.lit(0).cast("bigint").alias("ts_us"), F.lit(0).cast("bigint").alias("failures"))
     cuts = [first + (last - first) * i / 4 for i in range(1, 4)]
+    # Nothing may be forgotten, however long the replay.
+    keep = f"{max(36500, (last - first).days + 1)} days"
     # A later event of no host lets the watermark pass all others.
     late = rows.limit(1).select(F.lit("").alias("host_id"), "repo_key", F.lit(E.START).alias("kind"), (F.lit(last) + F.expr("INTERVAL 1 DAY")).alias("ts"))
     for a, b in zip([None, *cuts], [*cuts, None], strict=True):
         part = rows if a is None else rows.filter(F.col("ts") >= F.lit(a))
         (part.unionByName(late) if b is None else part.filter(F.col("ts") < F.lit(b))).write.mode("append").parquet(f"{root}/in")
         # A part's files lie side by side in time, so a batch takes them all; the next run goes on from its state.
-        found = windows.stream_windows(spark.readStream.schema(rows.schema).parquet(f"{root}/in"), late="2 hours", keep="36500 days")
+        found = windows.stream_windows(spark.readStream.schema(rows.schema).parquet(f"{root}/in"), late="2 hours", keep=keep)
         logs.start_event_sink(found, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{root}/out").filter("in_window").select("host_id", "ts_us", "failures")

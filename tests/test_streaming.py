@@ -1,5 +1,6 @@
 import io
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,6 +184,87 @@ def test_refusal_windows_of_parts_in_many_files(spark):
             spark.conf.set(key, value)
 
 
+def events_at(path, years_users_kinds):
+    """Rows of ``events`` whose log lines are of host 3, so many years after 2024, with a repository per user."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows = []
+    for years, user, kind in years_users_kinds:
+        # An epoch in milliseconds; every thirteenth event names no repository.
+        n = round(years * 365.25 * 86400 / 260) // 24 * 24 + 1
+        rows.append({"event_id": n + 24 * (n % 13 == 0), "user_id": 3 + 37 * user, "event_type": kind, "value": 0.0, "props": "{}"})
+    table = pa.Table.from_pylist(rows)
+    pq.write_table(table.append_column("ts", pa.array([0] * len(rows), pa.timestamp("us"))), path)
+
+
+@pytest.mark.parametrize(
+    "events, found",
+    [
+        # Moments that nanoseconds from 1970 do not reach, at both ends of windows.
+        ([(0, 0, "signup"), (280, 0, "error"), (296, 0, "signup"), (296.5, 0, "error")], 1),
+        # A repository silent for more than a century, while others go on.
+        ([(0, 0, "signup"), (0.5, 0, "error"), (110, 1, "signup"), (110.5, 1, "signup"), (150, 0, "signup")], 1),
+    ],
+)
+def test_refusal_windows_over_centuries(spark, tmp_path, events, found):
+    import duckdb
+    from compare import rows
+    from fleetlens.plans import CATALOG
+
+    events_at(tmp_path / "events.parquet", events)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    query = CATALOG["stream_refusal_windows"]
+    ours, theirs = query.run(spark, str(tmp_path)).toPandas(), con.execute(query.sql).df()
+    assert rows(ours) == rows(theirs) and len(ours) == found
+
+
+def test_chunks_come_in_time_order_and_are_read_late():
+    from fleetlens.streaming.windows import in_order
+
+    rng, opened = random.Random(3), []
+    events = sorted((rng.randrange(300), repo == "", repo, 1) for repo in rng.choices(["", "a", "b"], k=400))
+
+    def chunk(part):
+        yield part[0][0], False, "", 0
+        opened.append(part[0][0])
+        yield from part
+
+    # Three that lie side by side in time, and one that overlaps with all.
+    parts = [events[::4], *([e for i, e in enumerate(events) if i % 4 and a <= e[0] < a + 100] for a in (0, 100, 200))]
+    got = in_order([chunk(p) for p in parts])
+    seen = [next(got)]
+    assert max(opened) < 100
+    seen += got
+    want = Counter(e[:3] for e in events)
+    assert seen == [(*place, want[place]) for place in sorted(want)] and len(opened) == 4
+
+
+def state_calls(spark, tmp_path, n):
+    """What the state store was called for by ``n`` events of one host."""
+    from fleetlens.functions import events as E
+    from fleetlens.streaming.windows import stream_windows
+
+    rows = spark.range(n).select(
+        F.lit("h").alias("host_id"), F.lit("r").alias("repo_key"),
+        F.when(F.col("id") % 2 == 0, E.START).otherwise(E.AUTH_FAIL).alias("kind"), F.timestamp_seconds(F.col("id") + 10**9).alias("ts"),
+    )
+    late = rows.limit(1).select(F.lit("").alias("host_id"), "repo_key", "kind", F.timestamp_seconds(F.lit(2 * 10**9)).alias("ts"))
+    rows.unionByName(late).coalesce(1).write.parquet(f"{tmp_path}/in{n}")
+    stream = (
+        stream_windows(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in{n}")).writeStream.format("parquet")
+        .option("path", f"{tmp_path}/out{n}").option("checkpointLocation", f"{tmp_path}/c{n}").trigger(availableNow=True).start()
+    )
+    stream.awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out{n}").filter("in_window").count() == n // 2
+    return sum(p.stateOperators[0].numRowsUpdated + p.stateOperators[0].numRowsRemoved for p in stream.recentProgress if p.stateOperators)
+
+
+def test_the_state_store_is_not_called_for_each_event(spark, tmp_path):
+    assert state_calls(spark, tmp_path, 4000) < 400
+
+
 def test_outermost_activity_decides():
     import pyarrow as pa
 
